@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, settle
+from .common import free_name, map_arrow, settle
 from .linking import compare_groups, components
 from .url_filter import BlockedBloom
 
@@ -102,7 +102,7 @@ def node_of(grams: np.ndarray) -> int | None:
 
 
 def sketches(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> DataFrame:
-    """``doc_id``, ``node`` and ``bands`` of every row of ``docs(doc_id, text)``."""
+    """``doc_id``, ``text_hash``, ``node`` and ``bands`` of every row of ``docs(doc_id, text)``."""
     mult, add = multipliers(bands * rows)
 
     def sketch(batches):
@@ -111,11 +111,13 @@ def sketches(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> Data
             sets = [hasher.grams(t) for t in batch.column(1).to_pylist()]
             yield {
                 "doc_id": batch.column(0),
+                "text_hash": batch.column(2),
                 "node": [node_of(s) for s in sets],
                 "bands": [band_hashes(s, bands, rows, mult, add) if len(s) else None for s in sets],
             }
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), sketch, "doc_id bigint, node bigint, bands array<bigint>")
+    rows_in = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash"))
+    return map_arrow(rows_in, sketch, "doc_id bigint, text_hash bigint, node bigint, bands array<bigint>")
 
 
 def gram_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -174,11 +176,12 @@ def shared_before(group: int, leaders: list[list[int]]) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = 160, words: int = WORDS) -> DataFrame:
-    """One row a document: ``doc_id``, ``set_id``, ``class_id``, ``n_links``.
+    """One row a document: ``doc_id``, ``text_hash``, ``component``, ``set_id``, ``class_id``, ``n_links``.
 
     ``set_id`` is the smallest id with the same n-gram set, ``class_id`` the smallest id
     reachable by links (a document without links is its own class), ``n_links`` the number
-    of other documents that it links with directly, copies included.
+    of other documents that it links with directly, copies included.  ``component`` is null
+    for documents without n-grams.
     """
     bands, rows = banding(similarity, recall, hashes)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -208,7 +211,30 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     named = nodes.select("node", "copies", "first_id").join(counts, "node", "left").join(joined, "node", "left")
     named = settle(named.select("node", "first_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")))
     classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    named = named.join(classes, "component").select("node", F.col("first_id").alias("set_id"), "class_id", "n_links")
-    out = sketch.select("doc_id", "node").join(named, "node", "left")
+    named = named.join(classes, "component").select("node", "component", F.col("first_id").alias("set_id"), "class_id", "n_links")
+    out = sketch.select("doc_id", "text_hash", "node").join(named, "node", "left")
     own = F.col("node").isNull()
-    return out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"), F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return out.select("doc_id", "text_hash", "component", F.when(own, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"), F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each class, that with the smallest id; those without n-grams all stay.
+
+    Of a class's rows with equal ids the one with the smallest text hash stays, of equal rows
+    one.  Rows that no class touches stay where they are; only the others, which a Bloom
+    filter finds, are joined.
+    """
+    found = settle(near_duplicates(docs, **options).where("component is not null").select("doc_id", "text_hash", "component"))
+    rows = found.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    judged = rows.join(first, "component").withColumn("stays", F.struct("doc_id", "text_hash").eqNullSafe(F.col("first")))
+    touched = settle(judged.where("not stays or n > 1").select(F.xxhash64("doc_id", "text_hash").alias("mark"), "stays").groupBy("mark").agg(F.max("stays").alias("stays")))
+    mark, stays = free_name(docs, "near_mark"), free_name(docs, "near_stays")
+    marked = docs.withColumn(mark, F.xxhash64(F.col("doc_id").cast("bigint"), F.xxhash64("text")))
+    possible = BlockedBloom.build(touched, "mark").maybe(docs.sparkSession, F.col(mark))
+    known = touched.select(F.col("mark").alias(mark), F.col("stays").alias(stays))
+    joined = settle(marked.where(possible).join(known, mark, "left"))
+    apart = marked.where(~possible).select(*docs.columns)
+    clean = joined.where(F.col(stays).isNull()).select(*docs.columns)
+    single = joined.where(F.col(stays)).dropDuplicates([mark]).select(*docs.columns)
+    return apart.unionByName(clean).unionByName(single)

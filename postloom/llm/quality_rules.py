@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, settle
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -76,20 +76,38 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
     return [n, word_chars, symbols, dup_lines, repeats], features
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the counts and the features of every row of ``docs(doc_id, text)``."""
+def with_statistics(docs: DataFrame, model: Trees | None = None, threshold: float = 0.5) -> DataFrame:
+    """``doc_id``, the counts, the features, ``base_failed``, ``quality_score`` and ``kept`` of every row of ``docs(doc_id, text)``."""
 
     def rows(batches):
         for batch in batches:
-            found = [statistics(t) for t in batch.column(1).to_pylist()]
-            yield {"doc_id": batch.column(0), **{c: [x[0][k] for x in found] for k, c in enumerate(COUNTS)}, **{c: [x[1][k] for x in found] for k, c in enumerate(FEATURES)}}
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at in range(0, len(texts), 1000):
+                counts, features, failed, score = judge(texts[at : at + 1000], model)
+                yield {"doc_id": ids[at : at + 1000], **dict(zip(COUNTS, counts.T)), **dict(zip(FEATURES, features.T)), "base_failed": failed, "quality_score": score, "kept": ~failed & (score >= threshold)}
 
-    schema = ", ".join(["doc_id bigint", *(f"{c} bigint" for c in COUNTS), *(f"{c} double" for c in FEATURES)])
+    schema = ", ".join(["doc_id bigint", *(f"{c} bigint" for c in COUNTS), *(f"{c} double" for c in FEATURES), "base_failed boolean, quality_score double, kept boolean"])
     return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, schema)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def judge(texts: list[str | None], model: Trees | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, features, base failures and scores of some texts; without a model every score is 1."""
+    found = [statistics(t) for t in texts]
+    counts = np.array([x[0] for x in found], dtype=np.int64).reshape(-1, len(COUNTS))
+    features = np.array([x[1] for x in found], dtype=float).reshape(-1, len(FEATURES))
+    failed = (counts[:, 0] < 10) | (100 * counts[:, 4] > 20 * counts[:, 0])
+    return counts, features, failed, np.ones(len(texts)) if model is None else model.probability(features)
+
+
+def verdict(text: Column, model: Trees | None, threshold: float = 0.5) -> Column:
+    """Whether a text is kept."""
+
+    @F.pandas_udf("boolean")
+    def kept(texts: pd.Series) -> pd.Series:
+        _, _, failed, score = judge(texts.tolist(), model)
+        return pd.Series(~failed & (score >= threshold))
+
+    return kept(text)
 
 
 class Trees:
@@ -171,30 +189,19 @@ class Trees:
         return 1 / (1 + np.exp(-raw))
 
 
-def train(stats: DataFrame, labels: DataFrame, sample: int = 20_000) -> Trees | None:
-    """Fit on at most ``sample`` labelled rows, those with the smallest hashed id.
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Trees | None:
+    """Fit on at most ``sample`` labelled documents, those with the smallest hashed ids.
 
-    ``stats`` holds ``doc_id`` and the features, ``labels`` holds ``doc_id`` and ``quality`` (0 or 1).
+    ``labels`` holds ``doc_id`` and ``quality`` (0 or 1).  Only the sample's ids are broadcast
+    and only its features reach the driver.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = stats.join(known, "doc_id").select("quality", *FEATURES, F.xxhash64("doc_id").alias("order"), "doc_id")
-    data = rows.orderBy("order", "doc_id", *FEATURES).limit(sample).toPandas()
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().join(known, "doc_id")
+    chosen = settle(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    stats = with_statistics(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
+    one = stats.groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("x"))
+    data = one.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "x.*").toPandas().sort_values("doc_id")
     if data["quality"].nunique() < 2:
         return None
     y = (data["quality"].to_numpy() > 0).astype(float)
     return Trees(monotone={FEATURES.index(k): v for k, v in MONOTONE.items()}).fit(data[list(FEATURES)].to_numpy(float), y)
-
-
-def judged(stats: DataFrame, model: Trees | None, threshold: float = 0.5) -> DataFrame:
-    """``stats`` with ``base_failed``, ``quality_score`` and ``kept``."""
-    if model is None:
-        score = F.lit(1.0)
-    else:
-
-        @F.pandas_udf("double")
-        def quality(*columns: pd.Series) -> pd.Series:
-            return pd.Series(model.probability(np.stack([c.to_numpy(float) for c in columns], axis=1)))
-
-        score = quality(*FEATURES)
-    out = stats.withColumn("base_failed", base_failed()).withColumn("quality_score", score)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality_score") >= threshold))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, quality_rules
-from .common import id_remainder, settle, table
+from . import language_id, mixing, ngram_join, packing, quality_rules
+from .common import id_remainder, table
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,19 +17,35 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents takes of each."""
+    plan, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the trees' verdict for every document."""
-    stats = settle(quality_rules.document_statistics(table(spark, sf_dir, "documents")))
-    model = quality_rules.train(stats, table(spark, sf_dir, "labels"))
-    return quality_rules.judged(stats, model).select("doc_id", *quality_rules.COUNTS, "base_failed", "quality_score", "kept")
+    docs = table(spark, sf_dir, "documents")
+    model = quality_rules.train(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.with_statistics(docs, model).select("doc_id", *quality_rules.COUNTS, "base_failed", "quality_score", "kept")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """All documents in sequences of up to 4096 tokens; ``tokenizer`` is the path of another file."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), str(tokenizer))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document at a Jaccard similarity of 0.8 on five-word runs."""
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "set_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op8_quality_rules, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op4_language_id, op6_source_mixing, op8_quality_rules, op9_packing, op10_ngram_join)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
