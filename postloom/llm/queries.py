@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, ngram_join, packing, quality_rules
+from . import language_id, lm_scoring, mixing, ngram_join, packing, quality_rules
 from .common import id_remainder, table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from those whose crc32 of the id modulo 5 is not 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lm_scoring.score(docs, docs.where(id_remainder("doc_id", 5) != 1))
+    return found.select("doc_id", (id_remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those whose crc32 of the id modulo 3 is not 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -45,7 +52,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "set_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op6_source_mixing, op8_quality_rules, op9_packing, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_language_id, op6_source_mixing, op8_quality_rules, op9_packing, op10_ngram_join)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
