@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_scoring, mixing, ngram_join, packing, quality_rules
+from . import embedding_dedup, language_id, licenses, lm_scoring, mixing, ngram_join, packing, quality_rules, token_counts, tokenizing, url_filter
 from .common import id_remainder, table
 
 
@@ -16,6 +16,27 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+#: The rules of op2, as (host, path, verdict).
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and list for every page.
+
+    The list is made of the table: the URLs of all pages whose host begins with the label
+    ``spam`` or ``spam-...``.  Other spellings of a listed URL are listed too.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(url_filter.host_of(F.col("url")).rlike(r"^(www\.|m\.)?spam(-[^.]*)?\."))
+    return url_filter.judge_urls(pages, listed, RULES)
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9."""
+    found = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those whose crc32 of the id modulo 3 is not 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -24,12 +45,33 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence words, places and labels of every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each."""
     plan, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    """Tokens of every document, counted in flat files that hold all documents' ids and no index.
+
+    The files are written first: 16-bit ids of a byte-level tokenizer (``ranks`` is the path
+    of another file of ranks), 50256 after each document, in blocks of 65536 ids.
+    """
+    if ranks is None:
+        import public_tokenizers
+
+        ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    where, end = str(ranks), 50_256
+    blocks, names = token_counts.write_stream(table(spark, sf_dir, "documents"), lambda: tokenizing.byte_encoder(where), end, block_ids=1 << 16, files=0)
+    found = token_counts.documents_in(blocks, end)
+    return found.join(names, ["file", "number"]).select("doc_id", "n_tokens")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the trees' verdict for every document."""
     docs = table(spark, sf_dir, "documents")
@@ -52,7 +94,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "set_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_language_id, op6_source_mixing, op8_quality_rules, op9_packing, op10_ngram_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lm_scoring, op2_url_filter, op3_embedding_dedup, op4_language_id, op5_license_scan, op6_source_mixing, op7_token_counts, op8_quality_rules, op9_packing, op10_ngram_join)
+}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -72,4 +117,33 @@ degrees AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT doc_id, coalesce(min(doc_id) OVER (PARTITION BY coalesce(s, 'none ' || doc_id)), doc_id) AS set_id, class_id,
        coalesce(n_links, 0) AS n_links, doc_id = class_id AS kept
 FROM documents LEFT JOIN sets USING (doc_id) LEFT JOIN classes USING (doc_id) LEFT JOIN degrees USING (doc_id)""",
+    "op2_url_filter": r"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         list_sort(list_filter(string_split(coalesce(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), ''), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(?i:utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS args
+  FROM pages),
+named AS (
+  SELECT *, CASE WHEN bare <> '' THEN bare || regexp_replace(path, '/+$', '') || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS key
+  FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', ''), '^(www|m)\.', '') AS bare FROM parts)),
+listed AS (SELECT DISTINCT key FROM named WHERE key IS NOT NULL AND regexp_matches(host, '^(www\.|m\.)?spam(-[^.]*)?\.')),
+ruled AS (
+  SELECT page_id, host, path, listed.key IS NOT NULL AS listed,
+         CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+              WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+              WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM named LEFT JOIN listed USING (key))
+SELECT page_id, host, path, rule, listed,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN listed THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled""",
+    "op3_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM component LEFT JOIN degree USING (vec_id)""",
 }

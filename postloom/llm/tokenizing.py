@@ -55,3 +55,18 @@ def word_cache(path: str) -> WordCache:
     if path not in _LOADED:
         _LOADED[path] = WordCache(path)
     return _LOADED[path]
+
+
+def byte_encoder(ranks: str):
+    """A function from texts to 16-bit ids as bytes, by a file of byte-level ranks; one a worker process and file."""
+    if ranks not in _LOADED:
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(ranks, "rb") as lines:
+            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        _LOADED[ranks] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+    encoding = _LOADED[ranks]
+    return lambda texts: [np.array(encoding.encode_ordinary(t or ""), dtype="<u2").tobytes() for t in texts]
