@@ -46,8 +46,8 @@ class Predicate:
         return Predicate({"tag": "Not", "expr": self.spec}, lambda: ~self.column, (self,))
 
 
-def _leaf(tag: str, build: Callable[[], Column], **arguments) -> Predicate:
-    return Predicate({"tag": tag, **{k: sorted(v) if isinstance(v, (set, frozenset)) else v for k, v in arguments.items()}}, build)
+def _leaf(kind: str, build: Callable[[], Column], /, **arguments) -> Predicate:
+    return Predicate({"tag": kind, **{k: sorted(v) if isinstance(v, (set, frozenset)) else v for k, v in arguments.items()}}, build)
 
 
 def _some(values: Iterable, what: str) -> list:
@@ -107,7 +107,7 @@ def author_in(names: Iterable[str]) -> Predicate:
 
 
 def hashtag(tag: str) -> Predicate:
-    return _leaf("Hashtag", lambda: F.array_contains("hashtags", tag), tag=tag)
+    return _leaf("Hashtag", lambda: F.array_contains("hashtags", tag), hashtag=tag)
 
 
 def hashtag_in(tags: Iterable[str]) -> Predicate:

@@ -73,7 +73,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(repost, did(F.col("target_user"))).alias("repost_by_did"),
         F.when(k.between(15, 17), F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(k - 15, F.lit(0))), image)).otherwise(F.array().cast("array<struct<fullsize:string,thumb:string,alt:string>>")).alias("images"),
         (k == 18).alias("has_video"),
-        F.when(k == 19, F.array(F.concat(F.lit("https://host"), (e % 5).cast("string"), F.lit(".example/"), e.cast("string")))).otherwise(none).alias("links"),
+        F.when(k == 19, F.array(F.concat(F.lit("https://host"), (F.floor(e / 20) % 5).cast("string"), F.lit(".example/"), e.cast("string")))).otherwise(none).alias("links"),
     )
     return flagged(out)
 
@@ -132,7 +132,7 @@ raw AS (
     CASE WHEN x.k BETWEEN 15 AND 17 THEN x.k - 14 ELSE 0 END AS image_count,
     CASE WHEN x.k BETWEEN 15 AND 17 THEN len(list_filter(range(0, x.k - 14), lambda i: (x.event_id + i) % 4 <> 0)) ELSE 0 END AS alt_count,
     x.k = 18 AS has_video,
-    CASE WHEN x.k = 19 THEN ['https://host' || (x.event_id % 5) || '.example/' || x.event_id] ELSE CAST([] AS VARCHAR[]) END AS links
+    CASE WHEN x.k = 19 THEN ['https://host' || (x.event_id // 20 % 5) || '.example/' || x.event_id] ELSE CAST([] AS VARCHAR[]) END AS links
   FROM x JOIN documents d ON d.doc_id = x.event_id % (SELECT count(*) FROM documents) LEFT JOIN events t ON t.event_id = x.target JOIN events r ON r.event_id = x.blk),
 posts AS (
   SELECT *, reply_parent_uri IS NOT NULL AS is_reply, quote_uri IS NOT NULL AS is_quote, repost_by_did IS NOT NULL AS is_repost, k NOT BETWEEN 1 AND 14 AS is_original,
