@@ -3,42 +3,59 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 _LOADED: dict = {}
+#: ASCII and Latin-1 letters, then marks that start no contraction and no special token.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!#$%&*,.:;?]*)")
 
 
 class WordCache:
     """Ids of whole texts by the ``tokenizers`` library, word by word.
 
     It is for tokenizers that drop white space, so that a text's ids are those of its parts
-    between ASCII white space, put together.  Unseen parts are encoded together, in one text,
-    and told apart by their offsets.  At most ``remember`` parts are kept.
+    between ASCII white space, put together.  Letters and marks are encoded apart by such a
+    tokenizer and its words are lower-cased, so a part that is a word and marks behind it is
+    looked up as these two.  What is unseen is encoded together, in one text, and told apart
+    by offsets.  At most ``remember`` parts and words are kept.
     """
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remember, self.known = remember, {}
+        self.remember, self.known, self.words = remember, {}, {}
 
     def learn(self, parts: list[bytes]) -> None:
+        """Encode unseen parts: a plain word with ASCII marks behind it by its word and its marks."""
+        words, split = self.words, [_PLAIN.fullmatch(p) for p in parts]
+        names = [(m[1].lower(), m[2]) if m else (p,) for m, p in zip(split, parts)]
+        new = set().union(*names).difference(words)
+        if new:
+            self.ask(sorted(new))
+        for part, name in zip(parts, names):
+            self.known[part] = words[name[0]] + words[name[1]] if len(name) > 1 else words[part]
+
+    def ask(self, parts: list[bytes]) -> None:
         texts = [p.decode() for p in parts]
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
         found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         ids = np.array(found.ids, dtype="<u4")
         own = np.searchsorted(starts, np.array([o[0] for o in found.offsets], dtype=np.int64), side="right")
-        edges = np.searchsorted(own, np.arange(1, len(parts) + 2))
+        edges = (4 * np.searchsorted(own, np.arange(1, len(parts) + 2))).tolist()
         raw = ids.tobytes()
-        for k, part in enumerate(parts):
-            self.known[part] = raw[4 * edges[k] : 4 * edges[k + 1]]
+        for part, a, b in zip(parts, edges, edges[1:]):
+            self.words[part] = raw[a:b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit; null is the empty text."""
         if len(self.known) > self.remember:
             self.known.clear()
+        if len(self.words) > self.remember:
+            self.words.clear()
         out = []
         for at in range(0, len(texts), 128):
             split = [(t or "").encode().split() for t in texts[at : at + 128]]
