@@ -112,11 +112,12 @@ def pagerank(people: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
 def communities(people: DataFrame, links: DataFrame, rounds: int = 10, least: int = 1) -> DataFrame:
     """``did`` and ``community`` (its smallest member) by label propagation over links both ways.
 
-    All nodes change at once; each also votes for its own label with weight 1; ties go to the
-    smallest label.
+    All nodes change at once; each also votes for its own label, as strongly as its strongest
+    neighbour, so that a pair does not swap labels for ever; ties go to the smallest label.
     """
     near = links.select("src", "dst", "weight").union(links.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("w"))
-    near = saved(near.union(people.select("did", "did", F.lit(1).cast("bigint"))))
+    own = people.select(F.col("did").alias("src")).join(near.groupBy("src").agg(F.max("w").alias("w")), "src", "left")
+    near = saved(near.union(own.select("src", "src", F.coalesce("w", F.lit(1).cast("bigint")))))
     labels = people.select("did", F.col("did").alias("label"))
     for _ in range(rounds):
         votes = near.join(labels.select(F.col("did").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("w").alias("w"))
