@@ -20,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,16 +28,22 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, settle
 
-FREQUENT, CLASSES, WIDTH, NOISE, BATCH, ROUNDS = 400, 110, 24, 32, 4096, 2
+FREQUENT, CLASSES, WIDTH, NOISE, BATCH, RATE, ROUNDS = 400, 110, 16, 32, 2048, 0.2, 1
 #: Words with at least 1/HEAVY of all training tokens are broadcast: HEAVY words at most, 10 to 20 MB.
 HEAVY = 200_000
-_FLUSH = 1_000_000
+_FLUSH = 400_000
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def texts_of(batch, column: int, size: int = 500):
+    """A batch's texts, a few at a time as Python objects."""
+    for at in range(0, batch.num_rows, size):
+        yield from batch.column(column).slice(at, size).to_pylist()
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``word`` and ``n`` over all rows of ``docs(text)``."""
 
@@ -44,17 +51,16 @@ def count_words(docs: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def some():
-            items = list(seen.items())
-            seen.clear()
-            for at in range(0, len(items), 50_000):
-                part = items[at : at + 50_000]
+            left = iter(seen.items())
+            while part := list(islice(left, 50_000)):
                 yield {"word": [w.decode() for w, _ in part], "n": [n for _, n in part]}
+            seen.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in texts_of(batch, 0):
                 seen.update(words_of(text))
-            if len(seen) > _FLUSH:
-                yield from some()
+                if len(seen) > _FLUSH:
+                    yield from some()
         yield from some()
 
     return map_arrow(docs.select("text"), partial, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -118,7 +124,7 @@ class LogBilinear:
             at += old.size
         return self
 
-    def train(self, batches, noise: int = NOISE, rate: float = 0.1, seed: int = 0) -> int:
+    def train(self, batches, noise: int = NOISE, rate: float = RATE, seed: int = 0) -> int:
         """Adagrad steps over arrays of (before last, last, next); returns the number of rows."""
         rng = np.random.default_rng(seed)
         count = len(self.bias)
@@ -203,8 +209,8 @@ def train(docs: DataFrame, symbols, model: LogBilinear, rounds: int = ROUNDS) ->
             own = LogBilinear(len(mine.bias), mine.context.shape[1], mine.noise)
             own.noise = mine.noise
             own.load(flat)
-            texts = (t for b in batches for t in b.column(0).to_pylist())
-            rows = own.train(triples(symbols.value, texts, BATCH), rate=0.1 / (turn + 1), seed=turn)
+            texts = (t for b in batches for t in texts_of(b, 0))
+            rows = own.train(triples(symbols.value, texts, BATCH), rate=RATE / (turn + 1), seed=turn)
             if rows:
                 yield {"at": np.arange(len(flat), dtype=np.int32), "value": own.parameters().astype(np.float64) * rows, "rows": np.full(len(flat), rows, np.int64)}
 
@@ -250,7 +256,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         classed[s.frequent : s.end] = np.log10(s.mass[s.frequent : s.end])
         end = np.log10(s.mass[s.end] + 0.5)
         lead = np.array([s.start, s.start], np.int32)
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             out = {k: [] for k in ("n_tokens", "n_known", "base", "score", "tail")}
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
@@ -269,10 +275,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
             yield out | {"doc_id": batch.column(0), "row": batch.column(2)}
 
     found = settle(map_arrow(docs, judge, "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, tail array<string>"))
-    tail = found.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    seen = tail.join(counts, "word", "left")
-    logs = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)
-    light = seen.groupBy("row").agg(F.sum(logs).alias("logs"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
+    seen = found.select("row", F.explode("tail").alias("word")).join(counts, "word", "left")
+    light = seen.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"), F.count("n").alias("known"))
     out = found.join(light, "row", "left")
     more = F.coalesce("logs", F.lit(0.0))
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
