@@ -44,7 +44,7 @@ def host(url: Column) -> Column:
 
 
 def markdown_cell(text: Column, width: int = 80) -> Column:
-    return F.regexp_replace(clean(text, width), r"\|", r"\\\\|")
+    return F.regexp_replace(clean(text, width), r"\|", r"\\|")
 
 
 def tokens(text: Column) -> Column:
