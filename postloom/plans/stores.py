@@ -1,0 +1,57 @@
+"""Registered queries: stores on disk, lookups and output by filter."""
+
+from __future__ import annotations
+
+from datetime import date, datetime
+
+from pyspark.sql import functions as F
+
+from ..operators import changelog as c
+from ..operators import predicates as p
+from ..sources import ndjson, store
+from .base import LOG, POSTS, log, posts, query
+from .streams import new_folder
+
+
+def _stored(spark, d):
+    path = new_folder(spark)
+    store.write_posts(posts(spark, d), path)
+    return store.read_posts(spark, path)
+
+
+@query(f"{POSTS} SELECT uri, author, score AS engagement FROM posts WHERE created_at BETWEEN TIMESTAMP '2024-01-03 08:00:00' AND TIMESTAMP '2024-01-04 20:00:00' AND (has_media OR is_reply)")
+def s_stored_range(spark, d):
+    """Only the folders of two days are read."""
+    from ..functions.text import score
+
+    wanted = p.date_range(datetime(2024, 1, 3, 8), datetime(2024, 1, 4, 20)) & (p.has_media() | p.is_reply())
+    return _stored(spark, d).where(wanted.column).select("uri", "author", score().alias("engagement"))
+
+
+@query(f"{POSTS} SELECT uri FROM posts WHERE created_date = DATE '2024-01-05'")
+def s_by_date(spark, d):
+    return store.by_date(_stored(spark, d), date(2024, 1, 5)).select("uri")
+
+
+@query(f"{POSTS} SELECT uri FROM posts WHERE list_contains(hashtags, '#purchase')")
+def s_by_hashtag(spark, d):
+    return store.by_hashtag(posts(spark, d), "#purchase").select("uri")
+
+
+@query(f"{POSTS} SELECT uri FROM posts WHERE author = 'u5.test'")
+def s_by_author(spark, d):
+    return store.by_author(posts(spark, d), "U5.test").select("uri")
+
+
+@query(f"{LOG}, last AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY seq DESC) AS n FROM post_log) SELECT uri, seq, like_count FROM last WHERE n = 1 AND op = 'U'")
+def s_stored_log(spark, d):
+    """A log in batches, one of them written twice, and its replay."""
+    rows, path = log(spark, d).select("seq", "op", "uri", "like_count"), new_folder(spark)
+    for batch, part in enumerate([F.col("seq") % 3 == k for k in (0, 1, 2, 2)]):
+        store.append_log(rows.where(part), path, min(batch, 2))
+    return c.replay(store.read_log(spark, path).drop("batch")).select("uri", "seq", "like_count")
+
+
+@query(f"{POSTS} SELECT 'popular' AS name, count(*) FILTER (coalesce(like_count, 0) >= 20) AS count FROM posts UNION ALL SELECT 'replies', count(*) FILTER (is_reply) FROM posts")
+def s_materialize(spark, d):
+    return ndjson.materialize(posts(spark, d), {"popular": p.engagement(likes=20), "replies": p.is_reply()}, new_folder(spark))

@@ -16,7 +16,7 @@ from .base import LOG, POSTS, log, posts, query
 _COLUMNS = ["seq", "op", "uri", "author", "like_count", "hashtags"]
 
 
-def _folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
     """A new folder beside the session's checkpoints."""
     saved(spark.range(1))
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
@@ -41,7 +41,7 @@ took AS (SELECT * FROM kept WHERE seq % 10 = 3 OR CASE WHEN op = 'D' THEN b IS N
 current AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY seq DESC) AS n FROM took) WHERE n = 1 AND op = 'U')
 SELECT uri, seq, like_count FROM current""")
 def s_commits_stream(spark, d):
-    root = _folder(spark)
+    root = new_folder(spark)
     _staged(_commits(spark, d), f"{root}/in", F.col("seq"))
     schema = spark.read.parquet(f"{root}/in").schema
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
@@ -52,7 +52,7 @@ def s_commits_stream(spark, d):
 @query(f"""{POSTS}, hours AS (SELECT date_trunc('hour', created_at) AS h, count(*) AS posts, sum(score)::BIGINT AS engagement FROM posts GROUP BY 1)
 SELECT strftime(h, '%Y-%m-%dT%H:00:00Z') AS bucket, posts, engagement FROM hours WHERE h + INTERVAL 1 HOUR <= (SELECT max(created_at) - INTERVAL 1 HOUR FROM posts)""")
 def s_live_buckets(spark, d):
-    root = _folder(spark)
+    root = new_folder(spark)
     rows = posts(spark, d).select("uri", "author", F.col("created_at").cast("timestamp").alias("created_at"), "like_count", "repost_count", "reply_count", "quote_count")
     _staged(rows, f"{root}/in", F.unix_micros("created_at"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
@@ -63,7 +63,7 @@ def s_live_buckets(spark, d):
 
 @query(f"{LOG} SELECT seq, op, uri FROM post_log")
 def s_log_tail(spark, d):
-    root = _folder(spark)
+    root = new_folder(spark)
     rows = log(spark, d).select(_COLUMNS)
     _staged(rows, f"{root}/in", F.col("seq"))
     stream = ingest.tail_log(spark, f"{root}/in", rows.schema, 1)
