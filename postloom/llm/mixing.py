@@ -135,7 +135,7 @@ def placed(docs: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
     offsets = sums.select("ord", "bucket", F.coalesce(F.sum("whole").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("ord", "bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     running = docs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return running.join(offsets, ["ord", "bucket"]).withColumn("start", F.col("offset") + F.col("inside")).drop("bucket", "offset", "inside")
+    return running.join(offsets.hint("merge"), ["ord", "bucket"]).withColumn("start", F.col("offset") + F.col("inside")).drop("bucket", "offset", "inside")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -185,12 +185,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK,
     rows = settle(placed(sized, known, max(1, sum(int(r["docs"]) for r in stats) // _BUCKET_ROWS)))
     end = F.col("start") + F.col("size")
     parts = rows.where("size > 0").select("ord", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"))
-    parts = parts.join(times, ["ord", "block"])
+    parts = parts.join(times.hint("merge"), ["ord", "block"])  # both sides grow; small when compressed only
     lo = F.greatest(F.col("block") * block, F.col("start")) - F.col("start")
     hi = F.least((F.col("block") + 1) * block, end) - F.col("start")
     draws = parts.groupBy("ord", "start").agg(F.sum((hi - lo) * F.col("times")).alias("taken"), F.array_sort(F.collect_list(F.struct(lo.alias("from"), hi.alias("to"), F.col("times")))).alias("draws"))
     # of the rows that start at one place, one alone has words
-    out = rows.withColumn("real", F.col("size") > 0).join(draws.withColumn("real", F.lit(True)), ["ord", "start", "real"], "left")
+    out = rows.withColumn("real", F.col("size") > 0).join(draws.withColumn("real", F.lit(True)).hint("merge"), ["ord", "start", "real"], "left")
     source = known.select("ord", F.col("name").alias("source"))
     if len(names) <= SMALL:
         source = F.broadcast(source)
