@@ -66,7 +66,7 @@ def applied_commits(existing: DataFrame, commits: DataFrame, predicate: Predicat
     create counts where the uri is absent at that moment, a delete where it is present, an
     update always; creates and updates that fail the filter are passed over, deletes are not.
     """
-    kept = commits if predicate is None else commits.where((F.col("op") == "delete") | predicate.column)
+    kept = commits if predicate is None else commits.where((F.col("op") == "delete") | predicate.condition)
     known = existing.select("uri").distinct().withColumn("_known", F.lit(True))
     rows = kept.join(known, "uri", "left")
     before = F.lag("op").over(Window.partitionBy("uri").orderBy("seq"))
@@ -104,7 +104,7 @@ def derive_kinds(log: DataFrame, match: Column, target: DataFrame | None = None)
 
 def derive(log: DataFrame, predicate: Predicate, source_store: str, target: DataFrame | None = None) -> DataFrame:
     """Rows that the target's log gets: all deletes and the copied upserts, with where they came from."""
-    rows = derive_kinds(log, predicate.column, target).where("kind <> 'skipped'").drop("kind")
+    rows = derive_kinds(log, predicate.condition, target).where("kind <> 'skipped'").drop("kind")
     return rows.withColumn("source_store", F.lit(source_store))
 
 

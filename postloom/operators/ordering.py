@@ -39,7 +39,7 @@ def page_after(posts: DataFrame, name: str, last: tuple, size: int) -> DataFrame
 
 def scan_limited(posts: DataFrame, predicate: Predicate, scan: int | None = None) -> DataFrame:
     """Matches among the first ``scan`` posts by time, or among all."""
-    return (posts if scan is None else by_time(posts).limit(scan)).where(predicate.column)
+    return (posts if scan is None else by_time(posts).limit(scan)).where(predicate.condition)
 
 
 def merge_stores(stores: dict[str, DataFrame], descending: bool = False) -> DataFrame:

@@ -30,17 +30,23 @@ class Predicate:
 
     @property
     def column(self) -> Column:
+        """True or false for every row."""
         return F.coalesce(self.build(), F.lit(False))
 
+    @property
+    def condition(self) -> Column:
+        """For ``where``, which drops null like false: plain comparisons that scans can push down."""
+        return self.build()
+
     def signature(self) -> str:
         """Key-sorted JSON: equal for equal filters."""
         return json.dumps(self.spec, sort_keys=True, default=str)
 
     def __and__(self, other: Predicate) -> Predicate:
-        return Predicate({"tag": "And", "left": self.spec, "right": other.spec}, lambda: self.column & other.column, (self, other))
+        return Predicate({"tag": "And", "left": self.spec, "right": other.spec}, lambda: self.build() & other.build(), (self, other))
 
     def __or__(self, other: Predicate) -> Predicate:
-        return Predicate({"tag": "Or", "left": self.spec, "right": other.spec}, lambda: self.column | other.column, (self, other))
+        return Predicate({"tag": "Or", "left": self.spec, "right": other.spec}, lambda: self.build() | other.build(), (self, other))
 
     def __invert__(self) -> Predicate:
         return Predicate({"tag": "Not", "expr": self.spec}, lambda: ~self.column, (self,))
@@ -170,7 +176,7 @@ def engagement(likes: int | None = None, reposts: int | None = None, replies: in
     given = {k: v for k, v in {"like_count": likes, "repost_count": reposts, "reply_count": replies}.items() if v is not None}
     if not given or min(given.values()) < 0:
         raise ValueError("engagement: one threshold at least, none below 0")
-    return _leaf("Engagement", lambda: functools.reduce(lambda a, b: a & b, [F.coalesce(F.col(k), F.lit(0)) >= v for k, v in given.items()]), **given)
+    return _leaf("Engagement", lambda: functools.reduce(lambda a, b: a & b, [F.col(k) >= v if v else F.coalesce(F.col(k), F.lit(0)) >= 0 for k, v in given.items()]), **given)
 
 
 def min_images(n: int) -> Predicate:

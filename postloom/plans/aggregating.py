@@ -14,7 +14,7 @@ _DAY = "created_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06'"
 
 
 def _day(spark, d):
-    return posts(spark, d).where(p.date_range(datetime(2024, 1, 5), datetime(2024, 1, 6)).column)
+    return posts(spark, d).where(p.date_range(datetime(2024, 1, 5), datetime(2024, 1, 6)).condition)
 
 
 def _counted(key: str, source: str = "posts") -> str:

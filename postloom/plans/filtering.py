@@ -14,7 +14,7 @@ from .base import IMAGES, POSTS, posts, query, table
 
 
 def _uris(spark, d, predicate):
-    return posts(spark, d).where(predicate.column).select("uri")
+    return posts(spark, d).where(predicate.condition).select("uri")
 
 
 def _where(condition: str) -> str:
@@ -156,7 +156,7 @@ def o_likes(spark, d):
 
 @query(f"{POSTS} SELECT uri, author, score AS engagement FROM posts WHERE list_contains(hashtags, '#click') AND coalesce(like_count, 0) >= 5 ORDER BY score DESC, created_at DESC, uri DESC LIMIT 10")
 def o_engagement_topk(spark, d):
-    kept = posts(spark, d).where((p.hashtag("#click") & p.engagement(likes=5)).column)
+    kept = posts(spark, d).where((p.hashtag("#click") & p.engagement(likes=5)).condition)
     return o.by_metric(kept, "engagement").limit(10).select("uri", "author", score().alias("engagement"))
 
 

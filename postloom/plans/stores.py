@@ -25,7 +25,7 @@ def s_stored_range(spark, d):
     from ..functions.text import score
 
     wanted = p.date_range(datetime(2024, 1, 3, 8), datetime(2024, 1, 4, 20)) & (p.has_media() | p.is_reply())
-    return _stored(spark, d).where(wanted.column).select("uri", "author", score().alias("engagement"))
+    return _stored(spark, d).where(wanted.condition).select("uri", "author", score().alias("engagement"))
 
 
 @query(f"{POSTS} SELECT uri FROM posts WHERE created_date = DATE '2024-01-05'")

@@ -71,7 +71,7 @@ def materialize(posts: DataFrame, filters: dict, folder: str) -> DataFrame:
     """Each named filter's posts as JSON and as a markdown table in its own folder; returns name and count of each."""
     names = []
     for name, predicate in sorted(filters.items()):
-        kept = posts.where(predicate.column)
+        kept = posts.where(predicate.condition)
         write_json(kept, f"{folder}/{name}/json")
         markdown_rows(kept).write.mode("overwrite").text(f"{folder}/{name}/markdown")
         names.append(kept.agg(F.lit(name).alias("name"), F.count("*").alias("count")))

@@ -28,7 +28,7 @@ def test_signature_is_stable():
 
 def test_laws(some):
     a, b = p.hashtag("#click"), p.engagement(likes=10)
-    count = lambda x: some.where(x.column).count()
+    count = lambda x: some.where(x.condition).count()
     assert count(p.all_of()) == some.count() and count(p.any_of()) == 0
     assert count(a) + count(~a) == some.count()
     assert count(~(a & b)) == count(~a | ~b) and count(~(a | b)) == count(~a & ~b)
@@ -37,14 +37,14 @@ def test_laws(some):
 
 def test_null_is_false(spark):
     rows = spark.createDataFrame([("x", None, None), ("y", "a", 5)], "uri string, text string, like_count int").withColumns({"repost_count": F.lit(None).cast("int")})
-    assert rows.where((~p.contains("a")).column).count() == 1
-    assert rows.where(p.engagement(likes=0, reposts=0).column).count() == 2
+    assert rows.where((~p.contains("a")).condition).count() == 1
+    assert rows.where(p.engagement(likes=0, reposts=0).condition).count() == 2
 
 
 def test_end_of_text_is_not_before_a_newline(spark):
     rows = spark.createDataFrame([("end",), ("end\n",)], "text string")
-    assert rows.where(p.regex(["end$"]).column).count() == 1
-    assert rows.where(p.regex(["end$"], "m").column).count() == 2
+    assert rows.where(p.regex(["end$"]).condition).count() == 1
+    assert rows.where(p.regex(["end$"], "m").condition).count() == 2
 
 
 def test_lookup_policies(spark):
