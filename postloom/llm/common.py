@@ -43,11 +43,24 @@ def id_remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
+#: Rows in an Arrow batch; batches hold whole texts, sets or vectors.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession | None = None) -> None:
+    """Keep the session's Arrow batches at ``BATCH_ROWS`` rows or fewer, so that buffers stay small on both sides."""
+    spark = spark or SparkSession.getActiveSession()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark and not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, rows, schema: str) -> DataFrame:
     """``mapInArrow`` where ``rows(batches)`` yields dicts of columns (lists or arrays)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):

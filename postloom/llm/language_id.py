@@ -22,13 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, small_batches
 
 PROFILE_SIZE = 300
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-_COMPACT_AT = 4_000_000
+_COMPACT_AT = 1_000_000
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +78,8 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE_SIZE) -> dict[str, np.nd
         sums: dict[str, list] = {}
         pending: dict[str, int] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = (r for at in range(0, batch.num_rows, 500) for r in zip(*[c.slice(at, 500).to_pylist() for c in batch.columns]))
+            for text, lang in rows:
                 codes, counts = gram_counts(text)
                 sums.setdefault(lang, []).append((codes, counts))
                 pending[lang] = pending.get(lang, 0) + len(codes)
@@ -127,6 +128,7 @@ class Profiles:
 
 def predicted(text: Column, profiles: dict[str, np.ndarray], size: int = PROFILE_SIZE) -> Column:
     """A struct ``(lang, score)`` for a text column."""
+    small_batches()
     table = Profiles(profiles, size)
 
     @F.pandas_udf("lang string, score double")

@@ -21,6 +21,7 @@ documents of their own.  An empty table gives no rows.  Extra columns are ignore
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -29,10 +30,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, settle
+from .common import map_arrow, settle, small_batches
 
 WEIGHTS, MOST, BLOCK, SLOTS, SEED = (5.0, 2.0, 1.0), 3, 64, 65_536, 17
-_BUCKET_ROWS = 20_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _CHUNK = 200_000
 #: Sources whose table (about 100 bytes a row) is broadcast.
@@ -40,6 +40,7 @@ SMALL = 10_000
 
 
 def n_words(text: Column) -> Column:
+    small_batches()
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
         return pd.Series([0 if t is None else len(t.encode().split()) for t in texts])
@@ -182,7 +183,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK,
     dealt = map_arrow(numbered.repartition("shard", "ord"), expand, "shard bigint, ord int, block bigint")
     times = dealt.groupBy("ord", "block").agg(F.count("*").alias("times"))
 
-    rows = settle(placed(sized, known, max(1, sum(int(r["docs"]) for r in stats) // _BUCKET_ROWS)))
+    # as many buckets as rows in each, so neither level of the running sums outgrows the other
+    rows = settle(placed(sized, known, max(1, math.isqrt(sum(int(r["docs"]) for r in stats)))))
     end = F.col("start") + F.col("size")
     parts = rows.where("size > 0").select("ord", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"))
     parts = parts.join(times.hint("merge"), ["ord", "block"])  # both sides grow; small when compressed only

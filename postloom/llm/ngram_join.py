@@ -50,7 +50,7 @@ def word_hash(word: bytes) -> int:
 class Hasher:
     """64-bit hashes of n-grams, with the hashes of frequent words remembered."""
 
-    def __init__(self, words: int = WORDS, remember: int = 400_000):
+    def __init__(self, words: int = WORDS, remember: int = 200_000):
         self.words, self.remember, self.known = words, remember, {}
 
     def grams(self, text: str | None) -> np.ndarray:
@@ -107,7 +107,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> Data
 
     def sketch(batches):
         hasher = Hasher(words)
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             sets = [hasher.grams(t) for t in batch.column(1).to_pylist()]
             yield {
                 "doc_id": batch.column(0),
@@ -125,7 +125,7 @@ def gram_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def sets(batches):
         hasher = Hasher(words)
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             found = [s for s in map(hasher.grams, batch.column(0).to_pylist()) if len(s)]
             yield {"node": [node_of(s) for s in found], "grams": [s.tobytes() for s in found]}
 

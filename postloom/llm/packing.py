@@ -135,7 +135,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, end:
     def rows(batches):
         ids, held = [], []
         cache = word_cache(tokenizer)
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             ids += batch.column(0).to_pylist()
             held += [x + mark for x in cache.encode(batch.column(1).to_pylist())]
         first = TaskContext.get().partitionId() << 32

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, settle
+from .common import map_arrow, settle, small_batches
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -81,10 +81,10 @@ def with_statistics(docs: DataFrame, model: Trees | None = None, threshold: floa
 
     def rows(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 1000):
-                counts, features, failed, score = judge(texts[at : at + 1000], model)
-                yield {"doc_id": ids[at : at + 1000], **dict(zip(COUNTS, counts.T)), **dict(zip(FEATURES, features.T)), "base_failed": failed, "quality_score": score, "kept": ~failed & (score >= threshold)}
+            for at in range(0, batch.num_rows, 1000):
+                ids, texts = (batch.column(k).slice(at, 1000).to_pylist() for k in (0, 1))
+                counts, features, failed, score = judge(texts, model)
+                yield {"doc_id": ids, **dict(zip(COUNTS, counts.T)), **dict(zip(FEATURES, features.T)), "base_failed": failed, "quality_score": score, "kept": ~failed & (score >= threshold)}
 
     schema = ", ".join(["doc_id bigint", *(f"{c} bigint" for c in COUNTS), *(f"{c} double" for c in FEATURES), "base_failed boolean, quality_score double, kept boolean"])
     return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, schema)
@@ -102,10 +102,14 @@ def judge(texts: list[str | None], model: Trees | None) -> tuple[np.ndarray, np.
 def verdict(text: Column, model: Trees | None, threshold: float = 0.5) -> Column:
     """Whether a text is kept."""
 
+    small_batches()
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:
-        _, _, failed, score = judge(texts.tolist(), model)
-        return pd.Series(~failed & (score >= threshold))
+        out = []
+        for at in range(0, len(texts), 1000):
+            _, _, failed, score = judge(texts.iloc[at : at + 1000].tolist(), model)
+            out.append(~failed & (score >= threshold))
+        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
 
     return kept(text)
 

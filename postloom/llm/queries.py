@@ -34,7 +34,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.9."""
     found = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
-    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document at a Jaccard similarity of 0.8 on five-word runs."""
     found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "set_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return found.select("doc_id", "set_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 QUERIES = {

@@ -19,15 +19,16 @@ class WordCache:
     between ASCII white space, put together.  Letters and marks are encoded apart by such a
     tokenizer and its words are lower-cased, so a part that is a word and marks behind it is
     looked up as these two.  What is unseen is encoded together, in one text, and told apart
-    by offsets.  At most ``remember`` parts and words are kept.
+    by offsets.  About ``parts`` parts and ``words`` words are kept, some 50 MB a worker
+    process, which lives on between tasks.
     """
 
-    def __init__(self, path: str, remember: int = 800_000):
+    def __init__(self, path: str, parts: int = 100_000, words: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remember, self.known, self.words = remember, {}, {}
+        self.most, self.known, self.words = (parts, words), {}, {}
 
     def learn(self, parts: list[bytes]) -> None:
         """Encode unseen parts: a plain word with ASCII marks behind it by its word and its marks."""
@@ -52,12 +53,12 @@ class WordCache:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit; null is the empty text."""
-        if len(self.known) > self.remember:
-            self.known.clear()
-        if len(self.words) > self.remember:
-            self.words.clear()
         out = []
         for at in range(0, len(texts), 128):
+            if len(self.known) > self.most[0]:
+                self.known.clear()
+            if len(self.words) > self.most[1]:
+                self.words.clear()
             split = [(t or "").encode().split() for t in texts[at : at + 128]]
             new = set().union(*split).difference(self.known)
             if new:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
 _SEED = 991
@@ -96,6 +98,7 @@ class BlockedBloom:
 
     def maybe(self, spark, column: Column) -> Column:
         """False only for values that are not in the filter; null is in none."""
+        small_batches()
         blocks, words = self.blocks, spark.sparkContext.broadcast(self.words)
 
         @F.pandas_udf("boolean")
