@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 from .tokenizing import word_cache
 
-LENGTH, END, GROUP_BYTES = 4096, 2, 16 << 20
+LENGTH, END, GROUP_BYTES = 4096, 2, 24 << 20
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: (document, start, length)
 Piece = tuple[int, int, int]
@@ -138,6 +138,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, end:
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             ids += batch.column(0).to_pylist()
             held += [x + mark for x in cache.encode(batch.column(1).to_pylist())]
+        cache.forget()
         first = TaskContext.get().partitionId() << 32
         out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
         for number, pieces in enumerate(pack([len(x) // 4 for x in held], capacity)):

@@ -19,11 +19,10 @@ class WordCache:
     between ASCII white space, put together.  Letters and marks are encoded apart by such a
     tokenizer and its words are lower-cased, so a part that is a word and marks behind it is
     looked up as these two.  What is unseen is encoded together, in one text, and told apart
-    by offsets.  About ``parts`` parts and ``words`` words are kept, some 50 MB a worker
-    process, which lives on between tasks.
+    by offsets.  About ``parts`` parts and ``words`` words are kept, until ``forget``.
     """
 
-    def __init__(self, path: str, parts: int = 100_000, words: int = 250_000):
+    def __init__(self, path: str, parts: int = 800_000, words: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -51,6 +50,10 @@ class WordCache:
         for part, a, b in zip(parts, edges, edges[1:]):
             self.words[part] = raw[a:b]
 
+    def forget(self) -> None:
+        """Give the memory back: a worker process lives on after its task."""
+        self.known, self.words = {}, {}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit; null is the empty text."""
         out = []
