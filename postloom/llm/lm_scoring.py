@@ -4,13 +4,15 @@ Tokens are the words (runs without space, tab, newline, vertical tab, form feed
 return; A-Z lower-cased) of a text, then one end.  The model predicts a token's symbol from
 the two symbols before it.  A symbol is one of the most frequent words, the end, or a class
 of other words that share their last two characters; within its class a word has the share
-of its training count plus a half.  So every text has a finite, normalised probability.
+of its training count plus a half.  So every text has a finite, normalised probability.  The
+number of symbols grows with the sixth root of the tokens, up to what a worker can hold.
 
 Word counts come from all training documents and are joined by word; only words above a
 fixed share of all tokens (at most ``HEAVY`` of them can be) are broadcast.  Each training
 task runs noise-contrastive gradient steps over all its documents from the same start, and
 Spark averages the tasks' parameters, weighted by tokens, once a round; the driver gets one
-averaged set.  Scores are normalised over all symbols by products of the embedding matrices.
+averaged set, from which the next round starts.  Small partitions are put together, so that a
+task's steps are enough to learn from and grow with the corpus.  Scores are normalised over all symbols by products of the embedding matrices.
 
 Defined results: a null text is empty and has the end alone.  With no training document every
 token has probability one in both scores.  Rows with equal ids are scored each; extra
@@ -28,7 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, settle
 
-FREQUENT, CLASSES, WIDTH, NOISE, BATCH, RATE, ROUNDS = 400, 110, 16, 32, 2048, 0.2, 1
+FREQUENT, CLASSES, WIDTH, NOISE, BATCH, RATE, ROUNDS = 400, 110, 24, 32, 2048, 0.2, 2
+#: ``FREQUENT`` and ``CLASSES`` hold up to so many tokens and grow up to ``GROWTH`` times (2550 symbols, tables of 78 MB).
+SMALL, GROWTH = 1_000_000, 5
+#: A training task has at least so many tokens; from where that makes ``WIDE`` tasks, both grow with the square root.
+TASK_TOKENS, WIDE = 2_000_000, 30
 #: Words with at least 1/HEAVY of all training tokens are broadcast: HEAVY words at most, 10 to 20 MB.
 HEAVY = 200_000
 _FLUSH = 400_000
@@ -44,6 +50,17 @@ def texts_of(batch, column: int, size: int = 500):
         yield from batch.column(column).slice(at, size).to_pylist()
 
 
+def growth(tokens: int) -> float:
+    """How many times ``FREQUENT`` and ``CLASSES`` a model of so many tokens has."""
+    return min(max(1.0, (tokens / SMALL) ** (1 / 6)), GROWTH)
+
+
+def tasks_of(tokens: int) -> int:
+    """Training tasks at most for so many tokens."""
+    whole = tokens / TASK_TOKENS
+    return max(1, int(min(whole, (whole * WIDE) ** 0.5)))
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``word`` and ``n`` over all rows of ``docs(text)``."""
 
@@ -161,11 +178,12 @@ class LogBilinear:
         first = (self.context @ self.mix[0] @ self.target.T).astype(np.float64)
         second = (self.context @ self.mix[1] @ self.target.T + self.bias).astype(np.float64)
         first[:, start] = second[:, start] = -1e9  # the start is never a target
-        z = np.empty_like(first)
-        for k, row in enumerate(first):
-            raw = row[None, :] + second
-            top = raw.max(axis=1)
-            z[k] = top + np.log(np.exp(raw - top[:, None]).sum(axis=1))
+        top, over = first.max(axis=1), second.max(axis=1)
+        mass = np.exp(first - top[:, None]) @ np.exp(second - over[:, None]).T
+        with np.errstate(divide="ignore"):
+            z = np.log(mass) + top[:, None] + over[None, :]
+        for a, b in zip(*np.nonzero(mass < 1e-250)):  # the largest terms of both are too far apart
+            z[a, b] = np.logaddexp.reduce(first[a] + second[b])
         return np.stack([first, second]), z
 
 
@@ -197,8 +215,9 @@ def triples(symbols: Symbols, texts, batch: int):
         yield [np.concatenate(x) for x in zip(*parts)]
 
 
-def train(docs: DataFrame, symbols, model: LogBilinear, rounds: int = ROUNDS) -> LogBilinear:
+def train(docs: DataFrame, symbols, model: LogBilinear, tokens: int, rounds: int = ROUNDS) -> LogBilinear:
     """All of ``docs(text)``, ``rounds`` times; ``symbols`` is a broadcast ``Symbols``."""
+    docs = docs.select("text").coalesce(tasks_of(tokens))
     spark = docs.sparkSession
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(model)
@@ -214,13 +233,16 @@ def train(docs: DataFrame, symbols, model: LogBilinear, rounds: int = ROUNDS) ->
             if rows:
                 yield {"at": np.arange(len(flat), dtype=np.int32), "value": own.parameters().astype(np.float64) * rows, "rows": np.full(len(flat), rows, np.int64)}
 
-        got = map_arrow(docs.select("text"), local, "at int, value double, rows bigint").groupBy("at").agg((F.sum("value") / F.sum("rows")).alias("value")).toPandas().sort_values("at")
+        got = map_arrow(docs, local, "at int, value double, rows bigint").groupBy("at").agg((F.sum("value") / F.sum("rows")).alias("value")).toPandas().sort_values("at")
         model.load(got["value"].to_numpy())
     return model
 
 
 def learn(training: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, heavy: int = HEAVY):
-    """From ``training(text)``: the word counts as a table, N, V, and broadcast symbols and score tables (or None)."""
+    """From ``training(text)``: the word counts as a table, N, V, and broadcast symbols and score tables (or None).
+
+    ``frequent`` and ``classes`` are those of a small corpus and grow with the tokens.
+    """
     spark = training.sparkSession
     counts = settle(count_words(training))
     ends = training.count()
@@ -228,6 +250,7 @@ def learn(training: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES,
     n, v = int(total["n"] or 0) + ends, int(total["v"]) + (1 if ends else 0)
     if not ends:
         return counts, 0, 0, None, None
+    frequent, classes = (round(k * growth(n)) for k in (frequent, classes))
     top = [(r["word"], r["n"]) for r in counts.where(F.col("n") * heavy >= n).collect()]
     named = {w for w, _ in sorted(top, key=lambda x: (-x[1], x[0]))[:frequent]}
     others = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in sorted(named)], "word string")), "word", "left_anti")
@@ -236,8 +259,8 @@ def learn(training: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES,
     rest = float(others.agg(F.sum(F.col("n") + 0.5)).first()[0] or 0.0) - sum(best.values())
     symbols = Symbols(top, best, max(rest, 0.0), ends, frequent)
     shared = spark.sparkContext.broadcast(symbols)
-    model = train(training, shared, LogBilinear(symbols.count, WIDTH, symbols.mass))
-    return counts, n, v, shared, spark.sparkContext.broadcast(model.tables(symbols.start))
+    model = train(training, shared, LogBilinear(symbols.count, WIDTH, symbols.mass), n)
+    return counts, n, v, shared, spark.sparkContext.broadcast([x.astype(np.float32) for x in model.tables(symbols.start)])
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -266,7 +289,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 inside = logs[known >= s.frequent].sum()  # words of a class
                 seq = np.concatenate([lead, ids])
                 a, b, w = seq[:-2], seq[1:-1], seq[2:]
-                lm = (first[a, w] + second[b, w] - z[a, b]).sum() / np.log(10)
+                lm = (first[a, w] + second[b, w] - z[a, b]).sum(dtype=np.float64) / np.log(10)
                 out["n_tokens"].append(len(ids))
                 out["n_known"].append(len(known) + 1)
                 out["base"].append(float(logs.sum() + end - len(ids) * whole))

@@ -236,6 +236,31 @@ def test_scores_beat_unigrams(spark, sf_dir):
     assert out.score.sum() > out.base_score.sum()
 
 
+def test_log_bilinear_far_scores_are_normalised():
+    model = lm_scoring.LogBilinear(12, 4, np.ones(12))
+    model.context *= 4000
+    (first, second), z = model.tables(11)
+    whole = np.array([[np.logaddexp.reduce(a + b) for b in second] for a in first])
+    assert np.allclose(z, whole)
+
+
+def test_training_depth_and_symbols_grow():
+    assert lm_scoring.ROUNDS >= 2 and lm_scoring.WIDTH >= 24
+    sizes = [10**k for k in range(6, 11)]
+    depth = [n / lm_scoring.tasks_of(n) for n in sizes]
+    assert min(depth[1:]) >= 2e6 and depth[-1] > 2 * depth[-2] > 4 * depth[1]
+    symbols = [lm_scoring.growth(n) for n in sizes]
+    assert symbols[0] == 1 and all(a < b for a, b in zip(symbols, symbols[1:]))
+
+
+def test_small_partitions_train_as_one(spark):
+    rng = random.Random(3)
+    texts = [" ".join(x for _ in range(40) for x in rng.choice(["a b", "b c", "c a d"]).split()) for _ in range(400)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    one, many = (sum(r["score"] for r in lm_scoring.score(docs, docs.repartition(n)).collect()) for n in (1, 40))
+    assert many == pytest.approx(one, rel=0.02)
+
+
 def test_rare_words_are_joined(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60).cache()
     few = lm_scoring.learn.__defaults__
