@@ -141,6 +141,16 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_components_of_a_shuffled_chain(spark, monkeypatch):
+    n, written = 3000, []
+    ids = [int(x) for x in np.random.default_rng(4).permutation(n)]
+    settle = linking.settle
+    monkeypatch.setattr(linking, "settle", lambda df: written.append(1) or settle(df))
+    found = linking.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a bigint, b bigint"))
+    assert found.count() == n and [r["component"] for r in found.select("component").distinct().collect()] == [0]
+    assert len(written) < 40
+
+
 def test_blocks_see_each_pair_once(spark):
     members = spark.createDataFrame([(1, k) for k in range(90)] + [(2, k) for k in range(80, 95)], "group bigint, node bigint")
     nodes = spark.createDataFrame([(k, 1 + k % 2) for k in range(95)], "node bigint, copies bigint")
