@@ -6,6 +6,12 @@ Vectors that several passes link are one component of verified links.  A window
 so it can miss links inside a dense group: every component is then compared whole, pair by
 pair in blocks, which gives each vector all its links within the component.
 
+Passes follow from the number of vectors, for a stated recall of a pair that is alone.  Where
+vectors crowd together more are needed, so recall is measured: the links of a sample with all
+vectors are counted in full, and passes are doubled until ``RECALL`` of them are within
+components, over links as well as over the sample's vectors.  Where passes would compare as
+many pairs as there are, all pairs are compared instead.
+
 Vectors equal in all components are one node with a number of copies.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components
@@ -16,6 +22,7 @@ vectors of their own.  Labels and extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -24,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, settle
 from .linking import compare_groups, components
 
-COSINE, PASSES, WINDOW, BITS = 0.9, 24, 64, 62
+#: ``PASSES`` at least; ``SAMPLE`` vectors measure the recall.
+COSINE, PASSES, WINDOW, BITS, RECALL, SAMPLE = 0.9, 24, 64, 62, 0.99, 2048
 
 
 def usable(vector: list | None) -> np.ndarray | None:
@@ -38,36 +46,59 @@ def planes(width: int, number: int, bits: int) -> np.ndarray:
     return np.random.default_rng([31, width, number]).standard_normal((width, bits))
 
 
-def coded(vectors: DataFrame, passes: int, bits: int = BITS) -> DataFrame:
-    """``vec_id``, ``node``, ``codes`` (one a pass) and ``vector`` (doubles as bytes) of every row of ``vectors(vec_id, embedding)``."""
+def passes_for(n: int, cosine: float, window: int, recall: float) -> int:
+    """Passes that bring a pair at the threshold, alone among ``n`` vectors, into one window with probability ``recall``."""
+    same = 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi  # of one sign
+    one = same ** max(0.0, math.log2(max(1, n) / (1.5 * window)))
+    return 1 if one >= recall else math.ceil(math.log(1 - recall) / math.log(1 - one))
+
+
+def identified(vectors: DataFrame) -> DataFrame:
+    """``vec_id``, ``node`` and ``vector`` (doubles as bytes) of every row of ``vectors(vec_id, embedding)``."""
 
     def rows(batches):
         for batch in batches:
             good = [usable(v) for v in batch.column(1).to_pylist()]
-            codes: list = [None] * len(good)
-            for width in {len(v) for v in good if v is not None}:
-                own = [k for k, v in enumerate(good) if v is not None and len(v) == width]
-                x = np.stack([good[k] for k in own])
-                x /= np.abs(x).max(axis=1)[:, None]
-                weights = np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64)
-                signs = np.stack([(x @ planes(width, p, bits) > 0) @ weights for p in range(passes)], axis=1)
-                for k, c in zip(own, signs):
-                    codes[k] = c
             raw = [None if v is None else v.tobytes() for v in good]
             node = [None if r is None else int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) for r in raw]
-            yield {"vec_id": batch.column(0), "node": node, "codes": codes, "vector": raw}
+            yield {"vec_id": batch.column(0), "node": node, "vector": raw}
+
+    return map_arrow(vectors.select(F.col("vec_id").cast("bigint"), "embedding"), rows, "vec_id bigint, node bigint, vector binary")
+
+
+def by_width(raw: list[bytes]):
+    """For each length of vectors: their places and, scaled so that no norm overflows, their matrix."""
+    vectors = [np.frombuffer(r) for r in raw]
+    for width in sorted({len(v) for v in vectors}):
+        own = np.array([k for k, v in enumerate(vectors) if len(v) == width])
+        x = np.stack([vectors[k] for k in own])
+        yield width, own, x / np.abs(x).max(axis=1)[:, None]
+
 
-    return map_arrow(vectors.select(F.col("vec_id").cast("bigint"), "embedding"), rows, "vec_id bigint, node bigint, codes array<bigint>, vector binary")
+def coded(nodes: DataFrame, start: int, stop: int, bits: int = BITS) -> DataFrame:
+    """``node``, ``pass`` and ``code`` of ``nodes(node, vector)`` for the passes from ``start`` to before ``stop``."""
+
+    def rows(batches):
+        weights = np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64)
+        for batch in batches:
+            codes: list = [None] * batch.num_rows
+            for width, own, x in by_width(batch.column(1).to_pylist()):
+                signs = np.stack([(x @ planes(width, p, bits) > 0) @ weights for p in range(start, stop)], axis=1)
+                for k, c in zip(own, signs):
+                    codes[k] = c
+            yield {"node": batch.column(0), "codes": codes}
+
+    found = map_arrow(nodes.select("node", "vector"), rows, "node bigint, codes array<bigint>")
+    return found.select("node", F.posexplode("codes").alias("pass", "code"))
 
 
-def windows(nodes: DataFrame, window: int, parts: int) -> DataFrame:
-    """``group`` and ``node``: each node once in its own and once in the previous run of ``window`` places of every pass's order.
+def windows(placed: DataFrame, window: int, parts: int) -> DataFrame:
+    """``group`` and ``node`` of ``placed(node, pass, code)``: each node once in its own and once in the previous run of ``window`` places of every pass's order.
 
     Two nodes up to ``window`` places apart so share a group.  Places come from a range
     partitioning by (pass, code, node), whose parts the node spreads where codes are equal,
     and the parts' sizes.
     """
-    placed = nodes.select("node", F.posexplode("codes").alias("pass", "code"))
     dealt = settle(placed.repartitionByRange(parts, "pass", "code", "node").withColumn("part", F.spark_partition_id()))
     sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
@@ -80,27 +111,71 @@ def windows(nodes: DataFrame, window: int, parts: int) -> DataFrame:
 
 def close(rows: list, cosine: float) -> np.ndarray:
     """The matrix of cosines that reach the threshold, in double precision."""
-    vectors = [np.frombuffer(r[2]) for r in rows]
     out = np.zeros((len(rows), len(rows)), bool)
-    for width in {len(v) for v in vectors}:
-        own = np.array([k for k, v in enumerate(vectors) if len(v) == width])
-        x = np.stack([vectors[k] for k in own])
-        x = x / np.abs(x).max(axis=1)[:, None]  # no overflow in the norm
+    for _, own, x in by_width([r[2] for r in rows]):
         x /= np.sqrt((x * x).sum(axis=1))[:, None]
         out[np.ix_(own, own)] = x @ x.T >= cosine
     return out
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def measured_recall(nodes: DataFrame, joined: DataFrame, cosine: float, sample: int = SAMPLE) -> float:
+    """The share of a sample's links with all of ``nodes`` that are within components of ``joined``, the lesser of that of all links and the mean over vectors."""
+    placed = nodes.select("node", "vector").join(joined, "node", "left").select("node", "vector", F.coalesce("component", "node").alias("component"))
+    picked = placed.orderBy(F.xxhash64("node"), "node").limit(sample).collect()
+    ids, group = (np.array([r[k] for r in picked], dtype=np.int64) for k in ("node", "component"))
+    of_width = {}
+    for width, own, x in by_width([bytes(r["vector"]) for r in picked]):
+        of_width[width] = own, x / np.sqrt((x * x).sum(axis=1))[:, None]
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, group, of_width))
+
+    def count(batches):
+        ids, group, of_width = shared.value
+        links, found = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for batch in batches:
+            node, component = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for width, own, x in by_width(batch.column(1).to_pylist()):
+                if width not in of_width:
+                    continue
+                places, y = of_width[width]
+                x /= np.sqrt((x * x).sum(axis=1))[:, None]
+                near = (x @ y.T >= cosine) & (node[own][:, None] != ids[places][None, :])
+                links[places] += near.sum(axis=0)
+                found[places] += (near & (component[own][:, None] == group[places][None, :])).sum(axis=0)
+        yield {"at": np.arange(len(ids)), "links": links, "found": found}
+
+    rows = map_arrow(placed, count, "at bigint, links bigint, found bigint").groupBy("at").agg(F.sum("links").alias("links"), F.sum("found").alias("found"))
+    got = rows.where("links > 0").agg(F.sum("found") / F.sum("links"), F.avg(F.col("found") / F.col("links"))).first()
+    return 1.0 if got[0] is None else min(got)
+
+
+def joined_nodes(nodes: DataFrame, linked, cosine: float, passes: int, window: int, recall: float) -> DataFrame:
+    """``node`` and ``component`` of the nodes that have a link, after as many passes as the recall needs."""
+    n, done, joined = nodes.count(), 0, None
+    loaded = nodes.select("node", "copies", "vector")
+    wanted = max(passes, passes_for(n, cosine, window, (1 + recall) / 2))
+    while True:
+        whole = wanted * 2 * window >= n
+        if whole:
+            groups = nodes.select(F.length("vector").cast("bigint").alias("group"), "node")
+        else:
+            groups = windows(coded(nodes, done, wanted), window, max(1, n * (wanted - done) // 100_000))
+        found = compare_groups(groups, loaded, ["vector"], linked)
+        edges = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        if joined is not None:
+            edges = edges.union(joined.select("node", "component"))
+        joined = components(edges)
+        if whole or measured_recall(nodes, joined, cosine) >= recall:
+            return joined
+        done, wanted = wanted, 2 * wanted
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
     """``vec_id``, ``n_links`` and ``component_id`` of every row of ``vectors(vec_id, embedding)``."""
-    rows = settle(coded(vectors, passes))
-    nodes = settle(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("codes").alias("codes"), F.first("vector").alias("vector")))
-    parts = max(1, nodes.count() * passes // 100_000)
+    rows = settle(identified(vectors))
+    nodes = settle(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("vector").alias("vector")))
     loaded = nodes.select("node", "copies", "vector")
     linked = lambda group, members: close(members, cosine)
-    found = compare_groups(windows(nodes, window, parts), loaded, ["vector"], linked)
-    edges = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    joined = components(edges)
+    joined = joined_nodes(nodes, linked, cosine, passes, window, recall)
     exact = compare_groups(joined.select(F.col("component").alias("group"), "node"), loaded, ["vector"], linked)
     links = exact.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.select("node", "copies", "first_id").join(joined, "node", "left").join(links, "node", "left")

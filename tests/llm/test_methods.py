@@ -193,6 +193,24 @@ def test_vectors_by_hand(spark):
     assert all(got[k] <= close[k].sum() for k in got) and sum(got.values()) >= 0.99 * close.sum()
 
 
+def test_recall_in_a_crowd(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 32))
+    x[:1200] = 1.55 * x[0] / np.linalg.norm(x[0]) * np.sqrt(32) + x[:1200]  # at cosines of about 0.7
+    x[1:1200:2] = x[:1200:2] + 0.55 * rng.standard_normal((600, 32))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df, passes=4, window=4).collect()}
+    assert all(got[k] <= near[k].sum() for k in got) and sum(got.values()) >= 0.98 * near.sum() > 400
+
+
+def test_passes_grow_with_rows():
+    at = [embedding_dedup.passes_for(10**k, 0.9, 64, 0.995) for k in (3, 5, 6, 7, 8)]
+    assert at[1] <= 24 < at[2] < at[3] < at[4]
+
+
 def test_boundaries_across_blocks(spark):
     rng = np.random.default_rng(8)
     rows, want = [], []
