@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,25 +132,23 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, end:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
     groups = max(1, -(-size // group_bytes))
-    mark = end.to_bytes(4, "little")
 
     def rows(batches):
         ids, held = [], []
         cache = word_cache(tokenizer)
-        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            ids += batch.column(0).to_pylist()
-            held += [x + mark for x in cache.encode(batch.column(1).to_pylist())]
-        cache.forget()
+        for batch in batches:
+            ids.append(batch.column(0))
+            held += [x.astype("<u4", copy=False) for x in cache.encode(batch.column(1), end)]
         first = TaskContext.get().partitionId() << 32
-        out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
-        for number, pieces in enumerate(pack([len(x) // 4 for x in held], capacity)):
-            offset = 0
-            for doc, start, length in pieces:
-                raw = held[doc]
-                for k, v in zip(out, (ids[doc], start, length, zlib.crc32(memoryview(raw)[4 * start : 4 * (start + length)]), len(raw) // 4, first + number, offset)):
-                    out[k].append(v)
-                offset += length
-        yield out
+        sequences = pack([len(x) for x in held], capacity)
+        doc, start, length = (np.array([p[k] for s in sequences for p in s], np.int64) for k in range(3))
+        number = np.repeat(np.arange(len(sequences)), [len(s) for s in sequences])
+        behind = np.cumsum(length)
+        began = np.concatenate([[0], behind[np.flatnonzero(np.diff(number))]]) if len(doc) else behind
+        marks = [zlib.crc32(held[d][a : a + n].data) for d, a, n in zip(doc.tolist(), start.tolist(), length.tolist())]
+        tokens = np.array([len(x) for x in held], np.int64)
+        if len(doc):
+            yield {"doc_id": pa.concat_arrays(ids).take(pa.array(doc)), "start": start, "length": length, "ids_crc32": marks, "doc_tokens": tokens[doc], "sequence_id": first + number, "offset": behind - length - began[number]}
 
     # a random key deals any hot id, source or group of copies over all groups
     dealt = docs.withColumn("deal", F.xxhash64("doc_id", F.monotonically_increasing_id())).repartition(groups, "deal").drop("deal")

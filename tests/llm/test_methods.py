@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from postloom.llm import embedding_dedup, language_id, licenses, linking, lm_scoring, mixing, ngram_join, packing, quality_rules, queries, token_counts, tokenizing
+from postloom.llm import embedding_dedup, language_id, licenses, linking, lm_scoring, mixing, ngram_join, packing, quality_rules, queries, token_counts, tokenizing, words
 
 
 @given(st.lists(st.sampled_from("abcdé"), max_size=60))
@@ -20,8 +20,8 @@ def test_repeated_words(words):
 
 
 def test_repeated_words_of_many_kinds():
-    words = [f"w{k}" for k in range(5000)] * 2
-    assert quality_rules.repeated_words(words) == (10_000, 5000)
+    many = [f"w{k}" for k in range(5000)] * 2
+    assert quality_rules.repeated_words(many) == (10_000, 5000)
 
 
 def test_trees_are_monotone():
@@ -66,14 +66,53 @@ def test_packing_covers_all(sizes):
     assert all(n == 64 or n & (n - 1) == 0 for n in whole) and all(n <= 64 for n in whole)
 
 
-@settings(deadline=None, max_examples=60)
-@given(st.lists(st.text(max_size=30), max_size=6))
-def test_word_cache(texts):
+PIECES = st.sampled_from([*"aBé É×÷ßñ\u0301\n\t <|>0123.,!?xzİǅ中文яЖ\x1c\x85ªº'", "<|endoftext|>", "<|EndOfText|>", "'re", " don't ", "I'M ", " word, ", "Word! "])
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.none() | st.lists(PIECES, max_size=40).map("".join) | st.text(max_size=30), max_size=6), st.sampled_from([8, 64, 1 << 20]))
+def test_word_cache(texts, segment):
     import public_tokenizers
+    import pyarrow as pa
 
     cache = tokenizing.word_cache(public_tokenizers.path("word_bpe_49k.json"))
-    want = [np.array(cache.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
-    assert cache.encode(texts) == want
+    want = [cache.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    before, words.SEGMENT = words.SEGMENT, segment
+    try:
+        assert [x.tolist() for x in cache.encode(pa.array(texts, pa.string()), 2)] == want
+    finally:
+        words.SEGMENT = before
+
+
+def test_word_cache_when_full():
+    import public_tokenizers
+    import pyarrow as pa
+
+    cache = tokenizing.WordCache(public_tokenizers.path("word_bpe_49k.json"), most=50)
+    for k in range(6):
+        texts = [f"common word number{j % 40 + 40 * k} and others" for j in range(90)]
+        assert [x.tolist() for x in cache.encode(pa.array(texts))] == [cache.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(cache.key) <= 50
+
+
+@settings(max_examples=100)
+@given(st.lists(st.none() | st.text("ab \n\x1cé", max_size=30), max_size=6), st.sampled_from([4, 1 << 20]))
+def test_words_of_segments(texts, segment):
+    import pyarrow as pa
+
+    before, words.SEGMENT = words.SEGMENT, segment
+    try:
+        got = [[] for _ in texts]
+        for first, data, at in words.segments(pa.array(texts, pa.string())):
+            starts, ends, begin = words.spans(data, at)
+            marks = words.hashes(data, starts, ends).tolist()
+            for k in range(len(at) - 1):
+                got[first + k] += [(data[starts[w] : ends[w]].tobytes(), marks[w]) for w in range(begin[k], begin[k + 1])]
+    finally:
+        words.SEGMENT = before
+    assert [[w for w, _ in g] for g in got] == [(t or "").encode().split() for t in texts]
+    seen = {x for g in got for x in g}
+    assert len({w for w, _ in seen}) == len(seen) == len({h for _, h in seen})
 
 
 @given(st.integers(1, 5000), st.integers(0, 2**40))
