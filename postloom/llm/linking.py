@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, settle
+from .common import map_arrow, release, settle
 
 BLOCK = 1024
 
@@ -102,22 +102,27 @@ def compare_groups(members: DataFrame, nodes: DataFrame, payload: list[str], lin
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) of all nodes in ``edges(a, b)``.
 
+    Repeated links and links of a node with itself change nothing; without links there are no
+    rows; a null end is an error of the caller.
+
     Every round, each node takes the smallest label among its own and its neighbours', hands
     it to the node that was its label (so whole trees are hooked, and long chains need few
     rounds), then takes the label of its label; written out each round, until no label changes.
     Labels only fall, so the rounds end.
     """
-    edges = settle(edges.where("a <> b").distinct())
-    both = settle(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))))
+    edges = edges.where("a <> b").distinct()
+    both = settle(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        low = settle(labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("low")))
+        first = settle(labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("low")))
         # one row a label; a label is always a node of the same component, so it has a label itself
-        hooks = low.where("low < was").groupBy(F.col("was").alias("node")).agg(F.min("low").alias("hook"))
-        low = low.join(hooks, "node", "left").select("node", "was", F.least("low", "hook").alias("low"))
+        hooks = first.where("low < was").groupBy(F.col("was").alias("node")).agg(F.min("low").alias("hook"))
+        low = first.join(hooks, "node", "left").select("node", "was", F.least("low", "hook").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("next"))
         after = settle(low.join(jump, "low").select("node", "was", F.least("low", "next").alias("component")))
-        labels = after.select("node", "component")
+        release(first, labels)
+        labels = after
         if after.where("was <> component").isEmpty():
-            return labels
+            release(both)
+            return labels.select("node", "component")

@@ -22,32 +22,46 @@ documents of their own.  An empty table gives no rows.  Extra columns are ignore
 from __future__ import annotations
 
 import math
-import re
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, settle, small_batches
+from . import words
+from .common import free_name, map_arrow, settle, small_batches
 
 WEIGHTS, MOST, BLOCK, SLOTS, SEED = (5.0, 2.0, 1.0), 3, 64, 65_536, 17
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _CHUNK = 200_000
 #: Sources whose table (about 100 bytes a row) is broadcast.
 SMALL = 10_000
+#: Tasks at most that turn shards into slots; each goes through its shards one after another.
+EXPANDING = 20_000
 
 
 def n_words(text: Column) -> Column:
+    """Words of a text, 0 for null."""
     small_batches()
+
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        return pd.Series([0 if t is None else len(t.encode().split()) for t in texts])
+        out = np.zeros(len(texts), np.int64)
+        for first, data, at in words.segments(pa.array(texts, pa.string())):
+            begin = words.spans(data, at)[2]
+            out[first : first + len(at) - 1] += np.diff(begin)
+        return pd.Series(out)
 
     return count(text)
 
 
+def mark_of(docs: DataFrame) -> Column:
+    """16 bytes that tell rows apart by id, source and text."""
+    text = F.coalesce(F.md5("text"), F.lit("-"))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), text, F.coalesce(F.concat(F.lit(" "), F.col("source").cast("string")), F.lit("")))))
+
+
 def share_out(sizes: list[int], weights: list[float], most: float, share: float = 1.0) -> list[float]:
     """Targets by weight of ``share`` of all words, none above ``most`` times its size."""
     targets, total = [0.0] * len(sizes), share * sum(sizes)
@@ -130,11 +144,11 @@ class Draw:
 def placed(docs: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
     """Documents with their source's number and where their words start in its sequence."""
     docs = docs.join(known, docs["source"].eqNullSafe(known["name"])).drop("name", "source")
-    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)))
+    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("mark"), F.lit(buckets)))
     sums = docs.groupBy("ord", "bucket").agg(F.sum("size").alias("whole"))
     before = Window.partitionBy("ord").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("ord", "bucket", F.coalesce(F.sum("whole").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("ord", "bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("ord", "bucket").orderBy("doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
     running = docs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return running.join(offsets.hint("merge"), ["ord", "bucket"]).withColumn("start", F.col("offset") + F.col("inside")).drop("bucket", "offset", "inside")
 
@@ -142,13 +156,13 @@ def placed(docs: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """What the mix takes of ``docs(doc_id, text, source)``.
 
-    The first table has one row a document: ``doc_id``, ``text_hash``, ``source``, ``size``,
+    The first table has one row a document: ``doc_id``, ``mark``, ``source``, ``size``,
     ``source_size``, ``target``, ``taken`` and ``draws``, the words [from, to) of each of its
     drawn blocks with how many times they are taken.  The second has one row a slot:
     ``shard``, ``ord``, ``source`` and ``block``.
     """
     spark = docs.sparkSession
-    sized = settle(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), n_words(F.col("text")).alias("size")))
+    sized = settle(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), mark_of(docs).alias("mark"), n_words(F.col("text")).alias("size")))
     stats = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
     stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     names, sizes = [r["source"] for r in stats], [int(r["n"]) for r in stats]
@@ -180,7 +194,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK,
 
     earlier = Window.partitionBy("ord").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     numbered = drawn.select("shard", "ord", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"), "n")
-    dealt = map_arrow(numbered.repartition("shard", "ord"), expand, "shard bigint, ord int, block bigint")
+    # few and short rows that become long ones: adaptive execution must not put them together
+    dealt = map_arrow(numbered.repartition(max(1, min(draw.shards, EXPANDING)), "shard", "ord"), expand, "shard bigint, ord int, block bigint")
     times = dealt.groupBy("ord", "block").agg(F.count("*").alias("times"))
 
     # as many buckets as rows in each, so neither level of the running sums outgrows the other
@@ -196,34 +211,31 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK,
     source = known.select("ord", F.col("name").alias("source"))
     if len(names) <= SMALL:
         source = F.broadcast(source)
-    out = out.join(source, "ord").select("doc_id", "text_hash", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "draws")
+    out = out.join(source, "ord").select("doc_id", "mark", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "draws")
     return out, dealt.join(source, "ord")
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """``docs`` as the mix takes them: one row for each time a document is taken.
 
-    The k-th row of a document holds the words that are taken k times or more, its whole
-    text if they are all; text runs between dropped blocks are joined by a newline.  Rows
-    equal in id, text and source are merged into one before.  ``n_chars``, if there, follows.
+    The k-th copy of a document holds the words that are taken k times or more: its whole
+    text if they are all, else one row for each run of blocks.  Rows equal in id, text and
+    source are merged into one before.  ``n_chars``, if there, follows.
     """
     plan, _ = mix(docs, seed=seed, **options)
-    key = ["doc_id", "text_hash", "source"]
     # equal rows add up range by range first, so a list is never longer than its text
-    plan = plan.select(*key, "size", F.explode("draws").alias("d")).groupBy(*key, "d.from", "d.to").agg(F.first("size").alias("size"), F.sum("d.times").alias("times"))
-    plan = plan.groupBy(*key).agg(F.first("size").alias("size"), F.collect_list(F.struct("from", "to", "times")).alias("draws"))
-    names = [f"_mix_{n}_{k}" for k, n in enumerate(("hash", "draws", "size", "texts", "doc", "source"))]
-    th, dr, sz, tx, di, so = names
-    keyed = docs.withColumn(th, F.xxhash64("text"))
-    kept = keyed.dropDuplicates(["doc_id", "source", th])
-    plan = plan.select(F.col("doc_id").alias(di), F.col("source").alias(so), F.col("text_hash").alias(th), F.col("draws").alias(dr), F.col("size").alias(sz))
-    joined = kept.join(plan, kept["doc_id"].eqNullSafe(plan[di]) & kept["source"].eqNullSafe(plan[so]) & (kept[th] == plan[th])).drop(plan[th])
-
-    made = joined.withColumn(tx, F.explode(F.pandas_udf(cut, "array<struct<text:string,n:bigint>>")(F.col("text"), F.col(f"{dr}.from"), F.col(f"{dr}.to"), F.col(f"{dr}.times"), F.col(sz))))
-    made = made.withColumn(sz, F.explode(F.sequence(F.lit(1), F.col(f"{tx}.n"))))
-    text = F.col(f"{tx}.text")
+    plan = plan.select("mark", "size", F.explode("draws").alias("d")).groupBy("mark", "d.from", "d.to").agg(F.first("size").alias("size"), F.sum("d.times").alias("times"))
+    plan = plan.groupBy("mark").agg(F.first("size").alias("size"), F.collect_list(F.struct("from", "to", "times")).alias("draws"))
+    mark, draws, size, made = (free_name(docs, f"mix_{n}") for n in ("mark", "draws", "size", "made"))
+    plan = plan.select(F.col("mark").alias(mark), F.col("draws").alias(draws), F.col("size").alias(size))
+    # texts are shuffled once: the join deals them by mark, and equal rows are then in one task
+    joined = docs.withColumn(mark, mark_of(docs)).join(plan.hint("merge"), mark).dropDuplicates([mark])
+    parts = F.pandas_udf(cut, "array<struct<text:string,n:bigint>>")(F.col("text"), F.col(f"{draws}.from"), F.col(f"{draws}.to"), F.col(f"{draws}.times"), F.col(size))
+    out = joined.withColumn(made, F.explode(parts))
+    out = out.withColumn(size, F.explode(F.sequence(F.lit(1), F.col(f"{made}.n"))))
+    text = F.col(f"{made}.text")
     columns = [text.alias(c) if c == "text" else F.length(text).cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return made.select(*columns)
+    return out.select(*columns)
 
 
 def cut(texts: pd.Series, froms: pd.Series, tos: pd.Series, times: pd.Series, sizes: pd.Series) -> pd.Series:
@@ -242,9 +254,10 @@ def cut(texts: pd.Series, froms: pd.Series, tos: pd.Series, times: pd.Series, si
             if use.all():
                 made.append({"text": text, "n": level - below})
                 continue
-            spans = spans or [m.span() for m in _WORD.finditer(raw)]
+            if spans is None:
+                data = np.frombuffer(raw, np.uint8)
+                spans = words.spans(data, np.array([0, len(data)]))
             edges = np.flatnonzero(np.diff(np.concatenate([[False], use, [False]])))
-            runs = zip(edges[::2].tolist(), edges[1::2].tolist())
-            made.append({"text": "\n".join(raw[spans[a][0] : spans[b - 1][1]].decode() for a, b in runs), "n": level - below})
+            made += [{"text": raw[spans[0][a] : spans[1][b - 1]].decode(), "n": level - below} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
         out.append(made)
     return pd.Series(out)

@@ -22,9 +22,11 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words
 from .common import free_name, map_arrow, settle
 from .linking import compare_groups, components
 from .url_filter import BlockedBloom
@@ -43,36 +45,33 @@ def banding(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int
     return best
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
-class Hasher:
-    """64-bit hashes of n-grams, with the hashes of frequent words remembered."""
+def gram_sets_of(column: pa.Array, size: int = WORDS) -> list[np.ndarray]:
+    """For each text its whole set of n-gram hashes, ascending."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(len(column))]
+    for first, data, at in words.segments(column):
+        low = words.lowered(data)
+        starts, ends, begin = words.spans(low, at)
+        h = words.hashes(low, starts, ends)
+        for k in range(len(at) - 1):
+            parts[first + k].append(h[begin[k] : begin[k + 1]])
+    lengths = np.array([sum(map(len, p)) for p in parts], np.int64)
+    h = np.concatenate([x for p in parts for x in p]) if parts else np.zeros(0, np.uint64)
+    mixed = mixed_runs(h, size)
+    out = []
+    for a, n in zip((np.cumsum(lengths) - lengths).tolist(), lengths.tolist()):
+        own = mixed[a : a + n - size + 1] if n >= size else mixed_runs(h[a : a + n], n)
+        out.append(np.unique(own))
+    return out
 
-    def __init__(self, words: int = WORDS, remember: int = 200_000):
-        self.words, self.remember, self.known = words, remember, {}
 
-    def grams(self, text: str | None) -> np.ndarray:
-        """The whole set of a text's n-gram hashes, ascending."""
-        words = (text or "").encode().lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > self.remember:
-            known.clear()
-        h = np.empty(len(words), np.uint64)
-        for k, w in enumerate(words):
-            v = known.get(w)
-            if v is None:
-                v = known[w] = word_hash(w)
-            h[k] = v
-        n = min(self.words, len(h))
-        mixed = np.full(len(h) - n + 1, n, np.uint64)
-        for k in range(n):
-            mixed = (mixed ^ h[k : len(h) - n + 1 + k]) * _PRIME
-            mixed ^= mixed >> np.uint64(29)
-        return np.unique(mixed)
+def mixed_runs(h: np.ndarray, size: int) -> np.ndarray:
+    """One hash for every run of ``size`` values."""
+    count = max(len(h) - size + 1, 0) if size else 0
+    mixed = np.full(count, size, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ h[k : count + k]) * _PRIME
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
 
 
 def multipliers(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,14 +100,13 @@ def node_of(grams: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True) if len(grams) else None
 
 
-def sketches(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> DataFrame:
+def sketches(docs: DataFrame, bands: int, rows: int, size: int = WORDS) -> DataFrame:
     """``doc_id``, ``text_hash``, ``node`` and ``bands`` of every row of ``docs(doc_id, text)``."""
     mult, add = multipliers(bands * rows)
 
     def sketch(batches):
-        hasher = Hasher(words)
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            sets = [hasher.grams(t) for t in batch.column(1).to_pylist()]
+            sets = gram_sets_of(batch.column(1), size)
             yield {
                 "doc_id": batch.column(0),
                 "text_hash": batch.column(2),
@@ -120,16 +118,19 @@ def sketches(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> Data
     return map_arrow(rows_in, sketch, "doc_id bigint, text_hash bigint, node bigint, bands array<bigint>")
 
 
-def gram_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``node`` and ``grams`` (sorted 64-bit hashes as bytes) of every row with n-grams."""
+def gram_sets(docs: DataFrame, size: int, wanted: BlockedBloom) -> DataFrame:
+    """``node`` and ``grams`` (sorted 64-bit hashes as bytes) of the rows with n-grams whose id is null or may be wanted."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def sets(batches):
-        hasher = Hasher(words)
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            found = [s for s in map(hasher.grams, batch.column(0).to_pylist()) if len(s)]
+            h, second = (c.fill_null(0).to_numpy() for c in batch.columns[1:])
+            hit = shared.value.hits(h, second) | batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            found = [s for s in gram_sets_of(batch.column(0).filter(pa.array(hit)), size) if len(s)]
             yield {"node": [node_of(s) for s in found], "grams": [s.tobytes() for s in found]}
 
-    return map_arrow(docs.select("text"), sets, "node bigint, grams binary")
+    h, second = BlockedBloom.asked(F.col("doc_id"))
+    return map_arrow(docs.select("text", h.alias("h"), second.alias("second")), sets, "node bigint, grams binary")
 
 
 def overlaps(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
@@ -175,7 +176,7 @@ def shared_before(group: int, leaders: list[list[int]]) -> np.ndarray:
     return out
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = 160, words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = 160, size: int = WORDS) -> DataFrame:
     """One row a document: ``doc_id``, ``text_hash``, ``component``, ``set_id``, ``class_id``, ``n_links``.
 
     ``set_id`` is the smallest id with the same n-gram set, ``class_id`` the smallest id
@@ -185,20 +186,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     """
     bands, rows = banding(similarity, recall, hashes)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sketch = settle(sketches(docs, bands, rows, words))
+    sketch = settle(sketches(docs, bands, rows, size))
     nodes = settle(sketch.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = placed.groupBy("bucket").agg(F.min("node").alias("group"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = settle(placed.join(leaders, "bucket").select("group", "node").distinct())
     lists = members.groupBy("node").agg(F.collect_list("group").alias("leaders"))  # one a band at most
     wanted = settle(nodes.join(lists, "node").select("node", "copies", "first_id", "leaders"))
-    # the sets of nodes that have a candidate, each from one of its rows
-    ids = wanted.select(F.col("first_id").alias("doc_id")).distinct()
-    possible = docs.where(BlockedBloom.build(ids, "doc_id").maybe(docs.sparkSession, F.col("doc_id")))
-    texts = possible.join(ids, "doc_id", "left_semi")
-    sets = gram_sets(texts, words).groupBy("node").agg(F.first("grams").alias("grams"))
-    if docs.where("doc_id is null").limit(1).count():  # ids that find no row again
-        sets = gram_sets(docs, words).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+    # the sets of nodes that have a candidate, each from one of its rows; the join drops what the filter lets through beside
+    sets = gram_sets(docs, size, BlockedBloom.build(wanted.select("first_id").distinct(), "first_id")).groupBy("node").agg(F.first("grams").alias("grams"))
     loaded = settle(wanted.select("node", "copies", "leaders").join(sets, "node"))
 
     def linked(group, members):

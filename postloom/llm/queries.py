@@ -53,7 +53,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each."""
     plan, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source", "source_size", "target", "taken")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
@@ -76,7 +76,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the trees' verdict for every document."""
     docs = table(spark, sf_dir, "documents")
     model = quality_rules.train(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.with_statistics(docs, model).select("doc_id", *quality_rules.COUNTS, "base_failed", "quality_score", "kept")
+    return quality_rules.with_statistics(docs, model).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "quality_score")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

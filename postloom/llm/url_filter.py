@@ -57,7 +57,7 @@ def fits(rule: Rule, host: Column, path: Column) -> Column:
 def ruled(rules: list[Rule], host: Column, path: Column) -> Column:
     """A struct (rule, verdict) of the longest rule that fits, else null; equal lengths go to the first in order."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for rule in sorted(rules, key=lambda r: (len(r[0] + r[1]), r[0] + r[1])):
+    for rule in sorted(reversed(rules), key=lambda r: len(r[0] + r[1])):  # a later layer stands before an earlier one
         out = F.when(fits(rule, host, path), F.struct(F.lit(rule[0] + rule[1]).alias("rule"), F.lit(rule[2]).alias("verdict"))).otherwise(out)
     return out
 
@@ -66,11 +66,12 @@ class BlockedBloom:
     """A filter over the 64-bit hashes of a key column.
 
     It is built by a grouped OR of 64-bit masks; at most ``max_bits`` reach the driver and
-    are broadcast (8 MB by default), however long the list is.
+    are broadcast (8 MB by default), however long the list is.  A list too long for 16 bits a
+    key sets fewer bits a key, which keeps the share of false hits as low as the size allows.
     """
 
-    def __init__(self, blocks: int, words: np.ndarray):
-        self.blocks, self.words = blocks, words
+    def __init__(self, blocks: int, words: np.ndarray, probes: int = _PROBES):
+        self.blocks, self.words, self.probes = blocks, words, probes
 
     @staticmethod
     def key(column: Column) -> Column:
@@ -84,32 +85,43 @@ class BlockedBloom:
         blocks = 1
         while blocks * 64 * _WORDS < min(count * bits_per_key, max_bits):
             blocks *= 2
+        number = max(1, min(_PROBES, round(0.69 * blocks * 64 * _WORDS / max(count, 1))))
         h = some.select(cls.key(F.col("k")).alias("h"))
         # the block from the low bits, each probe from 9 others of a second hash
         block = F.pmod("h", F.lit(blocks)).alias("block")
         second = F.xxhash64("h")
-        probes = F.array(*[F.shiftrightunsigned(second, 7 * k).bitwiseAND(F.lit(511)) for k in range(_PROBES)])
+        probes = F.array(*[F.shiftrightunsigned(second, 7 * k).bitwiseAND(F.lit(511)) for k in range(number)])
         bits = h.select(block, F.explode(probes).alias("bit"))
         words = bits.groupBy("block", F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
         out = np.zeros(blocks * _WORDS, np.int64)
         got = words.toPandas()
         out[got["block"].to_numpy(np.int64) * _WORDS + got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64)
-        return cls(blocks, out)
+        return cls(blocks, out, number)
+
+    @classmethod
+    def asked(cls, column: Column) -> tuple[Column, Column]:
+        """The two hashes by which ``hits`` tests a column's values, null for null."""
+        h = cls.key(column)
+        return F.when(column.isNotNull(), h), F.when(column.isNotNull(), F.xxhash64(h))
+
+    def hits(self, h: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """False only for hashes that are not in the filter."""
+        base = (h % self.blocks) * _WORDS
+        other = second.view(np.uint64)
+        hit = np.ones(len(base), bool)
+        for k in range(self.probes):
+            bit = ((other >> np.uint64(7 * k)) & np.uint64(511)).astype(np.int64)
+            hit &= (self.words[base + (bit >> 6)] >> (bit & 63)) & 1 == 1
+        return hit
 
     def maybe(self, spark, column: Column) -> Column:
         """False only for values that are not in the filter; null is in none."""
         small_batches()
-        blocks, words = self.blocks, spark.sparkContext.broadcast(self.words)
+        shared = spark.sparkContext.broadcast(self)
 
         @F.pandas_udf("boolean")
         def test(h: pd.Series, second: pd.Series) -> pd.Series:
-            base = (h.to_numpy(np.int64) % blocks) * _WORDS
-            other = second.to_numpy(np.int64).view(np.uint64)
-            hit = np.ones(len(base), bool)
-            for k in range(_PROBES):
-                bit = ((other >> np.uint64(7 * k)) & np.uint64(511)).astype(np.int64)
-                hit &= (words.value[base + (bit >> 6)] >> (bit & 63)) & 1 == 1
-            return pd.Series(hit)
+            return pd.Series(shared.value.hits(h.to_numpy(np.int64), second.to_numpy(np.int64)))
 
         h = self.key(column)
         return column.isNotNull() & test(h, F.xxhash64(h))
