@@ -2,17 +2,25 @@
 
 Tokens are the words (runs without space, tab, newline, vertical tab, form feed or carriage
 return; A-Z lower-cased) of a text, then one end.  The model predicts a token's symbol from
-the two symbols before it.  A symbol is one of the most frequent words, the end, or a class
+the four symbols before it.  A symbol is one of the most frequent words, the end, or a class
 of other words that share their last two characters; within its class a word has the share
 of its training count plus a half.  So every text has a finite, normalised probability.  The
 number of symbols grows with the sixth root of the tokens, up to what a worker can hold.
 
+Symbols are in groups of up to ``GROUP``, in the order of their words read backwards: the
+model gives a group's probability, then a symbol's within its group, both log-bilinear.  A
+batch of tokens is scored by one matrix product with all groups and one with each group's
+own symbols, so no token needs a product with every symbol.
+
 Word counts come from all training documents and are joined by word; only words above a
 fixed share of all tokens (at most ``HEAVY`` of them can be) are broadcast.  Each training
 task runs noise-contrastive gradient steps over all its documents from the same start, and
 Spark averages the tasks' parameters, weighted by tokens, once a round; the driver gets one
 averaged set, from which the next round starts.  Small partitions are put together, so that a
-task's steps are enough to learn from and grow with the corpus.  Scores are normalised over all symbols by products of the embedding matrices.
+task's steps are enough to learn from and grow with the corpus.
+
+Inside tasks words are known by 64-bit hashes; counts are grouped and joined by the words
+themselves.
 
 Defined results: a null text is empty and has the end alone.  With no training document every
 token has probability one in both scores.  Rows with equal ids are scored each; extra
@@ -21,33 +29,24 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import islice
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words
 from .common import map_arrow, settle
 
-FREQUENT, CLASSES, WIDTH, NOISE, BATCH, RATE, ROUNDS = 400, 110, 24, 32, 2048, 0.2, 2
-#: ``FREQUENT`` and ``CLASSES`` hold up to so many tokens and grow up to ``GROWTH`` times (2550 symbols, tables of 78 MB).
+FREQUENT, CLASSES, GROUP, WIDTH, BEFORE, BATCH, RATE, ROUNDS = 2000, 300, 128, 24, 4, 2048, 0.2, 2
+#: Noise samples of a batch: groups, and symbols within each group.
+NOISE_GROUPS, NOISE = 16, 8
+#: ``FREQUENT`` and ``CLASSES`` hold up to so many tokens and grow up to ``GROWTH`` times (11,500 symbols).
 SMALL, GROWTH = 1_000_000, 5
 #: A training task has at least so many tokens; from where that makes ``WIDE`` tasks, both grow with the square root.
 TASK_TOKENS, WIDE = 2_000_000, 30
-#: Words with at least 1/HEAVY of all training tokens are broadcast: HEAVY words at most, 10 to 20 MB.
-HEAVY = 200_000
-_FLUSH = 400_000
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
-def texts_of(batch, column: int, size: int = 500):
-    """A batch's texts, a few at a time as Python objects."""
-    for at in range(0, batch.num_rows, size):
-        yield from batch.column(column).slice(at, size).to_pylist()
+#: Words with at least 1/HEAVY of all training tokens are broadcast: HEAVY words at most, of 28 bytes each.
+HEAVY = 1_000_000
+_FLUSH, _ROWS, _SCORED, _BLOCK, _ROW = 400_000, 500, 1 << 15, 1 << 14, 32
 
 
 def growth(tokens: int) -> float:
@@ -61,162 +60,273 @@ def tasks_of(tokens: int) -> int:
     return max(1, int(min(whole, (whole * WIDE) ** 0.5)))
 
 
+def few_rows(batches, rows: int = _ROWS):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``word`` and ``n`` over all rows of ``docs(text)``."""
 
-    def partial(batches):
-        seen: Counter = Counter()
-
-        def some():
-            left = iter(seen.items())
-            while part := list(islice(left, 50_000)):
-                yield {"word": [w.decode() for w, _ in part], "n": [n for _, n in part]}
-            seen.clear()
+    def together(held):
+        key, codes, seen = words.numbered(np.concatenate([k for k, _, _ in held]))
+        n = np.bincount(codes, np.concatenate([n for _, n, _ in held]), len(key)).astype(np.int64)
+        return key, n, pa.concat_arrays([w for _, _, w in held]).take(pa.array(seen))
 
+    def partial(batches):
+        held, size, kept = [], 0, 0
         for batch in batches:
-            for text in texts_of(batch, 0):
-                seen.update(words_of(text))
-                if len(seen) > _FLUSH:
-                    yield from some()
-        yield from some()
+            for _, data, at in words.segments(batch.column(0)):
+                low = words.lowered(data)
+                starts, ends, _ = words.spans(low, at)
+                if not len(starts):
+                    continue
+                key, codes, seen = words.numbered(words.hashes(low, starts, ends))
+                held.append((key, np.bincount(codes, minlength=len(key)), words.texts_at(low, starts[seen], ends[seen])))
+                size += len(key)
+                if size > kept + _FLUSH:
+                    held = [together(held)]
+                    size = kept = len(held[0][0])
+                    if kept > _FLUSH:
+                        yield from rows(held)
+                        held, size, kept = [], 0, 0
+        if held:
+            yield from rows([together(held)])
+
+    def rows(held):
+        _, n, names = held[0]
+        for at in range(0, len(n), 50_000):
+            yield {"word": names.slice(at, 50_000), "n": n[at : at + 50_000]}
 
     return map_arrow(docs.select("text"), partial, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Symbols:
-    """How words become symbols; ids: frequent words, then classes, then the rest, the end and the start."""
+def marks(names: list[str], which: int = 0) -> np.ndarray:
+    """Hashes of whole strings."""
+    data, at = words.bytes_of(pa.array(names, pa.string()))
+    return words.hashes(data, at[:-1], at[1:], which)
+
+
+class Vocabulary:
+    """How words become symbols.  Ids go group by group, then the rest of words, the end (these two a group) and the start."""
 
     def __init__(self, heavy: list[tuple[str, int]], classes: dict[str, float], rest: float, ends: int, frequent: int):
         heavy = sorted(heavy, key=lambda x: (-x[1], x[0]))
-        top = heavy[:frequent]
-        self.suffixes = {s.encode(): len(top) + k for k, s in enumerate(sorted(classes))}
-        self.rest = len(top) + len(self.suffixes)
-        self.end, self.start = self.rest + 1, self.rest + 2
-        self.count = self.start + 1
         # one unseen word, of half a count, may be of any class
-        mass = [n for _, n in top] + [classes[s] + 0.5 for s in sorted(classes)] + [rest + 0.5, ends, 0]
-        self.mass = np.array(mass, dtype=float)
-        self.index = {w.encode(): k for k, (w, _) in enumerate(heavy)}
-        self.symbol = np.array([k if k < len(top) else self.of_class(w.encode()) for k, (w, _) in enumerate(heavy)], dtype=np.int32)
-        self.log_count = np.log10(np.array([n for _, n in heavy], dtype=float) + 0.5)
-        self.frequent = len(top)
-
-    def of_class(self, word: bytes) -> int:
-        return self.suffixes.get(word.decode()[-2:].encode(), self.rest)
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Symbols with the end, each word's place among the heavy ones or -1, and the words that have none."""
-        get = self.index.get
-        place = np.array([get(w, -1) for w in words], dtype=np.int64)
-        out = np.empty(len(words) + 1, np.int32)
-        out[-1] = self.end
-        light = np.flatnonzero(place < 0)
-        if len(self.symbol):
-            out[:-1] = self.symbol[place]
-        tail = [words[k] for k in light.tolist()]
-        out[light] = [self.of_class(w) for w in tail]
-        return out, place, tail
+        own = [(w[::-1], 0, w, n) for w, n in heavy[:frequent]] + [(s[::-1], 1, s, n + 0.5) for s, n in classes.items()]
+        own.sort(key=lambda x: x[:3])
+        self.rest, self.end, self.start = len(own), len(own) + 1, len(own) + 2
+        self.count = len(own) + 3
+        self.mass = np.array([n for *_, n in own] + [rest + 0.5, ends, 0], dtype=float)
+        groups = -(-len(own) // GROUP)
+        self.edges = np.concatenate([np.linspace(0, len(own), groups + 1).astype(np.int64), [len(own) + 2]]) if groups else np.array([0, 2])
+        self.classed = np.zeros(self.count)  # log10 of the mass that a class's words share
+        for k, (_, kind, _, n) in enumerate(own):
+            self.classed[k] = np.log10(n) if kind else 0.0
+        self.classed[self.rest] = np.log10(rest + 0.5)
+        self.shares = np.zeros(self.count, bool)
+        self.shares[[k for k, x in enumerate(own) if x[1]] + [self.rest]] = True
+        suffixes = [(x[2], k) for k, x in enumerate(own) if x[1]]
+        key = marks([s for s, _ in suffixes])
+        order = np.argsort(key)
+        self.suffix, self.suffix_symbol = key[order], np.array([k for _, k in suffixes], np.int32)[order]
+        symbol = {x[2]: k for k, x in enumerate(own) if not x[1]}
+        names = [w for w, _ in heavy]
+        key, check = marks(names), marks(names, 1)
+        order = np.argsort(key)
+        self.key, self.check = key[order], check[order]
+        self.symbol = np.array([symbol.get(names[k], -1) for k in order.tolist()], np.int32)
+        self.log_count = np.log10(np.array([n for _, n in heavy], dtype=float) + 0.5)[order]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """All texts' symbols with ends, where each text's begin (one more than texts), each token's place among the heavy words (-1: none, -2: end), and each text's words that have none."""
+        n, tails = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
+        symbols, places, names = [], [], [pa.array([], pa.string())]
+        for first, data, at in words.segments(column):
+            low = words.lowered(data)
+            starts, ends, begin = words.spans(low, at)
+            n[first : first + len(at) - 1] += np.diff(begin)
+            if not len(starts):
+                continue
+            key, codes, seen = words.numbered(words.hashes(low, starts, ends), ordered=True)
+            a, b = starts[seen], ends[seen]
+            place = words.found_in(self.key, key)
+            known = np.flatnonzero(place >= 0)
+            place[known[self.check[place[known]] != words.hashes(low, a[known], b[known], 1)]] = -1
+            symbol = np.where(place >= 0, self.symbol[place], -1) if len(self.symbol) else np.full(len(key), -1, np.int32)
+            other = np.flatnonzero(symbol < 0)
+            suffix = words.found_in(self.suffix, words.hashes(low, words.last_characters(low, a[other], b[other], 2), b[other]))
+            symbol[other] = np.where(suffix >= 0, self.suffix_symbol[suffix], self.rest) if len(self.suffix) else self.rest
+            symbols.append(symbol[codes])
+            places.append(place[codes])
+            light = np.flatnonzero(places[-1] < 0)
+            names.append(words.texts_at(low, starts[light], ends[light]))
+            tails[first : first + len(at) - 1] += np.diff(np.searchsorted(light, begin))
+        edge = np.concatenate([[0], np.cumsum(n + 1)])
+        ids, where = np.full(edge[-1], self.end, np.int32), np.full(edge[-1], -2, np.int64)
+        inner = np.ones(edge[-1], bool)
+        inner[edge[1:] - 1] = False
+        if symbols:
+            ids[inner], where[inner] = np.concatenate(symbols), np.concatenate(places)
+        return ids, edge, where, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tails)]), pa.int32()), pa.concat_arrays(names))
+
+    def contexts(self, ids: np.ndarray, edge: np.ndarray, before: int = BEFORE) -> np.ndarray:
+        """For each token the symbols before it, nearest first; the start where the text has none."""
+        out = np.full((before, len(ids)), self.start, np.int32)
+        at = np.arange(len(ids)) - np.repeat(edge[:-1], np.diff(edge))
+        for k in range(1, before + 1):
+            out[k - 1, k:] = np.where(at[k:] >= k, ids[:-k], self.start)
+        return out
 
 
 class LogBilinear:
-    """Two context positions with a matrix each, context and target embeddings, and biases."""
+    """A diagonal matrix for each context position, vectors and biases of contexts, groups and symbols."""
+
+    NAMES = ("context", "mix", "target", "bias", "over", "top")
 
-    def __init__(self, count: int, width: int, mass: np.ndarray):
+    def __init__(self, edges: np.ndarray, mass: np.ndarray, width: int = WIDTH, before: int = BEFORE):
         rng = np.random.default_rng(5)
+        count, self.edges = len(mass), edges
+        self.group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        self.share = (mass[: edges[-1]] + 1e-3) / (mass[: edges[-1]] + 1e-3).sum()  # of the targets: all but the start
+        self.whole = np.add.reduceat(self.share, edges[:-1])
         self.context = rng.normal(0, 0.1, (count, width)).astype(np.float32)
-        self.target = rng.normal(0, 0.1, (count, width)).astype(np.float32)
-        self.mix = np.stack([np.eye(width, dtype=np.float32) * s for s in (0.5, 1.0)])
-        share = (mass + 1e-3) / (mass + 1e-3).sum()
-        self.bias = np.log(share).astype(np.float32)
-        self.noise = share
+        self.target = rng.normal(0, 0.1, (edges[-1], width)).astype(np.float32)
+        self.over = rng.normal(0, 0.1, (len(self.whole), width)).astype(np.float32)
+        self.mix = np.full((before, width), 0.5, np.float32)
+        self.bias = np.log(self.share / self.whole[self.group]).astype(np.float32)
+        self.top = np.log(self.whole).astype(np.float32)
 
     def parameters(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.target, self.mix, self.bias)])
+        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
 
     def load(self, flat: np.ndarray) -> LogBilinear:
         at = 0
-        for name in ("context", "target", "mix", "bias"):
+        for name in self.NAMES:
             old = getattr(self, name)
             setattr(self, name, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
         return self
 
-    def train(self, batches, noise: int = NOISE, rate: float = RATE, seed: int = 0) -> int:
-        """Adagrad steps over arrays of (before last, last, next); returns the number of rows."""
+    def train(self, batches, rate: float = RATE, seed: int = 0) -> int:
+        """Adagrad steps over (contexts, words); returns the number of tokens."""
         rng = np.random.default_rng(seed)
-        count = len(self.bias)
-        names = ("context", "target", "mix", "bias")
-        squares = {k: np.full_like(getattr(self, k), 1e-2) for k in names}
-        edges, log_noise = np.cumsum(self.noise), np.log(self.noise * noise).astype(np.float32)
+        squares = {k: np.full_like(getattr(self, k), 1e-2) for k in self.NAMES}
+        below = np.cumsum(self.share)
+        first = np.concatenate([[0.0], below[self.edges[1:-1] - 1]])
+        log_group = (np.log(self.whole * NOISE_GROUPS)).astype(np.float32)
+        log_noise = (np.log(self.share / self.whole[self.group] * NOISE)).astype(np.float32)
         rows = 0
-        for first, second, word in batches:
-            drawn = np.minimum(np.searchsorted(edges, rng.random(noise)), count - 1)
-            a, b, t = self.context[first], self.context[second], self.target[word]
-            q = a @ self.mix[0] + b @ self.mix[1]
-            data = np.einsum("ij,ij->i", q, t) + self.bias[word] - log_noise[word]
-            false = q @ self.target[drawn].T + (self.bias[drawn] - log_noise[drawn])
+        for before, word in batches:
+            order = np.argsort(word.astype(np.uint16), kind="stable")
+            before, word = before[:, order], word[order]
+            group = self.group[word]
             size = np.float32(len(word))
-            g = (1 / (1 + np.exp(np.clip(data, -30, 30)))) / size  # rise of the data rows
-            h = (-1 / (1 + np.exp(-np.clip(false, -30, 30)))) / size
-            dq = g[:, None] * t + h @ self.target[drawn]
+            near = self.context[before]
+            q = np.einsum("kij,kj->ij", near, self.mix)
+            # which group
+            drawn = np.minimum(np.searchsorted(np.cumsum(self.whole), rng.random(NOISE_GROUPS)), len(self.whole) - 1)
+            g = rise(np.einsum("ij,ij->i", q, self.over[group]) + (self.top - log_group)[group]) / size
+            h = -rise(-(q @ self.over[drawn].T + (self.top - log_group)[drawn])) / size
+            dq = g[:, None] * self.over[group] + h @ self.over[drawn]
+            at = runs(group)
+            index = np.concatenate([group[at], drawn])
             steps = {
-                "target": scatter(word, g[:, None] * q, count),
-                "bias": np.bincount(word, g, count).astype(np.float32),
-                "mix": np.stack([a.T @ dq, b.T @ dq]),
-                "context": scatter(np.concatenate([first, second]), np.concatenate([dq @ self.mix[0].T, dq @ self.mix[1].T]), count),
+                "over": summed(index, np.concatenate([np.add.reduceat(g[:, None] * q, at, axis=0), h.T @ q])),
+                "top": summed(index, np.concatenate([np.add.reduceat(g, at), h.sum(axis=0)])),
             }
-            np.add.at(steps["target"], drawn, h.T @ q)
-            np.add.at(steps["bias"], drawn, h.sum(axis=0))
-            for k in names:
-                squares[k] += steps[k] ** 2 * size
-                getattr(self, k)[...] += rate * steps[k] * np.sqrt(size) / np.sqrt(squares[k])
+            # which symbol of the group
+            t, offset = self.target[word], self.bias - log_noise
+            g = rise(np.einsum("ij,ij->i", q, t) + offset[word]) / size
+            dq += g[:, None] * t
+            noise = np.searchsorted(below, first[group[at], None] + rng.random((len(at), NOISE)) * self.whole[group[at], None])
+            noise = np.clip(noise, self.edges[group[at], None], self.edges[group[at] + 1, None] - 1)
+            # each group's tokens in rows of ``_ROW``, so that all groups are one batched product
+            n = np.diff(np.append(at, len(word)))
+            need = -(-n // _ROW)
+            own = np.repeat(np.arange(len(at)), need)
+            place = (at[own] + _ROW * (np.arange(len(own)) - np.repeat(np.cumsum(need) - need, need)))[:, None] + np.arange(_ROW)
+            there = place < (at + n)[own][:, None]
+            x, other = q[np.minimum(place, len(word) - 1)], self.target[noise][own]
+            h = rise(-(x @ other.transpose(0, 2, 1) + offset[noise][own][:, None])) / -size
+            h *= there[:, :, None]
+            dq[place[there]] += (h @ other)[there]
+            pulled, pulled_bias = h.transpose(0, 2, 1) @ x, h.sum(axis=1)
+            at = runs(word)
+            index = np.concatenate([word[at], noise[own].ravel()])
+            steps["target"] = summed(index, np.concatenate([np.add.reduceat(g[:, None] * q, at, axis=0), pulled.reshape(-1, q.shape[1])]))
+            steps["bias"] = summed(index, np.concatenate([np.add.reduceat(g, at), pulled_bias.ravel()]))
+            steps["mix"] = slice(None), np.einsum("kij,ij->kj", near, dq)
+            steps["context"] = summed(before.ravel(), (self.mix[:, None] * dq).reshape(-1, q.shape[1]))
+            for k, (index, step) in steps.items():  # only the rows that the batch touches
+                square = squares[k][index] + step**2 * size
+                squares[k][index] = square
+                getattr(self, k)[index] += rate * np.sqrt(size) * step / np.sqrt(square)
             rows += len(word)
         return rows
 
-    def tables(self, start: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of a target by each context position (biases in the second), and log normalisers by context pair."""
-        first = (self.context @ self.mix[0] @ self.target.T).astype(np.float64)
-        second = (self.context @ self.mix[1] @ self.target.T + self.bias).astype(np.float64)
-        first[:, start] = second[:, start] = -1e9  # the start is never a target
-        top, over = first.max(axis=1), second.max(axis=1)
-        mass = np.exp(first - top[:, None]) @ np.exp(second - over[:, None]).T
-        with np.errstate(divide="ignore"):
-            z = np.log(mass) + top[:, None] + over[None, :]
-        for a, b in zip(*np.nonzero(mass < 1e-250)):  # the largest terms of both are too far apart
-            z[a, b] = np.logaddexp.reduce(first[a] + second[b])
-        return np.stack([first, second]), z
-
-
-def scatter(index: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
-    """Sums of rows by index."""
+    def log_probability(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The natural log probability of each word after its contexts, by products with all groups and with its group's symbols."""
+        seen = self.context * self.mix[:, None]
+        out = np.empty(len(word))
+        for start in range(0, len(word), _SCORED):
+            own = word[start : start + _SCORED]
+            order = np.argsort(own.astype(np.uint16), kind="stable")
+            own, there = own[order], before[:, start + order]
+            q = sum(x[c] for x, c in zip(seen, there))
+            group = self.group[own]
+            logs = chosen(q @ self.over.T + self.top, group)
+            edge = np.searchsorted(group, np.arange(len(self.whole) + 1)).tolist()
+            for k, (lo, hi) in enumerate(zip(edge, edge[1:])):
+                if hi > lo:
+                    a, b = self.edges[k], self.edges[k + 1]
+                    logs[lo:hi] += chosen(q[lo:hi] @ self.target[a:b].T + self.bias[a:b], own[lo:hi] - a)
+            out[start + order] = logs
+        return out
+
+
+def rise(x: np.ndarray) -> np.ndarray:
+    """The logistic function of -x; 0 where the exponential is too large to write."""
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(x))
+
+
+def chosen(scores: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Each row's log softmax at its column, in double precision."""
+    own = scores[np.arange(len(scores)), column].astype(np.float64)
+    if np.abs(scores).max() > 60:  # else no exponential is too large or too small
+        most = scores.max(axis=1)
+        own -= most
+        scores -= most[:, None]
+    np.exp(scores, out=scores)
+    return own - np.log(scores.sum(axis=1))
+
+
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+def summed(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct indexes and the sums of their values."""
     order = np.argsort(index.astype(np.uint16), kind="stable")
     index = index[order]
-    at = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    out = np.zeros((count, values.shape[1]), np.float32)
-    out[index[at]] = np.add.reduceat(values[order], at, axis=0)
-    return out
-
-
-def triples(symbols: Symbols, texts, batch: int):
-    """Arrays of (before last, last, next) of ``batch`` tokens or so."""
-    parts, held = [], 0
-    lead = np.array([symbols.start, symbols.start], np.int32)
-    for text in texts:
-        ids = np.concatenate([lead, symbols.encode(words_of(text))[0]])
-        parts.append((ids[:-2], ids[1:-1], ids[2:]))
-        held += len(ids) - 2
-        if held >= batch:
-            whole = [np.concatenate(x) for x in zip(*parts)]
-            for at in range(0, held - held % batch, batch):
-                yield [x[at : at + batch] for x in whole]
-            rest = held % batch
-            parts, held = ([tuple(x[-rest:] for x in whole)], rest) if rest else ([], 0)
-    if held:
-        yield [np.concatenate(x) for x in zip(*parts)]
-
-
-def train(docs: DataFrame, symbols, model: LogBilinear, tokens: int, rounds: int = ROUNDS) -> LogBilinear:
-    """All of ``docs(text)``, ``rounds`` times; ``symbols`` is a broadcast ``Symbols``."""
+    at = runs(index)
+    return index[at], np.add.reduceat(values[order], at, axis=0)
+
+
+def steps_of(vocabulary: Vocabulary, batches, size: int = BATCH):
+    """(contexts, words) of about ``size`` tokens each, all tokens once."""
+    for batch in few_rows(batches):
+        ids, edge, *_ = vocabulary.encode(batch.column(0))
+        before = vocabulary.contexts(ids, edge)
+        for at in range(0, len(ids), size):
+            yield before[:, at : at + size], ids[at : at + size]
+
+
+def train(docs: DataFrame, vocabulary, model: LogBilinear, tokens: int, rounds: int = ROUNDS) -> LogBilinear:
+    """All of ``docs(text)``, ``rounds`` times; ``vocabulary`` is a broadcast ``Vocabulary``."""
     docs = docs.select("text").coalesce(tasks_of(tokens))
     spark = docs.sparkSession
     for turn in range(rounds):
@@ -224,22 +334,34 @@ def train(docs: DataFrame, symbols, model: LogBilinear, tokens: int, rounds: int
 
         def local(batches, start=start, turn=turn):
             mine = start.value
-            flat = mine.parameters()
-            own = LogBilinear(len(mine.bias), mine.context.shape[1], mine.noise)
-            own.noise = mine.noise
-            own.load(flat)
-            texts = (t for b in batches for t in texts_of(b, 0))
-            rows = own.train(triples(symbols.value, texts, BATCH), rate=RATE / (turn + 1), seed=turn)
-            if rows:
-                yield {"at": np.arange(len(flat), dtype=np.int32), "value": own.parameters().astype(np.float64) * rows, "rows": np.full(len(flat), rows, np.int64)}
-
-        got = map_arrow(docs, local, "at int, value double, rows bigint").groupBy("at").agg((F.sum("value") / F.sum("rows")).alias("value")).toPandas().sort_values("at")
-        model.load(got["value"].to_numpy())
+            own = LogBilinear(mine.edges, np.concatenate([mine.share, [0.0]]), mine.context.shape[1], len(mine.mix))
+            own.share, own.whole = mine.share, mine.whole
+            own.load(mine.parameters())
+            rows = own.train(steps_of(vocabulary.value, batches), rate=RATE / (turn + 1), seed=turn)
+            flat = own.parameters()
+            for block, at in enumerate(range(0, len(flat), _BLOCK) if rows else ()):
+                yield {"block": [block], "rows": [rows], "values": [flat[at : at + _BLOCK].tobytes()]}
+
+        def mean(batches):
+            sums: dict[int, list] = {}
+            for batch in batches:
+                for block, rows, values in zip(*(c.to_pylist() for c in batch.columns)):
+                    held = sums.setdefault(block, [0.0, 0])
+                    held[0] = held[0] + np.frombuffer(values, np.float32).astype(np.float64) * rows
+                    held[1] += rows
+            if sums:
+                yield {"block": list(sums), "values": [(total / rows).tobytes() for total, rows in sums.values()]}
+
+        # a task adds up its blocks as they come, so it never holds more than their sums
+        parts = map_arrow(docs, local, "block int, rows bigint, values binary").repartition(16, "block")
+        got = sorted(map_arrow(parts, mean, "block int, values binary").collect())
+        if got:
+            model.load(np.concatenate([np.frombuffer(bytes(r["values"])) for r in got]))
     return model
 
 
-def learn(training: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, heavy: int = HEAVY):
-    """From ``training(text)``: the word counts as a table, N, V, and broadcast symbols and score tables (or None).
+def learn(training: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, heavy: int = HEAVY, rounds: int = ROUNDS):
+    """From ``training(text)``: the word counts as a table, N, V, and broadcast vocabulary and model (or None).
 
     ``frequent`` and ``classes`` are those of a small corpus and grow with the tokens.
     """
@@ -257,45 +379,41 @@ def learn(training: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES,
     by_end = others.groupBy(F.expr("right(word, 2)").alias("suffix")).agg(F.sum(F.col("n") + 0.5).alias("mass"))
     best = {r["suffix"]: float(r["mass"]) for r in by_end.orderBy(F.desc("mass"), "suffix").limit(classes).collect()}
     rest = float(others.agg(F.sum(F.col("n") + 0.5)).first()[0] or 0.0) - sum(best.values())
-    symbols = Symbols(top, best, max(rest, 0.0), ends, frequent)
-    shared = spark.sparkContext.broadcast(symbols)
-    model = train(training, shared, LogBilinear(symbols.count, WIDTH, symbols.mass), n)
-    return counts, n, v, shared, spark.sparkContext.broadcast([x.astype(np.float32) for x in model.tables(symbols.start)])
+    vocabulary = Vocabulary(top, best, max(rest, 0.0), ends, frequent)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    model = train(training, shared, LogBilinear(vocabulary.edges, vocabulary.mass), n, rounds)
+    return counts, n, v, shared, spark.sparkContext.broadcast(model)
 
 
-def score(docs: DataFrame, training: DataFrame) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, **options) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row of ``docs(doc_id, text)``."""
-    counts, n, v, symbols, tables = learn(training)
+    counts, n, v, shared, model = learn(training, **options)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-    if symbols is None:
-        found = map_arrow(docs, lambda bs: ({"doc_id": b.column(0), "n_tokens": [len(words_of(t)) + 1 for t in b.column(1).to_pylist()]} for b in bs), "doc_id bigint, n_tokens bigint")
+    if shared is None:
+        found = map_arrow(docs, lambda bs: ({"doc_id": b.column(0), "n_tokens": [len((t or "").encode().split()) + 1 for t in b.column(1).to_pylist()]} for b in bs), "doc_id bigint, n_tokens bigint")
         zero = F.lit(0.0)
         return found.select("doc_id", "n_tokens", F.lit(0).cast("bigint").alias("n_known"), F.lit(0).cast("bigint").alias("train_tokens"), zero.alias("base_score"), zero.alias("score"))
     whole = np.log10(n + 0.5 * (v + 1))
 
     def judge(batches):
-        s, ((first, second), z) = symbols.value, tables.value
-        classed = np.zeros(s.count)
-        classed[s.frequent : s.end] = np.log10(s.mass[s.frequent : s.end])
-        end = np.log10(s.mass[s.end] + 0.5)
-        lead = np.array([s.start, s.start], np.int32)
-        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            out = {k: [] for k in ("n_tokens", "n_known", "base", "score", "tail")}
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                ids, place, tail = s.encode(words)
-                known = place[place >= 0]
-                logs = s.log_count[known]
-                inside = logs[known >= s.frequent].sum()  # words of a class
-                seq = np.concatenate([lead, ids])
-                a, b, w = seq[:-2], seq[1:-1], seq[2:]
-                lm = (first[a, w] + second[b, w] - z[a, b]).sum(dtype=np.float64) / np.log(10)
-                out["n_tokens"].append(len(ids))
-                out["n_known"].append(len(known) + 1)
-                out["base"].append(float(logs.sum() + end - len(ids) * whole))
-                out["score"].append(float(lm + inside - classed[ids].sum()))
-                out["tail"].append([t.decode() for t in tail])
-            yield out | {"doc_id": batch.column(0), "row": batch.column(2)}
+        own, lm = shared.value, model.value
+        end = np.log10(own.mass[own.end] + 0.5)
+        for batch in few_rows(batches):
+            ids, edge, place, tail = own.encode(batch.column(1))
+            heavy = place >= 0
+            logs = np.where(heavy, own.log_count[place], 0.0) if len(own.log_count) else np.zeros(len(ids))
+            each = lm.log_probability(own.contexts(ids, edge), ids) / np.log(10) - own.classed[ids] + np.where(own.shares[ids], logs, 0.0)
+            size = np.diff(edge)
+            add = lambda x: np.add.reduceat(x, edge[:-1])  # noqa: E731  no text is without its end
+            yield {
+                "row": batch.column(2),
+                "doc_id": batch.column(0),
+                "n_tokens": size,
+                "n_known": add(heavy.astype(np.int64)) + 1,
+                "base": add(logs) + end - size * whole,
+                "score": add(each),
+                "tail": tail,
+            }
 
     found = settle(map_arrow(docs, judge, "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, tail array<string>"))
     seen = found.select("row", F.explode("tail").alias("word")).join(counts, "word", "left")

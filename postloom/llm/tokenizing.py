@@ -63,7 +63,7 @@ class WordCache:
     as flat arrays, some 40 bytes each, those used most often staying.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

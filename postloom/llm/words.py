@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -124,3 +124,28 @@ def numbered(values: np.ndarray, ordered: bool = False) -> tuple[np.ndarray, np.
     seen = np.empty(len(distinct), np.int64)
     seen[codes] = np.arange(len(codes))
     return distinct, codes, seen
+
+
+def texts_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans as an Arrow array of strings; a span never cuts a character."""
+    n = ends - starts
+    edge = np.concatenate([[0], np.cumsum(n)])
+    if edge[-1] >= 1 << 31:
+        raise ValueError("spans of 2 GB and more at once")
+    flat = data[np.repeat(starts - edge[:-1], n) + np.arange(edge[-1])]
+    return pa.StringArray.from_buffers(len(n), pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(flat))
+
+
+def last_characters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: int) -> np.ndarray:
+    """Where the last ``count`` characters of each span begin, or its start if it has fewer."""
+    leads = np.flatnonzero((data & 0xC0) != 0x80)
+    place = np.searchsorted(leads, ends) - count
+    return np.maximum(leads[np.maximum(place, 0)], starts) if len(leads) else starts
+
+
+def found_in(known: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The place of each key in the ascending ``known``, or -1."""
+    if not len(known):
+        return np.full(len(key), -1, np.int64)
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    return np.where(known[at] == key, at, -1)

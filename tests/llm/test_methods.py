@@ -278,11 +278,63 @@ def test_flat_files(spark, tmp_path):
     assert got == [(0, 0, 3, True), (1, 3, 1, True), (2, 4, 2, False)]
 
 
-def test_log_bilinear_is_normalised():
-    model = lm_scoring.LogBilinear(12, 4, np.ones(12))
-    (first, second), z = model.tables(11)
-    total = np.exp(first[3][None, :] + second - z[3][:, None]).sum(axis=1)
-    assert np.allclose(total, 1)
+def small_model(scale=1.0):
+    classes = {"ab": 4.0, "cd": 2.5, "é": 1.0}
+    vocabulary = lm_scoring.Vocabulary([(f"w{k}", 50 - k) for k in range(40)], classes, 3.0, 7, 30)
+    vocabulary.edges = np.array([0, 5, 20, 33, 35])
+    model = lm_scoring.LogBilinear(vocabulary.edges, vocabulary.mass, 4, 2)
+    model.context *= scale
+    return vocabulary, model
+
+
+@pytest.mark.parametrize("scale", [1.0, 4000.0])
+def test_log_bilinear_is_normalised(scale):
+    vocabulary, model = small_model(scale)
+    before = np.array([[3, vocabulary.start, 7], [33, 1, 34]])
+    each = [np.exp(model.log_probability(np.repeat(before[:, [k]], 35, axis=1), np.arange(35))).sum() for k in range(3)]
+    assert np.allclose(each, 1)
+
+
+def test_log_bilinear_step_by_step():
+    vocabulary, model = small_model()
+    rng = np.random.default_rng(1)
+    before, word = rng.integers(0, 36, (2, 300)), rng.integers(0, 35, 300)
+    got = model.log_probability(before, word)
+    for k in range(0, 300, 7):
+        q = [sum(float(model.context[before[i, k], j]) * float(model.mix[i, j]) for i in range(2)) for j in range(4)]
+        dot = lambda v: sum(x * float(y) for x, y in zip(q, v))
+        groups = [dot(v) + float(b) for v, b in zip(model.over, model.top)]
+        g = int(model.group[word[k]])
+        inside = [dot(model.target[i]) + float(model.bias[i]) for i in range(model.edges[g], model.edges[g + 1])]
+        want = groups[g] - np.logaddexp.reduce(groups) + inside[word[k] - model.edges[g]] - np.logaddexp.reduce(inside)
+        assert got[k] == pytest.approx(want, abs=1e-5)
+
+
+def test_scores_word_by_word(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["the", "The", "cat", "sat", "matté", "xé", "rare%d" % rng.randrange(60), "on"]) for _ in range(rng.randrange(12))) for _ in range(120)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    options = {"frequent": 3, "classes": 2, "heavy": 60}
+    counts, n, v, shared, broadcast = lm_scoring.learn(docs, **options)
+    own, lm = shared.value, broadcast.value
+    count = {r["word"]: r["n"] for r in counts.collect()}
+    heavy = sorted((w for w in count if count[w] * 60 >= n), key=lambda w: (-count[w], w))
+    ends: dict = {}
+    for w in set(count) - set(heavy[:3]):
+        ends[w[-2:]] = ends.get(w[-2:], 0) + count[w] + 0.5
+    classes = sorted(ends, key=lambda s: (-ends[s], s))[:2]
+    order = sorted([(w[::-1], 0, w) for w in heavy[:3]] + [(s[::-1], 1, s) for s in classes])
+    symbol = {(x[1], x[2]): k for k, x in enumerate(order)}
+    rest = sum(ends.values()) - sum(ends[s] for s in classes) + 0.5
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, docs, **options).collect()}
+    for k, t in enumerate(texts):
+        words_ = (t or "").lower().split()
+        ids = [symbol.get((0, w), symbol.get((1, w[-2:]), own.rest)) for w in words_] + [own.end]
+        share = [1 if (0, w) in symbol else (count[w] + 0.5) / (ends[w[-2:]] + 0.5 if (1, w[-2:]) in symbol else rest) for w in words_]
+        seq = [own.start] * 4 + ids
+        want = sum(float(lm.log_probability(np.array([[seq[i + 3 - b]] for b in range(4)]), np.array([seq[i + 4]]))[0]) for i in range(len(ids))) / np.log(10)
+        assert got[k]["score"] == pytest.approx(want + sum(np.log10(x) for x in share), abs=1e-4)
+        assert got[k]["n_known"] == len(ids)
 
 
 def test_scores_beat_unigrams(spark, sf_dir):
@@ -303,14 +355,6 @@ def test_scores_beat_unigrams(spark, sf_dir):
     assert out.score.sum() > out.base_score.sum()
 
 
-def test_log_bilinear_far_scores_are_normalised():
-    model = lm_scoring.LogBilinear(12, 4, np.ones(12))
-    model.context *= 4000
-    (first, second), z = model.tables(11)
-    whole = np.array([[np.logaddexp.reduce(a + b) for b in second] for a in first])
-    assert np.allclose(z, whole)
-
-
 def test_training_depth_and_symbols_grow():
     assert lm_scoring.ROUNDS >= 2 and lm_scoring.WIDTH >= 24
     sizes = [10**k for k in range(6, 11)]
@@ -330,13 +374,8 @@ def test_small_partitions_train_as_one(spark):
 
 def test_rare_words_are_joined(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60).cache()
-    few = lm_scoring.learn.__defaults__
     whole = {r["doc_id"]: r for r in lm_scoring.score(docs, docs).collect()}
-    lm_scoring.learn.__defaults__ = (*few[:2], 500)
-    try:
-        joined = {r["doc_id"]: r for r in lm_scoring.score(docs, docs).collect()}
-    finally:
-        lm_scoring.learn.__defaults__ = few
+    joined = {r["doc_id"]: r for r in lm_scoring.score(docs, docs, heavy=500).collect()}
     for k, r in whole.items():
         assert joined[k]["n_known"] == r["n_known"] and joined[k]["base_score"] == pytest.approx(r["base_score"])
 
