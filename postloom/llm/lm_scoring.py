@@ -19,7 +19,7 @@ Spark averages the tasks' parameters, weighted by tokens, once a round; the driv
 averaged set, from which the next round starts.  Small partitions are put together, so that a
 task's steps are enough to learn from and grow with the corpus.
 
-Inside tasks words are known by 64-bit hashes; counts are grouped and joined by the words
+Inside tasks words are known by 64-bit hashes and lengths; counts are grouped and joined by the words
 themselves.
 
 Defined results: a null text is empty and has the end alone.  With no training document every
@@ -46,7 +46,7 @@ SMALL, GROWTH = 1_000_000, 5
 TASK_TOKENS, WIDE = 2_000_000, 30
 #: Words with at least 1/HEAVY of all training tokens are broadcast: HEAVY words at most, of 28 bytes each.
 HEAVY = 1_000_000
-_FLUSH, _ROWS, _SCORED, _BLOCK, _ROW = 400_000, 500, 1 << 15, 1 << 14, 32
+_FLUSH, _ROWS, _SCORED, _BLOCK, _ROW = 400_000, 500, 1 << 14, 1 << 14, 32
 
 
 def growth(tokens: int) -> float:
@@ -133,14 +133,18 @@ class Vocabulary:
         self.suffix, self.suffix_symbol = key[order], np.array([k for _, k in suffixes], np.int32)[order]
         symbol = {x[2]: k for k, x in enumerate(own) if not x[1]}
         names = [w for w, _ in heavy]
-        key, check = marks(names), marks(names, 1)
+        key = marks(names)
         order = np.argsort(key)
-        self.key, self.check = key[order], check[order]
+        self.key, self.length = key[order], np.array([len(names[k].encode()) for k in order.tolist()] + [-1], np.int32)
         self.symbol = np.array([symbol.get(names[k], -1) for k in order.tolist()], np.int32)
         self.log_count = np.log10(np.array([n for _, n in heavy], dtype=float) + 0.5)[order]
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """All texts' symbols with ends, where each text's begin (one more than texts), each token's place among the heavy words (-1: none, -2: end), and each text's words that have none."""
+    def encode(self, column: pa.Array, whole: bool = True) -> tuple:
+        """All texts' symbols with ends, and where each text's begin (one more than texts).
+
+        If ``whole``, also each token's place among the heavy words (-1: none, -2: end), and
+        each text's words that have none.
+        """
         n, tails = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
         symbols, places, names = [], [], [pa.array([], pa.string())]
         for first, data, at in words.segments(column):
@@ -152,23 +156,28 @@ class Vocabulary:
             key, codes, seen = words.numbered(words.hashes(low, starts, ends), ordered=True)
             a, b = starts[seen], ends[seen]
             place = words.found_in(self.key, key)
-            known = np.flatnonzero(place >= 0)
-            place[known[self.check[place[known]] != words.hashes(low, a[known], b[known], 1)]] = -1
+            place[self.length[place] != b - a] = -1
             symbol = np.where(place >= 0, self.symbol[place], -1) if len(self.symbol) else np.full(len(key), -1, np.int32)
             other = np.flatnonzero(symbol < 0)
             suffix = words.found_in(self.suffix, words.hashes(low, words.last_characters(low, a[other], b[other], 2), b[other]))
             symbol[other] = np.where(suffix >= 0, self.suffix_symbol[suffix], self.rest) if len(self.suffix) else self.rest
-            symbols.append(symbol[codes])
-            places.append(place[codes])
+            symbols.append(symbol.take(codes))
+            if not whole:
+                continue
+            places.append(place.take(codes))
             light = np.flatnonzero(places[-1] < 0)
             names.append(words.texts_at(low, starts[light], ends[light]))
             tails[first : first + len(at) - 1] += np.diff(np.searchsorted(light, begin))
         edge = np.concatenate([[0], np.cumsum(n + 1)])
-        ids, where = np.full(edge[-1], self.end, np.int32), np.full(edge[-1], -2, np.int64)
-        inner = np.ones(edge[-1], bool)
+        ids, inner = np.full(edge[-1], self.end, np.int32), np.ones(edge[-1], bool)
         inner[edge[1:] - 1] = False
         if symbols:
-            ids[inner], where[inner] = np.concatenate(symbols), np.concatenate(places)
+            ids[inner] = np.concatenate(symbols)
+        if not whole:
+            return ids, edge
+        where = np.full(edge[-1], -2, np.int64)
+        if places:
+            where[inner] = np.concatenate(places)
         return ids, edge, where, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tails)]), pa.int32()), pa.concat_arrays(names))
 
     def contexts(self, ids: np.ndarray, edge: np.ndarray, before: int = BEFORE) -> np.ndarray:
@@ -210,7 +219,10 @@ class LogBilinear:
         return self
 
     def train(self, batches, rate: float = RATE, seed: int = 0) -> int:
-        """Adagrad steps over (contexts, words); returns the number of tokens."""
+        """Adagrad steps over parts of a stream of symbols, each text after starts; returns the number of tokens.
+
+        Every part begins with the symbols that its first token has before it.
+        """
         rng = np.random.default_rng(seed)
         squares = {k: np.full_like(getattr(self, k), 1e-2) for k in self.NAMES}
         below = np.cumsum(self.share)
@@ -218,18 +230,22 @@ class LogBilinear:
         log_group = (np.log(self.whole * NOISE_GROUPS)).astype(np.float32)
         log_noise = (np.log(self.share / self.whole[self.group] * NOISE)).astype(np.float32)
         rows = 0
-        for before, word in batches:
+        deep, start = len(self.mix), len(self.context) - 1
+        for stream in batches:
+            places = np.flatnonzero(stream[deep:] != start)
+            word = stream[deep:].take(places)
             order = np.argsort(word.astype(np.uint16), kind="stable")
-            before, word = before[:, order], word[order]
+            places, word = places[order], word[order]
             group = self.group[word]
             size = np.float32(len(word))
-            near = self.context[before]
-            q = np.einsum("kij,kj->ij", near, self.mix)
+            near, long = self.context.take(stream, axis=0), len(stream) - deep
+            seen = [near[deep - k : deep - k + long] for k in range(1, deep + 1)]
+            q = sum(x * m for x, m in zip(seen, self.mix)).take(places, axis=0)
             # which group
             drawn = np.minimum(np.searchsorted(np.cumsum(self.whole), rng.random(NOISE_GROUPS)), len(self.whole) - 1)
-            g = rise(np.einsum("ij,ij->i", q, self.over[group]) + (self.top - log_group)[group]) / size
+            g = rise(np.einsum("ij,ij->i", q, self.over.take(group, axis=0)) + (self.top - log_group).take(group)) / size
             h = -rise(-(q @ self.over[drawn].T + (self.top - log_group)[drawn])) / size
-            dq = g[:, None] * self.over[group] + h @ self.over[drawn]
+            dq = g[:, None] * self.over.take(group, axis=0) + h @ self.over[drawn]
             at = runs(group)
             index = np.concatenate([group[at], drawn])
             steps = {
@@ -237,8 +253,8 @@ class LogBilinear:
                 "top": summed(index, np.concatenate([np.add.reduceat(g, at), h.sum(axis=0)])),
             }
             # which symbol of the group
-            t, offset = self.target[word], self.bias - log_noise
-            g = rise(np.einsum("ij,ij->i", q, t) + offset[word]) / size
+            t, offset = self.target.take(word, axis=0), self.bias - log_noise
+            g = rise(np.einsum("ij,ij->i", q, t) + offset.take(word)) / size
             dq += g[:, None] * t
             noise = np.searchsorted(below, first[group[at], None] + rng.random((len(at), NOISE)) * self.whole[group[at], None])
             noise = np.clip(noise, self.edges[group[at], None], self.edges[group[at] + 1, None] - 1)
@@ -248,8 +264,8 @@ class LogBilinear:
             own = np.repeat(np.arange(len(at)), need)
             place = (at[own] + _ROW * (np.arange(len(own)) - np.repeat(np.cumsum(need) - need, need)))[:, None] + np.arange(_ROW)
             there = place < (at + n)[own][:, None]
-            x, other = q[np.minimum(place, len(word) - 1)], self.target[noise][own]
-            h = rise(-(x @ other.transpose(0, 2, 1) + offset[noise][own][:, None])) / -size
+            x, other = q.take(np.minimum(place, len(word) - 1), axis=0), self.target.take(noise[own], axis=0)
+            h = rise(-(x @ other.transpose(0, 2, 1) + offset.take(noise[own])[:, None])) / -size
             h *= there[:, :, None]
             dq[place[there]] += (h @ other)[there]
             pulled, pulled_bias = h.transpose(0, 2, 1) @ x, h.sum(axis=1)
@@ -257,8 +273,12 @@ class LogBilinear:
             index = np.concatenate([word[at], noise[own].ravel()])
             steps["target"] = summed(index, np.concatenate([np.add.reduceat(g[:, None] * q, at, axis=0), pulled.reshape(-1, q.shape[1])]))
             steps["bias"] = summed(index, np.concatenate([np.add.reduceat(g, at), pulled_bias.ravel()]))
-            steps["mix"] = slice(None), np.einsum("kij,ij->kj", near, dq)
-            steps["context"] = summed(before.ravel(), (self.mix[:, None] * dq).reshape(-1, q.shape[1]))
+            risen, back = np.zeros((long, q.shape[1]), np.float32), np.zeros_like(near)
+            risen[places] = dq
+            for k in range(1, deep + 1):  # a symbol is k before the one k places on
+                back[deep - k : deep - k + long] += self.mix[k - 1] * risen
+            steps["mix"] = slice(None), np.stack([np.einsum("ij,ij->j", x, risen) for x in seen])
+            steps["context"] = summed(stream, back)
             for k, (index, step) in steps.items():  # only the rows that the batch touches
                 square = squares[k][index] + step**2 * size
                 squares[k][index] = square
@@ -270,18 +290,20 @@ class LogBilinear:
         """The natural log probability of each word after its contexts, by products with all groups and with its group's symbols."""
         seen = self.context * self.mix[:, None]
         out = np.empty(len(word))
+        widest, tallest = max(np.abs(self.over).max(), np.abs(self.target).max()), max(np.abs(self.top).max(), np.abs(self.bias).max())
         for start in range(0, len(word), _SCORED):
             own = word[start : start + _SCORED]
             order = np.argsort(own.astype(np.uint16), kind="stable")
             own, there = own[order], before[:, start + order]
-            q = sum(x[c] for x, c in zip(seen, there))
+            q = sum(x.take(c, axis=0) for x, c in zip(seen, there))
             group = self.group[own]
-            logs = chosen(q @ self.over.T + self.top, group)
+            safe = np.abs(q).sum(axis=1).max(initial=0) * widest + tallest < 60  # else an exponential may be too large or too small
+            logs = chosen(q @ self.over.T + self.top, group, safe)
             edge = np.searchsorted(group, np.arange(len(self.whole) + 1)).tolist()
             for k, (lo, hi) in enumerate(zip(edge, edge[1:])):
                 if hi > lo:
                     a, b = self.edges[k], self.edges[k + 1]
-                    logs[lo:hi] += chosen(q[lo:hi] @ self.target[a:b].T + self.bias[a:b], own[lo:hi] - a)
+                    logs[lo:hi] += chosen(q[lo:hi] @ self.target[a:b].T + self.bias[a:b], own[lo:hi] - a, safe)
             out[start + order] = logs
         return out
 
@@ -292,10 +314,10 @@ def rise(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(x))
 
 
-def chosen(scores: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """Each row's log softmax at its column, in double precision."""
+def chosen(scores: np.ndarray, column: np.ndarray, safe: bool) -> np.ndarray:
+    """Each row's log softmax at its column; ``safe`` if no score is beyond 60 either way."""
     own = scores[np.arange(len(scores)), column].astype(np.float64)
-    if np.abs(scores).max() > 60:  # else no exponential is too large or too small
+    if not safe:
         most = scores.max(axis=1)
         own -= most
         scores -= most[:, None]
@@ -313,16 +335,16 @@ def summed(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(index.astype(np.uint16), kind="stable")
     index = index[order]
     at = runs(index)
-    return index[at], np.add.reduceat(values[order], at, axis=0)
+    return index[at], np.add.reduceat(values.take(order, axis=0), at, axis=0)
 
 
-def steps_of(vocabulary: Vocabulary, batches, size: int = BATCH):
-    """(contexts, words) of about ``size`` tokens each, all tokens once."""
+def steps_of(vocabulary: Vocabulary, batches, size: int = BATCH, before: int = BEFORE):
+    """The stream of all texts' symbols, ``before`` starts ahead of each, in parts of about ``size``; see ``LogBilinear.train``."""
     for batch in few_rows(batches):
-        ids, edge, *_ = vocabulary.encode(batch.column(0))
-        before = vocabulary.contexts(ids, edge)
-        for at in range(0, len(ids), size):
-            yield before[:, at : at + size], ids[at : at + size]
+        ids, edge = vocabulary.encode(batch.column(0), whole=False)
+        stream = np.insert(ids, np.repeat(edge[:-1], before), vocabulary.start)
+        for at in range(before, len(stream), size):
+            yield stream[at - before : at + size]
 
 
 def train(docs: DataFrame, vocabulary, model: LogBilinear, tokens: int, rounds: int = ROUNDS) -> LogBilinear:
