@@ -7,6 +7,9 @@ own rows; nothing is ordered over the whole log.
 
 from __future__ import annotations
 
+import hashlib
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +30,13 @@ def last_seq(log: DataFrame) -> DataFrame:
     return log.agg(F.max("seq").alias("last_seq"))
 
 
-def append(log: DataFrame, rows: DataFrame, order: list[str], parts: int = 8) -> DataFrame:
+def append(log: DataFrame, rows: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """``rows`` with the next seqs after ``log``, in the given order.
 
-    Numbers come from a range partitioning and its partition counts, so no task sees all rows.
+    Numbers come from a range partitioning (into ``parts``, else as many as shuffles have) and
+    its partition counts, a row a part, so no task sees all rows.
     """
+    parts = parts or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*order)
     inside = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = inside.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -52,6 +57,20 @@ def refresh(log: DataFrame, upserts: DataFrame) -> DataFrame:
     return log.unionByName(upserts, allowMissingColumns=True)
 
 
+def ingest_batch(existing: DataFrame, lines: DataFrame, predicate: Predicate | None = None, order: tuple[str, ...] = ("created_at", "uri")) -> tuple[DataFrame, DataFrame]:
+    """A batch of lines parsed, filtered and cut down to new uris: the posts to store, and the batch's counts.
+
+    Of several posts with one uri the first in ``order`` is stored.
+    """
+    from ..sources.ndjson import decode
+
+    candidates, errors = decode(lines)
+    kept = candidates if predicate is None else candidates.where(predicate.condition)
+    first = kept.groupBy("uri").agg(F.min_by(F.struct(*[c for c in kept.columns if c != "uri"]), F.struct(*order)).alias("p")).select("uri", "p.*")
+    stored = first.join(existing.select("uri"), "uri", "left_anti")
+    return stored, ingest_counts(candidates, stored, errors)
+
+
 def ingest_counts(candidates: DataFrame, stored: DataFrame, errors: DataFrame) -> DataFrame:
     """``added``, ``skipped`` (errors too) and ``errors`` of one batch."""
     n = lambda df, name: df.agg(F.count("*").alias(name))
@@ -138,9 +157,11 @@ def prune_author(posts: DataFrame, author: str) -> DataFrame:
     return posts.where(F.col("author") == author.lower()).select(F.lit("D").alias("op"), "uri", "author")
 
 
-def lineage_row(df: DataFrame, source: str, target: str, predicate: Predicate, mode: str) -> DataFrame:
-    """One row that says how a store was made."""
-    return df.sparkSession.createDataFrame([(target, source, predicate.signature(), mode)], "target string, source string, filter string, mode string")
+def lineage_row(df: DataFrame, source: str, target: str, predicate: Predicate, mode: str, now: datetime) -> DataFrame:
+    """One row that says how a store was made: with the filter, its hash, and when."""
+    signature = predicate.signature()
+    row = (target, source, signature, hashlib.sha256(signature.encode()).hexdigest(), mode, now)
+    return df.sparkSession.createDataFrame([row], "target string, source string, filter string, filter_hash string, mode string, updated_at timestamp_ntz")
 
 
 def staleness(lineage: DataFrame, checkpoints: DataFrame, last: DataFrame) -> DataFrame:
@@ -151,9 +172,32 @@ def staleness(lineage: DataFrame, checkpoints: DataFrame, last: DataFrame) -> Da
 
 
 def store_status(stores: DataFrame, states: DataFrame) -> DataFrame:
-    """Each store's ``status``: source where it is never a target, else stale if any of its sources is, else ready."""
-    by = states.groupBy(F.col("target").alias("store")).agg(F.max((F.col("state") == "stale").cast("int")).alias("stale"))
-    return stores.join(by, "store", "left").select("store", F.when(F.col("stale").isNull(), "source").when(F.col("stale") == 1, "stale").otherwise("ready").alias("status"))
+    """Each store's ``status``: source where it is never a target, else stale if any of its sources is, else ready; unknown where its only lineage names no source."""
+    by = states.groupBy(F.col("target").alias("store")).agg(F.count("source").alias("sources"), F.max((F.col("state") == "stale").cast("int")).alias("stale"))
+    status = F.when(F.col("sources").isNull(), "source").when(F.col("sources") == 0, "unknown").when(F.col("stale") == 1, "stale").otherwise("ready")
+    return stores.join(by, "store", "left").select("store", status.alias("status"))
+
+
+def sync_status(stores: DataFrame, last: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Each store's ``sync``: empty without a log, unknown without a checkpoint, else whether the newest one is at the log's end.
+
+    ``last`` has ``store`` and ``last_seq``; ``checkpoints`` has ``store``, ``checkpoint_seq`` and ``updated_at``.
+    """
+    newest = checkpoints.groupBy("store").agg(F.max_by(F.struct("checkpoint_seq"), "updated_at").alias("newest"))
+    out = stores.join(last.select("store", "last_seq"), "store", "left").join(newest, "store", "left")
+    state = F.when(F.col("last_seq").isNull(), "empty").when(F.col("newest").isNull(), "unknown").when(F.col("newest.checkpoint_seq") == F.col("last_seq"), "current").otherwise("stale")
+    return out.select("store", state.alias("sync"))
+
+
+def store_table(stores: DataFrame, status: DataFrame, posts: DataFrame) -> DataFrame:
+    """Each store with its status and its number of posts (``posts`` has a row a post and its ``store``)."""
+    counts = posts.groupBy("store").agg(F.count("*").alias("posts"))
+    return stores.join(status, "store", "left").join(counts, "store", "left").select("store", "status", F.coalesce("posts", F.lit(0)).alias("posts"))
+
+
+def topology_edges(lineage: DataFrame) -> DataFrame:
+    """``source``, ``target`` of every derivation, once each."""
+    return lineage.where("source is not null").select("source", "target").distinct()
 
 
 def topology(stores: DataFrame, lineage: DataFrame) -> DataFrame:

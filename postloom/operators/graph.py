@@ -7,6 +7,7 @@ edges of one key: sums and minima are combined on the map side first.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,12 +15,13 @@ from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder; only where none is set, as in tests, in a temporary one."""
+    """A checkpoint in the shared folder; where none is named, in a temporary one if all tasks run in this process, else an error."""
     context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    if not context.getCheckpointDir():
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
     return df.checkpoint()
 
 
@@ -30,23 +32,22 @@ def thread(posts: DataFrame, uri: str) -> DataFrame:
     return joined.drop("_root").orderBy("created_at", "uri")
 
 
-def thread_order(posts: DataFrame, most_levels: int = 1000) -> DataFrame:
+def thread_order(posts: DataFrame) -> DataFrame:
     """``uri``, ``depth`` and ``path``: ordering by path is the depth-first order of each thread's replies.
 
-    A post whose parent is not among the posts is a root; siblings go by time and uri.
+    A post whose parent is not among the posts is a root; siblings go by time and uri.  Each
+    round joins a post's path to that of the post above it, so the rounds grow with the
+    logarithm of a thread's depth.  Posts whose parents go round in a circle, or lead into
+    one, have no root and are left out.
     """
-    rows = posts.select("uri", F.col("reply_parent_uri").alias("parent"), F.concat(F.date_format("created_at", "yyyyMMddHHmmssSSS"), F.lit(" "), "uri").alias("own"))
-    has = rows.select(F.col("uri").alias("parent"), F.lit(True).alias("_has"))
-    rows = saved(rows.join(has, "parent", "left").withColumn("parent", F.when(F.col("_has"), F.col("parent"))).drop("_has"))
-    level = saved(rows.where("parent is null").select("uri", F.lit(0).alias("depth"), F.array("own").alias("path")))
-    out = level
-    for _ in range(most_levels):
-        above = level.select(F.col("uri").alias("parent"), "depth", "path")
-        level = saved(rows.join(above, "parent").select("uri", (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("own")).alias("path")))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"a thread is deeper than {most_levels}")
+    rows = posts.select("uri", F.col("reply_parent_uri").alias("up"), F.concat(F.date_format("created_at", "yyyyMMddHHmmssSSS"), F.lit(" "), "uri").alias("own"))
+    has = rows.select(F.col("uri").alias("up"), F.lit(True).alias("_has"))
+    rows = saved(rows.join(has, "up", "left").select("uri", F.when(F.col("_has"), F.col("up")).alias("up"), "own", F.array("own").alias("path")))
+    while not (waiting := rows.where("up is not null")).isEmpty():
+        above = rows.select(F.col("uri").alias("up"), F.col("up").alias("_next"), F.col("path").alias("_before"))
+        joined = waiting.join(above, "up").where(~F.array_contains("_before", F.col("own")))
+        rows = saved(rows.where("up is null").unionByName(joined.select("uri", F.col("_next").alias("up"), "own", F.concat("_before", "path").alias("path"))))
+    return rows.select("uri", (F.size("path") - 1).alias("depth"), "path")
 
 
 def edges(posts: DataFrame) -> DataFrame:

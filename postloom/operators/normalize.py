@@ -58,6 +58,35 @@ def embed_summary(embed: Column) -> Column:
     )
 
 
+def flat_summary() -> Column:
+    """The same summary from the flat columns of a posts table."""
+    shown, quoted, card = F.size("images") > 0, F.col("quote_uri").isNotNull(), F.col("external_link").isNotNull()
+    media = shown | F.col("has_video") | card
+    kind = F.when(quoted & media, "RecordWithMedia").when(quoted, "Record").when(shown, "Images").when(F.col("has_video"), "Video").when(card, "External")
+    return F.when(
+        kind.isNotNull(),
+        F.struct(
+            kind.alias("type"), F.size("images").alias("image_count"), (shown & F.forall("images", lambda i: F.coalesce(F.trim(i["alt"]), F.lit("")) != "")).alias("all_alt"),
+            F.try_element_at("images", F.lit(1))["thumb"].alias("first_thumb"), F.col("external_link").alias("external_uri"), F.lit(None).cast("string").alias("external_title"),
+            F.col("quote_uri").alias("record_uri"), F.col("quote_author_did").alias("record_author"),
+        ),
+    )
+
+
+def embed_cell(summary: Column) -> Column:
+    """An embed in a few characters: ``2img``, ``video``, ``link:host``, ``quote:@author`` or nothing."""
+    shown = F.when(summary["image_count"] > 0, F.concat(summary["image_count"].cast("string"), F.lit("img")))
+    host = F.try_parse_url(summary["external_uri"], F.lit("HOST"))
+    card = F.when(summary["external_uri"].isNotNull(), F.when(host.isNotNull(), F.concat(F.lit("link:"), host)).otherwise(F.lit("link")))
+    quote = F.when(summary["record_author"].isNotNull(), F.concat(F.lit("quote:@"), summary["record_author"])).otherwise(F.lit("quote"))
+    kind = summary["type"]
+    media = F.coalesce(shown, card, F.when(kind == "Video", "video"))
+    return F.coalesce(
+        F.when(kind == "Images", F.coalesce(shown, F.lit("img"))).when(kind == "Video", "video").when(kind == "External", F.coalesce(card, F.lit("link")))
+        .when(kind == "Record", quote).when(kind == "RecordWithMedia", F.concat_ws("+", quote, media)).otherwise(F.lit("")), F.lit("")
+    )
+
+
 def reject_reason(raw: Column) -> Column:
     """Why a decoded raw post cannot be taken, or null."""
     negative = lambda m: F.coalesce(m < -1, F.lit(False))
@@ -95,6 +124,35 @@ def normalize(raw: DataFrame, column: str = "raw") -> DataFrame:
     return flags(out.withColumn("images", F.explode(F.array("images"))))
 
 
+def post_reject_reason(post: Column) -> Column:
+    """Why a decoded post that is normalised already cannot be taken, or null."""
+    return (
+        F.when(post.isNull() | post["uri"].isNull(), F.lit("not a post"))
+        .when(~post["uri"].rlike(r"^at://\S+"), F.lit("bad uri"))
+        .when(post["text"].isNull() | post["author"].isNull() | F.try_to_timestamp(post["createdAt"]).isNull(), F.lit("bad record"))
+    )
+
+
+def from_normalized(posts: DataFrame, column: str = "post") -> DataFrame:
+    """Rows of the posts table from a struct column of posts that were normalised before."""
+    out = posts.withColumn("_post", F.col(column))
+    p, embed, reason = F.col("_post"), F.col("_post.embed"), F.col("_post.feed.reason")
+    created = F.date_trunc("millisecond", F.to_timestamp_ntz(F.regexp_replace(p["createdAt"], "Z$", "")))
+    own = lambda c: F.coalesce(p[c], F.array().cast(_NONE))
+    out = out.select(
+        p["uri"].alias("uri"), F.lower(p["author"]).alias("author"), p["authorDid"].alias("author_did"), created.alias("created_at"), created.cast("date").alias("created_date"), p["text"].alias("text"),
+        languages(own("langs")).alias("langs"), own("hashtags").alias("hashtags"), own("mentions").alias("mentions"), own("mentionDids").alias("mention_dids"), own("links").alias("links"),
+        F.coalesce(embed["external"]["uri"], embed["media"]["external"]["uri"]).alias("external_link"),
+        metric(p["metrics"]["likeCount"]).alias("like_count"), metric(p["metrics"]["repostCount"]).alias("repost_count"), metric(p["metrics"]["replyCount"]).alias("reply_count"), metric(p["metrics"]["quoteCount"]).alias("quote_count"),
+        p["reply"]["parent"]["uri"].alias("reply_parent_uri"), p["reply"]["root"]["uri"].alias("reply_root_uri"), p["reply"].isNotNull().alias("is_reply"),
+        embed["type"].isin("Record", "RecordWithMedia").alias("is_quote"), embed["record"]["uri"].alias("quote_uri"), embed["record"]["authorDid"].alias("quote_author_did"),
+        (reason["type"] == "repost").alias("is_repost"), F.when(reason["type"] == "repost", reason["byDid"]).alias("repost_by_did"),
+        images_of(embed).alias("images"), ((embed["type"] == "Video") | (embed["media"]["type"] == "Video")).alias("has_video"),
+        embed.isNotNull().alias("has_embed"), embed_summary(embed).alias("embed_summary"),
+    )
+    return flags(out)
+
+
 def flags(p: DataFrame) -> DataFrame:
     known = lambda c: F.coalesce(F.col(c), F.lit(False))
     p = p.withColumns({c: known(c) for c in ("is_reply", "is_quote", "is_repost", "has_video", "has_embed")} | {"image_count": F.size("images")})

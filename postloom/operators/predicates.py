@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,8 +79,8 @@ def pattern(expression: str, flags: str = "") -> str:
     made = "".join(v for k, v in _FLAGS.items() if k in flags) + expression
     if spark := SparkSession.getActiveSession():
         try:
-            spark.range(1).select(F.lit("").rlike(made)).collect()
-        except PySparkException as wrong:
+            spark._jvm.java.util.regex.Pattern.compile(made)
+        except Exception as wrong:  # py4j's, of the class that Java throws
             raise ValueError(f"bad pattern {expression!r}") from wrong
     return made
 
@@ -197,14 +196,19 @@ def alt_text_regex(expression: str, flags: str = "") -> Predicate:
     return _leaf("AltTextRegex", lambda: F.exists("images", lambda i: F.coalesce(i["alt"].rlike(made), F.lit(False))), pattern=made)
 
 
+def link_urls() -> Column:
+    """A post's links and the link of its card, where it has one."""
+    return F.concat(F.coalesce("links", F.array().cast("array<string>")), F.array_compact(F.array("external_link")))
+
+
 def link_contains(text: str, case_sensitive: bool = False) -> Predicate:
     plain = (lambda u: u.contains(text)) if case_sensitive else (lambda u: F.lower(u).contains(text.lower()))
-    return _leaf("LinkContains", lambda: F.exists("links", plain), text=text, caseSensitive=case_sensitive)
+    return _leaf("LinkContains", lambda: F.exists(link_urls(), plain), text=text, caseSensitive=case_sensitive)
 
 
 def link_regex(expression: str, flags: str = "") -> Predicate:
     made = pattern(expression, flags)
-    return _leaf("LinkRegex", lambda: F.exists("links", lambda u: u.rlike(made)), pattern=made)
+    return _leaf("LinkRegex", lambda: F.exists(link_urls(), lambda u: u.rlike(made)), pattern=made)
 
 
 def named(library: dict[str, Predicate], name: str) -> Predicate:
@@ -240,10 +244,14 @@ def with_valid_links(posts: DataFrame, status: DataFrame, key: str = "uri", on_e
     return posts.join(judged, key, "left").withColumn("has_valid_links", F.coalesce("has_valid_links", F.lit(False)))
 
 
-def with_trending(posts: DataFrame, trending: DataFrame, tag: str) -> DataFrame:
-    """``posts`` with ``is_trending``: whether the tag is among the topics now, the same for all posts."""
+def with_trending(posts: DataFrame, trending: DataFrame, tag: str, on_error: str = "exclude") -> DataFrame:
+    """``posts`` with ``is_trending``: whether the tag is among the topics now, the same for all posts.
+
+    A table without topics is a failed lookup and follows ``on_error``.
+    """
     topic = tag.lower().removeprefix("#")
-    found = trending.agg(F.coalesce(F.bool_or(F.lower("topic") == topic), F.lit(False)).alias("is_trending"))  # one row
+    found = trending.agg(F.count("topic").alias("n"), F.coalesce(F.bool_or(F.lower("topic") == topic), F.lit(False)).alias("hit"))  # one row
+    found = found.select(_on_error(on_error, F.col("n") > 0, F.col("hit")).alias("is_trending"))
     return posts.join(F.broadcast(found))
 
 

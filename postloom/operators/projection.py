@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .normalize import flat_summary
+
 #: Named field lists.
 PRESETS = {
-    "minimal": ["uri", "author", "text", "created_at"],
-    "social": ["uri", "author", "text", "like_count", "repost_count", "reply_count", "quote_count", "hashtags"],
-    "images": ["uri", "author", "images.*.fullsize", "images.*.alt"],
-    "media": ["uri", "author", "images", "has_video", "links"],
-    "embeds": ["uri", "quote_uri", "quote_author_did", "repost_by_did", "has_media"],
+    "minimal": ["uri", "author", "text", "created_at", "embed_summary"],
+    "social": ["uri", "author", "text", "like_count", "repost_count", "reply_count", "quote_count", "hashtags", "embed_summary"],
+    "images": ["uri", "author", "text", "created_at", "images"],
+    "embeds": ["uri", "author", "text", "created_at", "embed_summary"],
+    "media": ["uri", "author", "text", "created_at", "images", "embed_summary"],
     "full": ["*"],
 }
 
@@ -37,8 +39,11 @@ def project(posts: DataFrame, paths: list[str]) -> DataFrame:
     """Columns by dotted path, put back as nested values.
 
     ``head.*`` is all of a struct's children, ``array.*.name`` one child of each element;
-    several such paths of one array are merged element by element.
+    several such paths of one array are merged element by element.  ``embed_summary`` is made
+    of the flat columns where the posts lack it.
     """
+    if any(p.split(".")[0] == "embed_summary" for p in paths) and "embed_summary" not in posts.columns:
+        posts = posts.withColumn("embed_summary", flat_summary())
     if paths == ["*"]:
         return posts
     tree: dict = {}
@@ -71,5 +76,6 @@ def _value(column: Column, kind: T.DataType, below: dict, path: str) -> Column:
 
 
 def images(posts: DataFrame) -> DataFrame:
-    """One row an image; a limit on these rows limits images."""
-    return posts.select("uri", "author", F.explode("images").alias("i")).select("uri", "author", "i.fullsize", "i.thumb", "i.alt")
+    """One row an image, with ``store`` if the posts have one; a limit on these rows limits images."""
+    own = [c for c in ("store", "uri", "author") if c in posts.columns]
+    return posts.select(*own, F.explode("images").alias("i")).select(*own, "i.fullsize", "i.thumb", "i.alt")

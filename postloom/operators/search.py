@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -44,6 +44,13 @@ def page(found: DataFrame, order: list[Column], limit: int = 25, offset: int = 0
     return found.orderBy(*order).offset(offset).limit(limit)
 
 
+def with_cursor(found: DataFrame, order: list[Column], limit: int = 25, offset: int = 0) -> DataFrame:
+    """A page with ``next_cursor``, the offset of the next one, on each of its rows: null unless the page is full."""
+    rows = page(found, order, limit, offset)
+    full = F.count("*").over(Window.partitionBy()) >= limit  # a window over the page alone
+    return rows.withColumn("next_cursor", F.when(full, F.lit(offset + limit)))
+
+
 def newest(found: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
     return page(found, [F.desc("created_at"), F.desc("uri")], limit, offset)
 

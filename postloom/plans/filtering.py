@@ -59,8 +59,9 @@ for _name, _make, _condition in [
     ("p_no_alt_text", p.no_alt_text, "image_count > 0 AND NOT has_alt_text"),
     ("p_video", p.has_video, "has_video"),
     ("p_links", p.has_links, "has_links"),
-    ("p_link_contains", lambda: p.link_contains("HOST2.example"), "len(list_filter(links, lambda u: contains(lower(u), 'host2.example'))) > 0"),
-    ("p_link_regex", lambda: p.link_regex(r"host[34]\."), r"len(list_filter(links, lambda u: regexp_matches(u, 'host[34]\.'))) > 0"),
+    ("p_link_contains", lambda: p.link_contains("HOST2.example"), "len(list_filter(list_concat(links, [external_link]), lambda u: contains(lower(u), 'host2.example'))) > 0"),
+    ("p_link_regex", lambda: p.link_regex(r"host[34]\.|^https://card.*[05]$"), r"len(list_filter(list_concat(links, [external_link]), lambda u: regexp_matches(u, 'host[34]\.|^https://card.*[05]$'))) > 0"),
+    ("p_card_link", lambda: p.link_contains("Card.example"), "external_link IS NOT NULL"),
     ("p_media", p.has_media, "has_media"),
     ("p_embed", p.has_embed, "has_embed"),
     ("p_and_or_not", lambda: (p.hashtag("#click") & ~p.is_reply()) | (p.engagement(likes=40) & p.language(["en"])), "(list_contains(hashtags, '#click') AND NOT is_reply) OR (coalesce(like_count, 0) >= 40 AND list_contains(langs, 'en'))"),
@@ -127,9 +128,34 @@ def p_match_rate(spark, d):
     return p.match_rate(posts(spark, d), p.has_images())
 
 
-@query(f"{POSTS} SELECT uri, author, text, iso AS created_at FROM posts")
+@query(f"{POSTS} SELECT uri, author, text, iso AS created_at, embed_type FROM posts")
 def j_minimal(spark, d):
-    return j.project(posts(spark, d), j.preset("minimal")).withColumn("created_at", iso(F.col("created_at")))
+    return j.project(posts(spark, d), j.preset("minimal")).select("uri", "author", "text", iso(F.col("created_at")).alias("created_at"), F.col("embed_summary.type").alias("embed_type"))
+
+
+@query(f"{POSTS} SELECT uri, author, text, like_count, repost_count, reply_count, quote_count, array_to_string(hashtags, '|') AS hashtags, embed_type, external_link AS card, quote_uri AS record FROM posts")
+def j_social(spark, d):
+    """The summary is made when projecting."""
+    shown = j.project(posts(spark, d).drop("embed_summary"), j.fields("@social"))
+    summary = [F.col(f"embed_summary.{a}").alias(b) for a, b in (("type", "embed_type"), ("external_uri", "card"), ("record_uri", "record"))]
+    return shown.select("uri", "author", "text", "like_count", "repost_count", "reply_count", "quote_count", F.array_join("hashtags", "|").alias("hashtags"), *summary)
+
+
+@query(f"{POSTS} SELECT uri, author, text, iso AS created_at, image_count::INT AS images, has_alt_text AS all_alt, CASE WHEN has_images THEN 'https://img.example/' || event_id || '/0/thumb' END AS first_thumb FROM posts")
+def j_media(spark, d):
+    shown = j.project(posts(spark, d), j.fields("@media"))
+    return shown.select("uri", "author", "text", iso(F.col("created_at")).alias("created_at"), F.size("images").alias("images"), F.coalesce("embed_summary.all_alt", F.lit(False)).alias("all_alt"), F.col("embed_summary.first_thumb").alias("first_thumb"))
+
+
+@query(f"{POSTS} SELECT uri, author, text, iso AS created_at, image_count::INT AS images FROM posts")
+def j_images(spark, d):
+    return j.project(posts(spark, d), j.fields("@images")).select("uri", "author", "text", iso(F.col("created_at")).alias("created_at"), F.size("images").alias("images"))
+
+
+@query(f"{POSTS} SELECT uri, author, text, iso AS created_at, embed_type, quote_author_did AS record_author FROM posts")
+def j_embeds(spark, d):
+    shown = j.project(posts(spark, d), j.fields("@embeds"))
+    return shown.select("uri", "author", "text", iso(F.col("created_at")).alias("created_at"), F.col("embed_summary.type").alias("embed_type"), F.col("embed_summary.record_author").alias("record_author"))
 
 
 @query(f"""{IMAGES}, firsts AS (SELECT uri, string_agg(coalesce(alt, '-'), '|' ORDER BY i) AS alts, string_agg(fullsize, '|' ORDER BY i) AS urls FROM images GROUP BY uri)
@@ -180,8 +206,8 @@ def o_multi_store(spark, d):
     return o.merge_stores(stores).limit(200).select("store", "uri", iso(F.col("created_at")).alias("created"))
 
 
-@query(f"{POSTS} SELECT uri, regexp_extract(links[1], '://([^/]+)', 1) AS host, length(text) AS n FROM posts WHERE has_links")
+@query(f"{POSTS} SELECT uri, nullif(regexp_extract(links[1], '://([^/]+)', 1), '') AS host, length(text) AS n FROM posts WHERE has_links")
 def j_link_host(spark, d):
     from ..functions.text import host
 
-    return posts(spark, d).where("has_links").select("uri", host(F.col("links")[0]).alias("host"), F.length("text").cast("bigint").alias("n"))
+    return posts(spark, d).where("has_links").select("uri", host(F.try_element_at("links", F.lit(1))).alias("host"), F.length("text").cast("bigint").alias("n"))

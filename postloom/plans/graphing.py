@@ -39,6 +39,12 @@ def t_newest(spark, d):
     return s.newest(found, offset=25).select("uri", iso(F.col("created_at")).alias("created"))
 
 
+@query(f"{_WORDS}, page AS (SELECT uri FROM words WHERE list_contains(w, 'the') ORDER BY created_at, uri LIMIT 20 OFFSET 40) SELECT uri, CASE WHEN (SELECT count(*) FROM page) = 20 THEN 60 END AS next_cursor FROM page")
+def t_page(spark, d):
+    found = s.indexed(posts(spark, d), ("text",)).where(s.matches(["the"]))
+    return s.with_cursor(found, [F.asc("created_at"), F.asc("uri")], 20, 40).select("uri", "next_cursor")
+
+
 @query(f"{_WORDS} SELECT uri, iso AS created FROM words WHERE list_contains(w, 'the') ORDER BY created_at, uri LIMIT 25")
 def t_oldest(spark, d):
     return s.oldest(s.indexed(posts(spark, d), ("text",)).where(s.matches(["the"]))).select("uri", iso(F.col("created_at")).alias("created"))
@@ -156,13 +162,26 @@ def g_pagerank(spark, d):
     return g.pagerank(g.saved(people), g.saved(links)).select("did", F.round("rank", 9).alias("rank"))
 
 
-@query()
+def _propagated(rounds: int) -> str:
+    steps = [f"""{_EDGES}, both_ways AS (SELECT src, dst, sum(weight) AS w FROM (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges) GROUP BY 1, 2),
+near AS MATERIALIZED (SELECT * FROM both_ways UNION ALL SELECT did, did, coalesce((SELECT max(w) FROM both_ways WHERE src = did), 1) FROM people), l0 AS (SELECT did, did AS label FROM people)"""]
+    for k in range(rounds):
+        steps.append(f"""l{k + 1} AS MATERIALIZED (SELECT did, label FROM (SELECT did, label, row_number() OVER (PARTITION BY did ORDER BY w DESC, label) AS n
+FROM (SELECT src AS did, label, sum(w) AS w FROM near JOIN l{k} ON l{k}.did = dst GROUP BY 1, 2)) WHERE n = 1)""")
+    return ", ".join(steps) + f", members AS (SELECT did, min(did) OVER (PARTITION BY label) AS community FROM l{rounds})"
+
+
+@query(f"{_propagated(10)} SELECT did, community FROM members")
 def g_communities(spark, d):
     _, people, links = _graph(spark, d)
     return g.communities(g.saved(people), g.saved(links))
 
 
-@query()
+@query(f"""{_propagated(10)}, inside AS (SELECT e.src, e.dst, e.weight FROM edges e JOIN members a ON a.did = e.src JOIN members b ON b.did = e.dst WHERE a.community = b.community),
+strength AS (SELECT did, sum(weight) AS w FROM (SELECT src AS did, weight FROM inside UNION ALL SELECT dst, weight FROM inside) GROUP BY 1),
+names AS (SELECT author_did AS did, min(author) AS label FROM posts GROUP BY 1),
+ranked AS (SELECT m.*, coalesce(label, m.did) AS label, row_number() OVER (PARTITION BY community ORDER BY coalesce(w, 0) DESC, m.did) AS n, count(*) OVER (PARTITION BY community) AS members FROM members m LEFT JOIN strength USING (did) LEFT JOIN names USING (did))
+SELECT community, members, label FROM ranked WHERE n = 1""")
 def g_community_labels(spark, d):
     _, people, links = _graph(spark, d)
     people, links = g.saved(people), g.saved(links)

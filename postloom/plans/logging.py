@@ -162,3 +162,34 @@ def a_ingest_fold(spark, d):
     n = lambda x: F.sum(x.cast("bigint"))
     batches = log(spark, d).groupBy(F.floor(F.col("seq") / 1000).alias("batch")).agg(n((F.col("op") == "U") & (F.col("seq") % 10 == 0)).alias("added"), n(F.col("op") == "D").alias("deleted"), n(F.col("seq") % 10 == 3).alias("skipped"), F.lit(0).cast("bigint").alias("errors"))
     return c.fold_results(batches)
+
+
+@query(f"""{LOG}, {_KIND}, ends AS (SELECT store, last_seq FROM kinds UNION ALL SELECT 'all', (SELECT max(seq) FROM post_log))
+SELECT store, CASE WHEN store = 'click' THEN 'current' WHEN store IN ('error', 'all') THEN 'unknown' ELSE 'stale' END AS sync FROM ends UNION ALL SELECT 'popular', 'empty'""")
+def l_sync_status(spark, d):
+    stores, _, _, last = _stores(spark, d)
+    points = last.where("store not in ('error', 'all')").select("store", F.when(F.col("store") == "click", F.col("last_seq")).otherwise(F.col("last_seq") - 1).alias("checkpoint_seq"), F.lit(2).alias("updated_at"))
+    return c.sync_status(stores, last, points.union(points.select("store", F.lit(0), F.lit(1))))
+
+
+@query(f"""{LOG}, {_KIND}, per AS (SELECT event_type AS store, count(*) AS n FROM posts GROUP BY 1)
+SELECT kinds.store, CASE WHEN kinds.store IN ('error', 'view') OR 10 * last_seq < (SELECT max(seq) FROM post_log) THEN 'stale' ELSE 'ready' END AS status, coalesce(n, 0) AS posts FROM kinds LEFT JOIN per USING (store)
+UNION ALL SELECT 'all', 'source', (SELECT count(*) FROM posts) UNION ALL SELECT 'popular', 'stale', 0""")
+def l_store_table(spark, d):
+    stores, lineage, points, last = _stores(spark, d)
+    status = c.store_status(stores, c.staleness(lineage, points, last))
+    p = posts(spark, d)
+    return c.store_table(stores, status, p.select(F.col("event_type").alias("store")).union(p.select(F.lit("all"))))
+
+
+@query(f"{LOG}, {_KIND} SELECT 'all' AS source, store AS target FROM kinds UNION ALL SELECT store, 'popular' FROM kinds WHERE store IN ('click', 'view')")
+def l_topology_edges(spark, d):
+    return c.topology_edges(_stores(spark, d)[1])
+
+
+@query(f"{LOG}, {_STATE} SELECT uri, seq, like_count FROM current")
+def l_refresh(spark, d):
+    """Upserts logged after the rest of the log, and replayed."""
+    rows = log(spark, d)
+    again = rows.where("op = 'U' and seq % 10 = 3")
+    return c.replay(c.refresh(rows.where("op = 'D' or seq % 10 <> 3"), again)).select("uri", "seq", "like_count")

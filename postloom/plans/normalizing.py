@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, hashtags_in, iso, links_in, mentions_in
+from ..functions.text import HASHTAG, LINK, MENTION, iso
+from ..operators import changelog as c
 from ..operators import normalize as n
+from ..operators import predicates as p
 from ..sources import ndjson
 from .base import POSTS, did, posts, query
 
@@ -19,7 +21,8 @@ def raw_lines(spark, d):
     image = F.when(F.size("images") > 0, F.struct(F.lit("Images").alias("type"), F.transform("images", lambda i: F.struct(i["fullsize"].alias("fullsize"), i["thumb"].alias("thumb"), F.coalesce(i["alt"], F.lit("  ")).alias("alt"))).alias("images")))
     quote = F.when(F.col("is_quote"), F.struct(F.lit("Record").alias("type"), F.struct(F.col("quote_uri").alias("uri"), F.col("quote_author_did").alias("authorDid")).alias("record")))
     video = F.when(F.col("has_video"), F.struct(F.lit("Video").alias("type")))
-    embed = F.coalesce(F.to_json(image), F.to_json(quote), F.to_json(video))
+    card = F.when(F.col("external_link").isNotNull(), F.struct(F.lit("External").alias("type"), F.struct(F.col("external_link").alias("uri"), F.lit("a card").alias("title")).alias("external")))
+    embed = F.coalesce(*map(F.to_json, (image, quote, video, card)))
     facets = F.when(F.size("mention_dids") > 0, F.array(F.struct(F.transform("mention_dids", lambda m: F.struct(F.lit("mention").alias("type"), m.alias("did"))).alias("features"))))
     reply = F.when(F.col("is_reply"), F.struct(F.struct(F.col("reply_root_uri").alias("uri")).alias("root"), F.struct(F.col("reply_parent_uri").alias("uri")).alias("parent")))
     record = F.struct(F.concat("text", F.lit(" @U"), "user_id", F.lit(".Test see https://a.example/"), e % 4, F.lit(". #"), "source").alias("text"), iso(F.col("created_at")).alias("createdAt"), facets.alias("facets"), reply.alias("reply"), F.transform("langs", F.upper).alias("langs"), F.array("source").alias("tags"))
@@ -37,27 +40,26 @@ def _posts(spark, d):
 
 
 RAW = f"""{POSTS}, taken AS (SELECT *, text || ' @U' || user_id || '.Test see https://a.example/' || (event_id % 4) || '. #' || source AS whole FROM posts WHERE NOT ({_BROKEN}) AND event_id % 70 <> 69)"""
-_TAG = r"#[\p{L}\p{M}\p{Pc}\p{Po}\p{Pd}\p{S}][\p{L}\p{M}\p{N}\p{Pc}\p{Po}\p{Pd}\p{S}]*"
 
 
-@query(f"{RAW} SELECT uri, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), '|') AS hashtags FROM (SELECT uri, list_concat(regexp_extract_all(whole, '{_TAG}'), ['#' || source]) AS t FROM taken)")
+@query(f"{RAW} SELECT uri, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), '|') AS hashtags FROM (SELECT uri, list_concat(regexp_extract_all(whole, '{HASHTAG}'), ['#' || source]) AS t FROM taken)")
 def n_hashtags(spark, d):
     return _posts(spark, d).select("uri", F.array_join("hashtags", "|").alias("hashtags"))
 
 
 @query(f"""{RAW} SELECT uri, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), '|') AS mentions, array_to_string(mention_dids, '|') AS dids
-FROM (SELECT uri, mention_dids, list_transform(regexp_extract_all(whole, '(?i)@([a-z0-9][a-z0-9.-]{{1,63}})', 1), lambda x: lower(x)) AS t FROM taken)""")
+FROM (SELECT uri, mention_dids, list_transform(regexp_extract_all(whole, '{MENTION}', 1), lambda x: lower(x)) AS t FROM taken)""")
 def n_mentions(spark, d):
     return _posts(spark, d).select("uri", F.array_join("mentions", "|").alias("mentions"), F.array_join("mention_dids", "|").alias("dids"))
 
 
 @query(f"""{RAW} SELECT uri, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), '|') AS links
-FROM (SELECT uri, regexp_extract_all(whole, 'https?://[^\\s)]+[^\\s).,;:!?''"]') AS t FROM taken)""")
+FROM (SELECT uri, regexp_extract_all(whole, '{LINK.replace("'", "''")}') AS t FROM taken)""")
 def n_links(spark, d):
     return _posts(spark, d).select("uri", F.array_join("links", "|").alias("links"))
 
 
-@query(f"""{RAW} SELECT uri, author, iso AS created, is_reply, is_quote, is_repost, is_original, image_count::INT AS image_count, has_images, has_alt_text, has_video, true AS has_links, has_images OR has_video AS has_media, has_embed,
+@query(f"""{RAW} SELECT uri, author, iso AS created, is_reply, is_quote, is_repost, is_original, image_count::INT AS image_count, has_images, has_alt_text, has_video, true AS has_links, has_media, has_embed,
 array_to_string(list_transform(langs, lambda x: lower(x)), '|') AS langs FROM taken""")
 def n_flags(spark, d):
     return _posts(spark, d).select("uri", "author", iso(F.col("created_at")).alias("created"), "is_reply", "is_quote", "is_repost", "is_original", "image_count", "has_images", "has_alt_text", "has_video", "has_links", "has_media", "has_embed", F.array_join("langs", "|").alias("langs"))
@@ -68,10 +70,10 @@ def n_metrics(spark, d):
     return _posts(spark, d).select("uri", "like_count", "repost_count", "reply_count", "quote_count")
 
 
-@query(f"""{RAW} SELECT uri, CASE WHEN has_images THEN 'Images' WHEN is_quote THEN 'Record' ELSE 'Video' END AS type, image_count::INT AS image_count, has_alt_text AS all_alt,
+@query(f"""{RAW} SELECT uri, embed_type AS type, external_link AS external_uri, image_count::INT AS image_count, has_alt_text AS all_alt,
 CASE WHEN has_images THEN 'https://img.example/' || event_id || '/0/thumb' END AS first_thumb, quote_uri AS record_uri, quote_author_did AS record_author FROM taken WHERE has_embed""")
 def n_embed_summary(spark, d):
-    return _posts(spark, d).where("embed_summary is not null").select("uri", *[F.col(f"embed_summary.{c}").alias(c) for c in ("type", "image_count", "all_alt", "first_thumb", "record_uri", "record_author")])
+    return _posts(spark, d).where("embed_summary is not null").select("uri", *[F.col(f"embed_summary.{c}").alias(c) for c in ("type", "image_count", "all_alt", "first_thumb", "external_uri", "record_uri", "record_author")])
 
 
 @query(f"{POSTS} SELECT event_id, CASE WHEN {_BROKEN} THEN 'not a post' ELSE 'bad metric' END AS reason FROM posts WHERE {_BROKEN} OR event_id % 70 = 69")
@@ -79,9 +81,31 @@ def n_rejects(spark, d):
     return ndjson.apply_policy(ndjson.decode(raw_lines(spark, d))[1], "report").select("event_id", "reason")
 
 
-@query(f"{POSTS} SELECT event_id, CASE WHEN {_BROKEN} THEN NULL ELSE 'raw' END AS shape FROM posts")
+def mixed_lines(spark, d):
+    """Lines of all shapes: raw, normalised posts, and these with their store; some are broken."""
+    p = posts(spark, d)
+    own = F.struct("uri", "author", F.col("author_did").alias("authorDid"), "text", iso(F.col("created_at")).alias("createdAt"), "hashtags", "links", "langs", F.struct(F.coalesce("like_count", F.lit(-1)).alias("likeCount")).alias("metrics"))
+    stored = F.struct(F.lit("main").alias("store"), own.alias("post"))
+    line = F.when(F.col("event_id") % 50 == 49, "{broken").when(F.col("event_id") % 3 == 1, F.to_json(own)).otherwise(F.to_json(stored))
+    return raw_lines(spark, d).where("event_id % 3 = 0").unionByName(p.where("event_id % 3 <> 0").select("event_id", line.alias("line")))
+
+
+@query(f"{POSTS} SELECT event_id, CASE WHEN {_BROKEN} THEN NULL WHEN event_id % 3 = 0 THEN 'raw' WHEN event_id % 3 = 1 THEN 'post' ELSE 'stored' END AS shape FROM posts")
 def n_shapes(spark, d):
-    return ndjson.shape_of(raw_lines(spark, d)).select("event_id", "shape")
+    return ndjson.shape_of(mixed_lines(spark, d)).select("event_id", "shape")
+
+
+@query(f"""{RAW} SELECT uri, author, iso AS created, CASE WHEN event_id % 3 = 0 THEN whole ELSE text END AS text, like_count, array_to_string(langs, '|') AS langs
+FROM (SELECT *, text || ' @U' || user_id || '.Test see https://a.example/' || (event_id % 4) || '. #' || source AS whole FROM posts WHERE NOT ({_BROKEN}) AND NOT (event_id % 3 = 0 AND event_id % 70 = 69))""")
+def n_decoded(spark, d):
+    """Posts of all three shapes."""
+    return ndjson.decode(mixed_lines(spark, d))[0].select("uri", "author", iso(F.col("created_at")).alias("created"), "text", "like_count", F.array_join("langs", "|").alias("langs"))
+
+
+@query(f"{POSTS} SELECT count(*) FILTER (event_id >= 40 AND coalesce(like_count, 0) >= 2) AS added, count(*) FILTER (NOT (event_id >= 40 AND coalesce(like_count, 0) >= 2)) + (SELECT count(*) FROM posts WHERE {_BROKEN} OR (event_id % 3 = 0 AND event_id % 70 = 69)) AS skipped, (SELECT count(*) FROM posts WHERE {_BROKEN} OR (event_id % 3 = 0 AND event_id % 70 = 69)) AS errors FROM posts WHERE NOT ({_BROKEN} OR (event_id % 3 = 0 AND event_id % 70 = 69))")
+def l_ingest(spark, d):
+    """Counts of one batch: the first forty posts are there already, and a filter is on."""
+    return c.ingest_batch(posts(spark, d).where("event_id < 40"), mixed_lines(spark, d), p.engagement(likes=2))[1]
 
 
 @query(f"{POSTS}, ids AS (SELECT author_did, min(author) AS handle FROM posts WHERE user_id % 4 <> 3 GROUP BY 1) SELECT uri, handle AS author FROM posts JOIN ids USING (author_did)")
@@ -91,10 +115,11 @@ def n_handles(spark, d):
     return n.with_handles(p.drop("author"), ids)[0].select("uri", "author")
 
 
-@query(rf"""{POSTS} SELECT '| ' || iso || ' | @' || author || ' | ' || replace(CASE WHEN length(flat) > 80 THEN substring(flat, 1, 77) || '...' ELSE flat END, '|', '\|') || ' | ' || uri || ' |' AS value
-FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM posts WHERE has_media)""")
+@query(rf"""{POSTS} SELECT '| ' || iso || ' | @' || author || ' | ' || replace(CASE WHEN length(flat) > 80 THEN substring(flat, 1, 77) || '...' ELSE flat END, '|', '\|') || ' | ' ||
+CASE embed_type WHEN 'Images' THEN image_count || 'img' WHEN 'Video' THEN 'video' WHEN 'External' THEN 'link:card.example' WHEN 'Record' THEN 'quote:@' || quote_author_did ELSE '' END || ' | ' || uri || ' |' AS value
+FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM posts WHERE has_embed OR is_reply)""")
 def s_markdown(spark, d):
-    return ndjson.markdown_rows(posts(spark, d).where("has_media"))
+    return ndjson.markdown_rows(posts(spark, d).where("has_embed or is_reply"))
 
 
 @query(f"{POSTS} SELECT op, 'at://' || author_did || '/app.bsky.feed.post/' || event_id AS uri, event_id * 1000 AS time_us FROM posts, unnest(CASE WHEN event_id % 10 = 6 THEN ['create', 'delete'] ELSE ['create'] END) AS t(op) WHERE event_id % 8 <> 7")

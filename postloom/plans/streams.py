@@ -28,12 +28,18 @@ def _commits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _staged(rows: DataFrame, path: str, order: Column, rows_a_file: int = 250_000) -> None:
-    """Files written one after another, in ranges of the order, as a source would have: a bounded one each, more for more rows."""
-    lo, hi, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    """Files written one after another, in ranges of the order, as a source would have: a bounded one each, more for more rows.
+
+    The rows are worked out once, into a table dealt by range; each range is then read alone.
+    """
+    n = rows.count()
     parts = max(3, -(-n // rows_a_file))
+    dealt = rows.withColumn("_order", order).repartitionByRange(parts, "_order").withColumn("_part", F.spark_partition_id()).drop("_order")
+    dealt.write.partitionBy("_part").parquet(f"{path}-ranges")
+    spark = rows.sparkSession
     for k in range(parts):
-        inside = (order >= (lo or 0) + ((hi or 0) - (lo or 0) + 1) * k // parts) & (order < (lo or 0) + ((hi or 0) - (lo or 0) + 1) * (k + 1) // parts)
-        rows.where(inside).coalesce(1).write.mode("append").parquet(path)
+        part = spark.read.schema(rows.schema).parquet(f"{path}-ranges/_part={k}*")
+        part.coalesce(1).write.mode("append").parquet(path)
 
 
 @query(f"""{LOG}, kept AS (SELECT *, lag(op) OVER (PARTITION BY uri ORDER BY seq) AS b FROM post_log WHERE op = 'D' OR coalesce(like_count, 0) >= 3),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import iso, markdown_cell
 from ..operators import normalize as n
-from .schema import COMMIT, RAW_POST, STORED_POST, struct
+from .schema import COMMIT, LINE, POST
 
 #: Fixed value: the collection whose commits are posts.
 POST_COLLECTION = "app.bsky.feed.post"
@@ -17,23 +19,36 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Non-blank lines with ``parsed`` and ``shape``: raw, stored, post, or null where a line is broken."""
+    # through explode, each line is parsed once and not once a field that is read from it
+    some = lines.where(F.trim("line") != "").withColumn("parsed", F.explode(F.array(F.from_json("line", LINE))))
+    j = F.col("parsed")
+    return some.withColumn("shape", F.when(j["record"].isNotNull() & j["uri"].isNotNull(), "raw").when(j["post"]["uri"].isNotNull(), "stored").when(j["uri"].isNotNull() & j["text"].isNotNull(), "post"))
+
+
 def decode(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Posts from ``lines(line)`` of raw posts, and the lines that are none with ``reason``.
+    """Posts from ``lines(line)`` of any of the three shapes, and the lines that are none with ``reason``.
 
-    Blank lines are dropped; other columns of ``lines`` stay with the rejects.
+    Raw posts are normalised, the others taken as they are.  Blank lines are dropped; other
+    columns of ``lines`` stay with the rejects.
     """
-    # through explode, each line is parsed once and not once a field that is read from it
-    some = lines.where(F.trim("line") != "").withColumn("raw", F.explode(F.array(F.from_json("line", RAW_POST))))
-    some = some.withColumn("reason", n.reject_reason(F.col("raw")))
-    return n.normalize(some.where("reason is null")), some.where("reason is not null").drop("raw")
+    some = _parsed(lines).withColumn("post", F.when(F.col("shape") == "stored", F.col("parsed.post")).when(F.col("shape") == "post", _fields("parsed", POST)))
+    reason = F.when(F.col("shape").isin("stored", "post"), n.post_reject_reason(F.col("post"))).otherwise(n.reject_reason(F.col("parsed")))
+    some = some.withColumn("reason", reason)
+    good = some.where("reason is null")
+    raw = n.normalize(good.where("shape = 'raw'").select(F.col("parsed").alias("raw")))
+    own = n.from_normalized(good.where("shape <> 'raw'").select("post"))
+    return raw.unionByName(own), some.where("reason is not null").drop("parsed", "post", "shape")
+
+
+def _fields(column: str, kind) -> Column:
+    return F.struct(*[F.col(f"{column}.{f.name}").alias(f.name) for f in kind])
 
 
 def shape_of(lines: DataFrame) -> DataFrame:
     """``lines`` with ``shape``: raw, stored or post, or null where a line is broken."""
-    look = F.from_json("line", struct(uri=RAW_POST["uri"].dataType, record=RAW_POST["uri"].dataType, text=RAW_POST["uri"].dataType, post=STORED_POST["post"].dataType))
-    j = F.col("_look")
-    shape = F.when(j["record"].isNotNull() & j["uri"].isNotNull(), "raw").when(j["post"]["uri"].isNotNull(), "stored").when(j["uri"].isNotNull() & j["text"].isNotNull(), "post")
-    return lines.where(F.trim("line") != "").withColumn("_look", F.explode(F.array(look))).withColumn("shape", shape).drop("_look")
+    return _parsed(lines).drop("parsed")
 
 
 def apply_policy(rejects: DataFrame, policy: str) -> DataFrame:
@@ -63,19 +78,24 @@ def write_json(posts: DataFrame, path: str) -> None:
 
 def markdown_rows(posts: DataFrame) -> DataFrame:
     """One table row of text a post."""
-    cells = [iso(F.col("created_at")), F.concat(F.lit("@"), "author"), markdown_cell(F.col("text")), F.col("uri")]
+    cells = [iso(F.col("created_at")), F.concat(F.lit("@"), "author"), markdown_cell(F.col("text")), markdown_cell(n.embed_cell(F.col("embed_summary"))), F.col("uri")]
     return posts.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
 
 
-def materialize(posts: DataFrame, filters: dict, folder: str) -> DataFrame:
-    """Each named filter's posts as JSON and as a markdown table in its own folder; returns name and count of each."""
-    names = []
+def materialize(posts: DataFrame, filters: dict, folder: str, now: datetime) -> DataFrame:
+    """Each named filter's posts as JSON and as a markdown table in its own folder, with a manifest beside them.
+
+    Returns the manifests: ``name``, ``count``, ``written_at`` and ``files`` (folders under ``folder``).
+    """
+    spark, out = posts.sparkSession, None
     for name, predicate in sorted(filters.items()):
         kept = posts.where(predicate.condition)
         write_json(kept, f"{folder}/{name}/json")
         markdown_rows(kept).write.mode("overwrite").text(f"{folder}/{name}/markdown")
-        names.append(kept.agg(F.lit(name).alias("name"), F.count("*").alias("count")))
-    out = names[0]
-    for other in names[1:]:
-        out = out.unionByName(other)
+        count = spark.read.schema("uri string").json(f"{folder}/{name}/json").agg(F.count("*").alias("count"))
+        files = F.array(F.lit(f"{name}/json"), F.lit(f"{name}/markdown"))
+        manifest = count.select(F.lit(name).alias("name"), "count", F.lit(now.isoformat()).alias("written_at"), files.alias("files"))
+        manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}/manifest")
+        read = spark.read.schema(manifest.schema).json(f"{folder}/{name}/manifest")
+        out = read if out is None else out.unionByName(read)
     return out

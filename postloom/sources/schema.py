@@ -25,8 +25,10 @@ RAW_POST = struct(
     record=struct(text=S, createdAt=S, facets=A(FACET), reply=REPLY, embed=S, langs=A(S), tags=A(S)),
 )
 POST = struct(
-    uri=S, author=S, authorDid=S, text=S, createdAt=S, hashtags=A(S), mentions=A(S), mentionDids=A(S), links=A(S), langs=A(S), metrics=METRICS, reply=REPLY, embed=EMBED,
+    uri=S, author=S, authorDid=S, text=S, createdAt=S, hashtags=A(S), mentions=A(S), mentionDids=A(S), links=A(S), langs=A(S), metrics=METRICS, reply=REPLY, embed=EMBED, feed=struct(reason=REASON),
 )
+#: A line of any shape: the fields of raw and of normalised posts, and of posts with their store.
+LINE = T.StructType(list({f.name: f for s in (POST, RAW_POST, struct(store=S, post=POST)) for f in s}.values()))
 STORED_POST = struct(store=S, post=POST)
 COMMIT = struct(did=S, time_us=L, kind=S, commit=struct(operation=S, collection=S, rkey=S, cid=S, record=struct(text=S, createdAt=S, langs=A(S))))
 LOG = struct(seq=L, op=S, uri=S, author=S, author_did=S, event_type=S, hashtags=A(S), text=S, like_count=L, source=S, source_store=S)

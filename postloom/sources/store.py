@@ -45,3 +45,10 @@ def by_author(posts: DataFrame, author: str) -> DataFrame:
 
 def exists(posts: DataFrame, uri: str) -> bool:
     return not by_uri(posts, uri).isEmpty()
+
+
+def reset(spark: SparkSession, path: str) -> None:
+    """Clear a store's posts, log and checkpoints, so that a derivation can start over."""
+    for part in ("posts", "log", "checkpoints"):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -7,13 +7,14 @@ so each batch is written to its own folder, replacing what an earlier try left t
 from __future__ import annotations
 
 import hashlib
+import time
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import score
-from ..operators import changelog as c
 from ..operators.predicates import Predicate
 
 
@@ -31,27 +32,47 @@ def read_log(spark: SparkSession, root: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{log_folder(root)}/*")
 
 
+def _applied(key, parts, state):
+    """The commits of one uri that take effect, in order; the state is whether the uri is present."""
+    rows = pd.concat(list(parts)).sort_values("seq")
+    present = bool(state.get[0]) if state.exists else False
+    took = []
+    for op in rows["op"]:
+        took.append(op == "update" or present == (op == "delete"))
+        present = op != "delete"
+    state.update((present,))
+    yield rows[took].assign(op=rows["op"][took].map({"delete": "D"}).fillna("U"))
+
+
 def ingest_commits(commits: DataFrame, root: str, predicate: Predicate | None = None, most_errors: int | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Apply a stream of commits (``seq``, ``op``, ``uri`` and a post's columns) to the log under ``root``.
 
-    Rows without a uri or a known op are errors: they go to ``rejects``, and more than
-    ``most_errors`` of them in a batch end the query.
+    Whether a uri is present is keyed state, so a batch's work does not grow with the log.
+    Creates and updates that fail the filter are passed over.  Rows without a uri or a known
+    op are errors: they go to ``rejects``, and more than ``most_errors`` of them in a batch
+    end the query.
     """
     schema = commits.schema
+    good = F.coalesce(F.col("uri").isNotNull() & F.col("op").isin("create", "update", "delete"), F.lit(False))
+    kept = commits.where(good)
+    if predicate is not None:
+        kept = kept.where((F.col("op") == "delete") | predicate.condition)
+    done = kept.groupBy("uri").applyInPandasWithState(_applied, schema, "present boolean", "append", "NoTimeout")
+    rows = done.withColumn("_bad", F.lit(False)).unionByName(commits.where(~good).withColumn("_bad", F.lit(True)))
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        good = F.col("uri").isNotNull() & F.col("op").isin("create", "update", "delete")
-        bad = rows.where(~F.coalesce(good, F.lit(False)))
-        if most_errors is not None and bad.limit(most_errors + 1).count() > most_errors:
-            raise ValueError(f"more than {most_errors} bad commits in batch {number}")
-        bad.write.mode("overwrite").parquet(f"{root}/rejects/batch={number}")
-        earlier = [f"{log_folder(root)}/batch={k}" for k in range(number)]
-        before = spark.read.schema(schema).parquet(*earlier) if earlier else spark.createDataFrame([], schema)
-        c.applied_commits(c.replay(before), rows.where(good), predicate).select(schema.names).write.mode("overwrite").parquet(f"{log_folder(root)}/batch={number}")
+        rows = rows.persist()
+        bad = rows.where("_bad").select(schema.names)
+        try:
+            if most_errors is not None and bad.limit(most_errors + 1).count() > most_errors:
+                raise ValueError(f"more than {most_errors} bad commits in batch {number}")
+            bad.write.mode("overwrite").parquet(f"{root}/rejects/batch={number}")
+            rows.where("not _bad").select(schema.names).write.mode("overwrite").parquet(f"{log_folder(root)}/batch={number}")
+        finally:
+            rows.unpersist()
 
     return (
-        commits.writeStream.foreachBatch(batch)
+        rows.writeStream.foreachBatch(batch)
         .queryName(query_name("commits", predicate))
         .option("checkpointLocation", f"{root}/checkpoints/{query_name('commits', predicate)}")
         .trigger(**(trigger or {"availableNow": True}))
@@ -59,6 +80,29 @@ def ingest_commits(commits: DataFrame, root: str, predicate: Predicate | None =
     )
 
 
+def run_until(query: StreamingQuery, seconds: float | None = None, rows: int | None = None, batches: int | None = None, every: float = 0.5) -> str:
+    """Let a query run until one of the limits is met, then stop it; returns which one, or ``end``.
+
+    ``rows`` counts what was read, before any filter.  A batch that runs when a limit is met is
+    not counted and, if it has not ended, is run again when the query is started anew.
+    """
+    began, seen = time.monotonic(), {}
+    while True:
+        over = query.awaitTermination(every)
+        seen |= {p["batchId"]: p["numInputRows"] for p in query.recentProgress}
+        if over:
+            return "end"
+        for name, limit, now in (("seconds", seconds, time.monotonic() - began), ("rows", rows, sum(seen.values())), ("batches", batches, sum(n > 0 for n in seen.values()))):
+            if limit is not None and now >= limit:
+                query.stop()
+                return name
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query has dropped since they came after the watermark, in the batches whose progress Spark still holds."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+
 def tail_log(spark: SparkSession, path: str, schema, files_a_batch: int = 100) -> DataFrame:
     """A log directory as a stream of its new rows."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)

@@ -14,6 +14,8 @@ SOME = [
     "j_nested", "o_engagement_topk", "o_keyset", "o_scan_limit", "o_multi_store", "a_count_by_hashtag", "a_author_table", "a_buckets_hour", "a_digest_posts", "a_thread_groups",
     "n_hashtags", "n_flags", "n_rejects", "s_commits", "l_replay", "l_dedupe", "l_append", "l_commits", "l_derive", "l_derive_incremental", "l_derive_counts", "l_staleness", "l_topology",
     "t_phrase", "t_bm25", "i_coverage", "g_tree", "g_edges", "g_summary", "g_degree", "g_pagerank", "s_commits_stream", "s_live_buckets",
+    "p_card_link", "p_link_regex", "j_minimal", "j_social", "j_media", "j_images", "j_embeds", "n_embed_summary", "n_mentions", "n_links", "n_shapes", "n_decoded", "l_ingest", "s_markdown", "s_materialize", "s_manifest",
+    "s_by_uri", "l_reset", "l_refresh", "l_sync_status", "l_store_status", "l_store_table", "l_topology_edges", "g_communities", "g_community_labels", "t_page", "s_log_tail",
 ]
 
 

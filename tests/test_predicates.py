@@ -57,7 +57,7 @@ def test_lookup_policies(spark):
 
 
 def test_projection(some):
-    assert j.fields("uri,@minimal") == ["uri", "author", "text", "created_at"]
+    assert j.fields("uri,@minimal") == ["uri", "author", "text", "created_at", "embed_summary"]
     assert j.project(some, ["images.*.alt", "images.*.thumb"]).schema["images"].dataType.elementType.names == ["alt", "thumb"]
     for wrong in (["*.x"], ["images.*.*"], ["nothing"], ["images.alt"], ["uri.x"], ["images.*.nothing"]):
         with pytest.raises(ValueError):
