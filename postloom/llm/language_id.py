@@ -4,7 +4,7 @@ A profile is the list of a language's most frequent n-grams, in order.  A docume
 list is compared with every profile by the out-of-place distance: the sum over its n-grams
 of how far each stands from its place in the profile, or the profile's length where absent.
 
-n-grams are 1 to 3 bytes of the lower-cased UTF-8 text in which every run of ASCII
+n-grams are 1 to 3 code points of the lower-cased text in which every run of ASCII
 non-letters is one space; an n-gram has no space inside it, only at its ends.  Ties in
 frequency are ordered by the n-gram's code, ties in distance by the language's name.
 
@@ -27,22 +27,23 @@ from .common import map_arrow, small_batches
 PROFILE_SIZE = 300
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_ASCII = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+_ASCII = np.array([c if 97 <= c <= 122 else 32 for c in range(128)], np.uint32)
 _COMPACT_AT = 1_000_000
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram codes of a whole text, ascending, and their counts."""
-    a = np.frombuffer(b" " + text.lower().encode().translate(_ASCII) + b" ", dtype=np.uint8)
+    a = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype=np.uint32)
+    a = np.where(a < 128, _ASCII[np.minimum(a, 127)], a)
     space = a == 32
     keep = ~space
     keep[1:] |= ~space[:-1]
     keep[0] = True
-    a = a[keep].astype(np.uint32)
+    a = a[keep].astype(np.int64)  # 21 bits a code point, none is 0: shorter n-grams are smaller codes
     letter = a != 32
-    one = a[letter] | np.uint32(1 << 24)
-    two = (a[:-1] | (a[1:] << np.uint32(8)) | np.uint32(2 << 24)) if len(a) > 1 else a[:0]
-    three = (a[:-2] | (a[1:-1] << np.uint32(8)) | (a[2:] << np.uint32(16)) | np.uint32(3 << 24))[letter[1:-1]] if len(a) > 2 else a[:0]
+    one = a[letter]
+    two = (a[:-1] | (a[1:] << 21)) if len(a) > 1 else a[:0]
+    three = (a[:-2] | (a[1:-1] << 21) | (a[2:] << 42))[letter[1:-1]] if len(a) > 2 else a[:0]
     return tally(np.concatenate([one, two, three]))
 
 
@@ -62,10 +63,10 @@ def tally(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
 
 def ranked(codes: np.ndarray, counts: np.ndarray, size: int = PROFILE_SIZE) -> np.ndarray:
     """The ``size`` most frequent codes, most frequent first."""
-    key = (counts.astype(np.int64) << 32) | (0xFFFFFFFF - codes.astype(np.int64))
-    if len(key) > size:
-        key = np.partition(key, len(key) - size)[-size:]
-    return (0xFFFFFFFF - (np.sort(key)[::-1] & 0xFFFFFFFF)).astype(np.uint32)
+    if len(counts) > size:  # all that may be among them, ties at the edge too
+        use = counts >= np.partition(counts, len(counts) - size)[-size]
+        codes, counts = codes[use], counts[use]
+    return codes[np.lexsort((codes, -counts))[:size]]
 
 
 def learn_profiles(docs: DataFrame, size: int = PROFILE_SIZE) -> dict[str, np.ndarray]:
@@ -90,7 +91,7 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE_SIZE) -> dict[str, np.nd
             codes, counts = tally(*map(np.concatenate, zip(*parts)))
             for at in range(0, len(codes), 50_000):
                 some = codes[at : at + 50_000]
-                yield {"lang": [lang] * len(some), "code": some.astype(np.int64), "n": counts[at : at + 50_000]}
+                yield {"lang": [lang] * len(some), "code": some, "n": counts[at : at + 50_000]}
 
     usable = docs.select("text", "lang").where("text is not null and lang is not null")
     grams = map_arrow(usable, partial, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -99,7 +100,7 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE_SIZE) -> dict[str, np.nd
     profiles: dict[str, list] = {}
     for row in top.select("lang", "rank", "code").collect():
         profiles.setdefault(row["lang"], []).append((row["rank"], row["code"]))
-    return {lang: np.array([code for _, code in sorted(rows)], dtype=np.uint32) for lang, rows in sorted(profiles.items())}
+    return {lang: np.array([code for _, code in sorted(rows)], dtype=np.int64) for lang, rows in sorted(profiles.items())}
 
 
 class Profiles:
@@ -107,7 +108,7 @@ class Profiles:
 
     def __init__(self, profiles: dict[str, np.ndarray], size: int = PROFILE_SIZE):
         self.size, self.langs = size, sorted(profiles)
-        self.codes = np.unique(np.concatenate([np.zeros(0, np.uint32), *profiles.values()]))
+        self.codes = np.unique(np.concatenate([np.zeros(0, np.int64), *profiles.values()]))
         self.ranks = np.full((len(self.codes), len(self.langs)), -1, np.int32)
         for k, lang in enumerate(self.langs):
             self.ranks[np.searchsorted(self.codes, profiles[lang]), k] = np.arange(len(profiles[lang]))

@@ -16,6 +16,8 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+#: A page's title with junk in it.
+JUNK_TITLE = "<title>[^<]*(###|%%%|[*]{3})"
 #: The rules of op2, as (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -23,11 +25,14 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and list for every page.
 
-    The list is made of the table: the URLs of all pages whose host begins with the label
-    ``spam`` or ``spam-...``.  Other spellings of a listed URL are listed too.
+    The list is made of the table: the URLs of all pages whose title holds junk (a mark three
+    times or more in a row) or whose host begins with the label ``spam`` or ``spam-...``.
+    Other spellings of a listed URL are listed too.
     """
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(url_filter.host_of(F.col("url")).rlike(r"^(www\.|m\.)?spam(-[^.]*)?\."))
+    pages = table(spark, sf_dir, "pages")
+    spam = url_filter.host_of(F.col("url")).rlike(r"^(www\.|m\.)?spam(-[^.]*)?\.")
+    listed = pages.where(spam | F.col("html").rlike(JUNK_TITLE)).select("url")
+    pages = pages.select("page_id", "url")
     return url_filter.judge_urls(pages, listed, RULES)
 
 
@@ -119,14 +124,14 @@ SELECT doc_id, coalesce(min(doc_id) OVER (PARTITION BY coalesce(s, 'none ' || do
 FROM documents LEFT JOIN sets USING (doc_id) LEFT JOIN classes USING (doc_id) LEFT JOIN degrees USING (doc_id)""",
     "op2_url_filter": r"""
 WITH parts AS (
-  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, coalesce(regexp_matches(html, '<title>[^<]*(###|%%%|[*]{3})'), false) AS junk, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
          list_sort(list_filter(string_split(coalesce(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), ''), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(?i:utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS args
   FROM pages),
 named AS (
   SELECT *, CASE WHEN bare <> '' THEN bare || regexp_replace(path, '/+$', '') || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS key
   FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', ''), '^(www|m)\.', '') AS bare FROM parts)),
-listed AS (SELECT DISTINCT key FROM named WHERE key IS NOT NULL AND regexp_matches(host, '^(www\.|m\.)?spam(-[^.]*)?\.')),
+listed AS (SELECT DISTINCT key FROM named WHERE key IS NOT NULL AND (junk OR regexp_matches(host, '^(www\.|m\.)?spam(-[^.]*)?\.'))),
 ruled AS (
   SELECT page_id, host, path, listed.key IS NOT NULL AS listed,
          CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'

@@ -23,16 +23,26 @@ _CHUNK = 4096
 
 
 def read_blocks(spark: SparkSession, path: str, block_bytes: int = 1 << 22) -> DataFrame:
-    """Flat files (up to 2 GB each) under a path as (``file``, ``block``, ``ids``)."""
+    """Flat files of any size under a path as (``file``, ``block``, ``ids``).
+
+    Only names and lengths are listed; a row of the listing is a range of one file, dealt over
+    all tasks, which read their ranges from the file system that all executors see.
+    """
 
     def rows(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for number, at in enumerate(range(0, len(content), block_bytes)):
-                    yield {"file": [name], "block": [number], "ids": [content[at : at + block_bytes]]}
+        from pyarrow import fs
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return map_arrow(files, rows, "file string, block bigint, ids binary")
+        for batch in batches:
+            for name, length, block in zip(*(c.to_pylist() for c in batch.columns)):
+                system, where = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+                with system.open_input_file(where) as file:
+                    yield {"file": [name], "block": [block], "ids": [file.read_at(min(block_bytes, length - block * block_bytes), block * block_bytes)]}
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    last = F.floor((F.col("length") - 1) / block_bytes)
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return map_arrow(ranges.repartition(parts, "path", "block"), rows, "file string, block bigint, ids binary")
 
 
 def ends_in(blocks: DataFrame, end: int, width: int) -> DataFrame:

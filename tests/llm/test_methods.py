@@ -273,7 +273,9 @@ def test_flat_files(spark, tmp_path):
     ids = np.array([5, 6, 99, 99, 7, 8], dtype="<u2")
     (tmp_path / "tokens").mkdir()
     (tmp_path / "tokens" / "x.bin").write_bytes(ids.tobytes())
+    (tmp_path / "tokens" / "empty.bin").write_bytes(b"")
     blocks = token_counts.read_blocks(spark, f"file://{tmp_path}/tokens", block_bytes=4)
+    assert blocks.count() == 3
     got = sorted((r["number"], r["start"], r["n_tokens"], r["ended"]) for r in token_counts.documents_in(blocks, 99).collect())
     assert got == [(0, 0, 3, True), (1, 3, 1, True), (2, 4, 2, False)]
 
@@ -388,5 +390,70 @@ def test_held_out_languages(spark, sf_dir):
 
 
 def test_ranks_and_ties():
-    codes, counts = np.array([5, 3, 9], np.uint32), np.array([2, 2, 7])
+    codes, counts = np.array([5, 3, 9]), np.array([2, 2, 7])
     assert language_id.ranked(codes, counts, 2).tolist() == [9, 3]
+
+
+def plain_grams(text):
+    flat = "".join(c if ord(c) >= 128 or "a" <= c <= "z" else " " for c in f" {text.lower()} ")
+    flat = " " + " ".join(x for x in flat.split(" ") if x) + " "
+    seen: dict = {}
+    for n in (1, 2, 3):
+        for k in range(len(flat) - n + 1):
+            g = flat[k : k + n]
+            if g.strip() and " " not in g[1:-1]:
+                seen[g] = seen.get(g, 0) + 1
+    return seen
+
+
+def plain_profile(seen, size=300):
+    return sorted(seen, key=lambda g: (-seen[g], sum(ord(c) << (21 * k) for k, c in enumerate(g))))[:size]
+
+
+def test_languages_by_hand(spark):
+    rng = random.Random(4)
+    alphabets = {"xx": "abcde", "yy": "cdefgé", "ru": "абвгд", "zh": "中文字学生"}
+    text = lambda lang: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randint(1, 6))) + rng.choice(["", ",", ". 12 "]) for _ in range(rng.randint(1, 30)))
+    rows = [(k, text(lang), lang) for k, lang in enumerate([*alphabets] * 12)] + [(90, "12 !", "xx"), (91, None, "yy"), (92, "Ab", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sums: dict = {}
+    for _, t, lang in rows:
+        if t is not None and lang is not None:
+            for g, n in plain_grams(t).items():
+                own = sums.setdefault(lang, {})
+                own[g] = own.get(g, 0) + n
+    profiles = {lang: plain_profile(own) for lang, own in sums.items()}
+    got = {r["doc_id"]: r for r in language_id.identify(docs, docs).collect()}
+    for k, t, _ in rows:
+        mine = plain_profile(plain_grams(t)) if t and any(c.isalpha() for c in t) else []
+        away = {lang: sum(abs(own.index(g) - i) if g in own else 300 for i, g in enumerate(mine)) for lang, own in profiles.items()}
+        best = min(sorted(away), key=away.get) if mine else "und"
+        assert got[k]["lang_pred"] == best
+        assert got[k]["score"] == pytest.approx(1 - away[best] / (300 * len(mine)) if mine else 0.0)
+
+
+def test_trees_one_by_one():
+    rng = np.random.default_rng(7)
+    x = rng.random((400, 4))
+    model = quality_rules.Trees(rounds=12, monotone={1: -1}).fit(x, (x[:, 0] > x[:, 1]).astype(float))
+    for row, got in zip(x[:60], model.probability(x[:60])):
+        raw = model.start
+        for t in range(12):
+            at = 0
+            while at < 7 and model.feature[t, at] >= 0:
+                at = 2 * at + 1 + int(row[model.feature[t, at]] > model.cut[t, at])
+            raw += model.rate * model.value[t, at]
+        assert got == pytest.approx(1 / (1 + np.exp(-raw)))
+
+
+@pytest.mark.parametrize("n", [2000, 12_000])
+def test_recall_of_pairs_that_are_alone(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 32))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    away = rng.standard_normal((300, 32))
+    away -= (away * u[:300]).sum(axis=1)[:, None] * u[:300]
+    x[n - 300 :] = 0.905 * u[:300] + np.sqrt(1 - 0.905**2) * away / np.linalg.norm(away, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_duplicates(df, passes=1, window=16).collect()}
+    assert sum(got[n - 300 + k] == got[k] for k in range(300)) >= 0.95 * 300

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from postloom.llm import queries, tokenizing
+from postloom.llm import mixing, queries, tokenizing
 from postloom.llm.common import settle
 
 
@@ -84,6 +84,37 @@ def test_quality_counts(spark, sf_dir):
         assert r["base_failed"] == (len(words) < 10 or 100 * len(inside) > 20 * len(words)) and not (r["base_failed"] and r["kept"])
 
 
+def test_licence_base_columns(spark, sf_dir):
+    got = {r["doc_id"]: r for r in queries.op5_license_scan(spark, sf_dir).collect()}
+    keep = bytes(c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    for k, t in texts(spark, sf_dir).items():
+        words = [w.decode() for w in t.encode().translate(keep).split()]
+        at = [(i, label) for i in range(len(words)) for p, label in phrases.items() if words[i : i + len(p.split())] == p.split()]
+        want = (len(words), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at})))
+        assert (got[k]["n_words"], got[k]["n_base"], got[k]["first_word"], got[k]["last_word"], got[k]["base_labels"]) == want
+        assert {x for _, x in at} <= set(got[k]["labels"].split(","))
+
+
+def test_mix_against_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(r"""SELECT doc_id, size, sum(size) OVER (PARTITION BY source)::BIGINT FROM (
+SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents)""").fetchall()}
+    rows = queries.op6_source_mixing(spark, sf_dir).collect()
+    assert {r["doc_id"]: (r["size"], r["source_size"]) for r in rows} == want
+    sizes = {r["source"]: r["source_size"] for r in rows}
+    names, left = sorted(sizes, key=lambda s: (s is None, s or "")), float(sum(sizes.values()))
+    weight, targets, free = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, {}, set(sizes)
+    while free:
+        whole = sum(weight[s] for s in free)
+        above = {s for s in free if left * weight[s] / whole > 3 * sizes[s]}
+        targets |= {s: 3.0 * sizes[s] for s in above} if above else {s: left * weight[s] / whole for s in free}
+        left -= sum(targets[s] for s in above)
+        free = free - above if above else set()
+    assert all(r["target"] == pytest.approx(targets[r["source"]]) for r in rows)
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, kept = docs.columns, {}
@@ -102,5 +133,27 @@ def test_pipeline_stages(spark, sf_dir):
         assert any(j < k and len(sets[j] & sets[k]) >= 0.7 * len(sets[j] | sets[k]) for j in sets)
     for a in stays:
         assert not any(a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in stays)
-    check_pieces_of = kept["packing"].collect()
-    assert sum(p["length"] for p in check_pieces_of) > 0
+    # the mix: near its targets, and every row made of words that stand together in its document
+    before = {r["doc_id"]: r for r in kept["ngram_join"].collect()}
+    mixed = kept["source_mixing"].collect()
+    assert all(f" {' '.join(r['text'].split())} " in f" {' '.join(before[r['doc_id']]['text'].split())} " for r in mixed)
+    words: dict = {}
+    for r in mixed:
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].encode().split())
+    targets = {r["source"]: r["target"] for r in mixing.mix(kept["ngram_join"])[0].collect()}
+    assert all(abs(words.get(k, 0) - v) <= 64 for k, v in targets.items())
+    # the packing: all ids of every mixed row, once each
+    tokenizer = tokenizing.word_cache(public_tokenizers.path("word_bpe_49k.json")).tokenizer
+    want = sorted((r["doc_id"], len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1) for r in mixed)
+    pieces = kept["packing"].collect()
+    whole: dict = {}
+    for p in pieces:
+        if p["start"] == 0:
+            whole.setdefault(p["doc_id"], []).append(p["doc_tokens"])
+    assert sorted((k, n) for k, v in whole.items() for n in v) == want
+    assert sum(p["length"] for p in pieces) == sum(n for _, n in want)
+    room: dict = {}
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        assert p["offset"] == room.get(p["sequence_id"], 0)
+        room[p["sequence_id"]] = p["offset"] + p["length"]
+    assert all(n <= 4096 for n in room.values())
