@@ -57,16 +57,18 @@ def id_remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
-#: Rows in an Arrow batch; batches hold whole texts, sets or vectors.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch; batches hold whole texts, sets or vectors, and one very long row may exceed the bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession | None = None) -> None:
-    """Keep the session's Arrow batches at ``BATCH_ROWS`` rows or fewer, so that buffers stay small on both sides."""
+    """Keep the session's Arrow batches at ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` or fewer, so that buffers stay small on both sides."""
     spark = spark or SparkSession.getActiveSession()
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark and not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    if spark:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, rows, schema: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.llm import embedding_dedup, language_id, licenses, lm_scoring, mixing, ngram_join, packing, quality_rules, token_counts, tokenizing, url_filter
+from postloom.llm import common, embedding_dedup, language_id, licenses, lm_scoring, mixing, ngram_join, packing, quality_rules, token_counts, tokenizing, url_filter
 
 LONG = " ".join(f"word{k % 977} and" for k in range(60_000))
 ROWS = [
@@ -135,3 +135,10 @@ def test_vectors(spark):
     one = [(k, 5, 1) for k in (1, 2, 2, 3, 12, 13)]
     assert found == sorted(one + [(k, 0, k) for k in (4, 5, 6, 7, 8, 9, 10, 11)])
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_long_texts_make_small_batches(spark):
+    texts = spark.range(12).repartition(1).select(F.repeat(F.lit("long "), 1 << 19).alias("text"))
+    found = common.map_arrow(texts, lambda batches: ({"rows": [b.num_rows], "size": [b.nbytes]} for b in batches), "rows bigint, size bigint").collect()
+    assert sum(r["rows"] for r in found) == 12
+    assert max(r["size"] for r in found) <= common.BATCH_BYTES + (5 << 19) + 1024
