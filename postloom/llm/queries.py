@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, licenses, lm_scoring, mixing, ngram_join, packing, quality_rules, token_counts, tokenizing, url_filter
+from . import collocations, conversation_repair, embedding_dedup, language_id, licenses, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, token_counts, tokenizing, url_filter
 from .common import id_remainder, table
 
 
@@ -99,9 +99,25 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "set_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those dropped as repeats of other documents', and a hash of the rest."""
+    found = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repairs of every conversation, after damage."""
+    return conversation_repair.repair_conversations(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of two or three words by cohesion, of all documents."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_url_filter, op3_embedding_dedup, op4_language_id, op5_license_scan, op6_source_mixing, op7_token_counts, op8_quality_rules, op9_packing, op10_ngram_join)
+    for f in (op1_lm_scoring, op2_url_filter, op3_embedding_dedup, op4_language_id, op5_license_scan, op6_source_mixing, op7_token_counts, op8_quality_rules, op9_packing, op10_ngram_join, op11_line_dedup, op12_conversation_repair, op13_collocations)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -151,4 +167,30 @@ component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 degree AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM component LEFT JOIN degree USING (vec_id)""",
+    "op11_line_dedup": r"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT row, doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS place FROM docs),
+keyed AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+shared AS (SELECT key, min(doc_id) AS lowest FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (lowest <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE lowest IS NULL OR lowest = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN shared USING (key) GROUP BY row""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+f1 AS (SELECT lang, w[i] AS w1, count(*) AS f FROM places GROUP BY ALL),
+f2 AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*) AS f FROM places WHERE i < len(w) GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS f FROM places WHERE i < len(w) - 1 GROUP BY ALL HAVING count(*) >= 10),
+inside AS (SELECT lang, w1, w2, max(f) AS most FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+cuts AS (
+  SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, 1 AS k, p.f AS a, x.f AS l, y.f AS r FROM f2 p JOIN f1 x ON x.lang = p.lang AND x.w1 = p.w1 JOIN f1 y ON y.lang = p.lang AND y.w1 = p.w2
+  LEFT JOIN inside i ON i.lang = p.lang AND i.w1 = p.w1 AND i.w2 = p.w2 WHERE i.most IS NULL OR 100 * i.most < 50 * p.f
+  UNION ALL SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 1, t.f, x.f, y.f FROM f3 t JOIN f1 x ON x.lang = t.lang AND x.w1 = t.w1 JOIN f2 y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 2, t.f, x.f, y.f FROM f3 t JOIN f2 x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN f1 y ON y.lang = t.lang AND y.w1 = t.w3),
+scored AS (SELECT *, 1000000::HUGEINT * a * a // (l::HUGEINT * r) AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, (SELECT sum(f)::BIGINT FROM f1 WHERE f1.lang = ranked.lang) AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
 }
