@@ -164,30 +164,32 @@ def scanned(docs: DataFrame, count_words: bool, words: np.ndarray | None, pairs:
     return found.groupBy("size", "k1", "k2", "k3").agg(F.sum("n").alias("n"), F.min(told).alias("told"), F.max(told).alias("other"))
 
 
-def masks(reached: DataFrame, keys: list[str]) -> np.ndarray:
-    """For each slot, bit ``r`` for the scans ``reach`` = r of the phrases whose hash has that slot; made in blocks, each by a task."""
+def newly_reached(spark, words: DataFrame | None, pairs: DataFrame | None, reach: int) -> list[np.ndarray]:
+    """Slots of the words, and of the pairs, that reached the threshold before scan ``reach``; made in blocks, each by a task."""
 
     def slots(batches):
         for batch in batches:
-            code = [batch.column(k).to_numpy() for k in range(len(keys))]
-            at = slot_of(code[0] if len(keys) == 1 else pair_key(*code))
-            yield {"block": at // _BLOCK, "at": at % _BLOCK, "bit": np.left_shift(1, batch.column(len(keys)).to_numpy())}
-
-    bits = map_arrow(reached.select(*keys, "reach"), slots, "block bigint, at bigint, bit bigint").groupBy("block", "at").agg(F.bit_or("bit").alias("bit"))
+            kind, first, second = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).fill_null(0).to_numpy()
+            at = np.where(kind == 0, slot_of(first), slot_of(pair_key(first, second)))
+            yield {"kind": kind, "block": at // _BLOCK, "at": at % _BLOCK}
 
     def pack(batches):
-        whole: dict[int, np.ndarray] = {}
+        whole: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            block, at, bit = (c.to_numpy() for c in batch.columns)
-            for b in np.unique(block):
-                use = block == b
-                whole.setdefault(int(b), np.zeros(_BLOCK, np.uint16))[at[use]] = bit[use]
+            kind, block, at = (c.to_numpy() for c in batch.columns)
+            for b in np.unique(2 * block + kind).tolist():
+                whole.setdefault(b, np.zeros(_BLOCK, bool))[at[2 * block + kind == b]] = True
         if whole:
-            yield {"block": list(whole), "mask": [m.tobytes() for m in whole.values()]}
-
-    out = np.zeros(SLOTS, np.uint16)
-    for row in map_arrow(bits.repartition("block"), pack, "block bigint, mask binary").collect():  # SLOTS / _BLOCK rows at most
-        out[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["mask"], np.uint16)
+            yield {"kind": [b % 2 for b in whole], "block": [b // 2 for b in whole], "bits": [np.packbits(m).tobytes() for m in whole.values()]}
+
+    out = [np.zeros(SLOTS, bool), np.zeros(SLOTS, bool)]
+    given = [df.where(F.col("reach") == reach).select(F.lit(kind).alias("kind"), "k1", ("k2" if kind else F.lit(None).cast("bigint").alias("k2"))) for kind, df in enumerate((words, pairs)) if df is not None]
+    if given:
+        rows = given[0] if len(given) == 1 else given[0].union(given[1])
+        at = map_arrow(rows, slots, "kind int, block bigint, at bigint").repartition("kind", "block")
+        for row in map_arrow(at, pack, "kind int, block bigint, bits binary").collect():  # 2 * SLOTS / _BLOCK rows at most
+            low = row["block"] * _BLOCK
+            out[row["kind"]][low : low + _BLOCK] = np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
     return out
 
 
@@ -212,43 +214,41 @@ def counted(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> tuple[
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     own.withColumn("shard", F.pmod(F.xxhash64("text", "lang"), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(path)
     dealt = spark.read.schema("lang string, text string, shard int").parquet(path)
-    words = pairs = triples = word_masks = pair_masks = None
-    none = spark.createDataFrame([], "size int, k1 bigint, k2 bigint, k3 bigint, n bigint, told struct<lang:string,word:string>, other struct<lang:string,word:string>")
-    last_word = last_pair = -1  # the latest scans that began a cycle of pairs, of triples
+    words = longer = None
+    word_masks, pair_masks = np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.uint16)
+    last_word = last_pair = -shards  # the latest scans that began a cycle of pairs, of triples
     step = 0
     while step < shards or step < max(last_word, last_pair) + shards:
         open_from = step - shards + 1  # cycles that began at this scan or later are still open
         recent = sum(1 << r for r in range(max(0, open_from), step + 1))
-        use_words = word_masks if step < last_word + shards and step else None
-        use_pairs = pair_masks if step < last_pair + shards else None
-        found = settle(scanned(dealt.where(F.col("shard") == step % shards), step < shards, use_words, use_pairs, recent)) if step < shards or use_words is not None or use_pairs is not None else none
-        within = (F.greatest("r1", "r2") <= step) & (F.greatest("r1", "r2") >= open_from)
-        reached = lambda df, by, name: df.where(F.col("reach") <= step).select(*[F.col(old).alias(new) for old, new in by.items()], F.col("reach").alias(name))
-        pairs_before = pairs
-        if use_pairs is not None:
-            of_three = found.where("size = 3").select("k1", "k2", "k3", "n")
-            of_three = of_three.join(reached(pairs_before, {"k1": "k1", "k2": "k2"}, "r1"), ["k1", "k2"]).join(reached(pairs_before, {"k1": "k2", "k2": "k3"}, "r2"), ["k2", "k3"])
-            triples = _merged(triples, of_three.where(within).select("k1", "k2", "k3", "n"), ["k1", "k2", "k3"], step, least)
-        if use_words is not None:
-            of_two = found.where("size = 2").select("k1", "k2", "n")
-            of_two = of_two.join(reached(words, {"k1": "k1"}, "r1"), "k1").join(reached(words, {"k1": "k2"}, "r2"), "k2")
-            pairs = _merged(pairs, of_two.where(within).select("k1", "k2", "n"), ["k1", "k2"], step, least)
-            now = pairs.agg(F.max("reach")).first()[0]
-            if now is not None:
-                last_pair, pair_masks = max(last_pair, now), masks(pairs.where("reach is not null"), ["k1", "k2"])
+        of_words, of_pairs = step < last_word + shards, step < last_pair + shards
+        found = settle(scanned(dealt.where(F.col("shard") == step % shards), step < shards, word_masks if of_words else None, pair_masks if of_pairs else None, recent))
+        begun = F.greatest("r1", "r2")
+        reached = lambda df, first, second, name: df.where(F.col("reach") <= step).select(F.col("k1").alias(first), *([F.col("k2").alias(second)] if second else []), F.col("reach").alias(name))
+        active = []
+        if of_words:
+            of_two = found.where("size = 2").join(reached(words, "k1", None, "r1"), "k1").join(reached(words, "k2", None, "r2"), "k2")
+            active.append(of_two.where(begun >= open_from).select("size", "k1", "k2", "k3", "n"))
+        if of_pairs:
+            pairs = longer.where("size = 2")
+            of_three = found.where("size = 3").join(reached(pairs, "k1", "k2", "r1"), ["k1", "k2"]).join(reached(pairs, "k2", "k3", "r2"), ["k2", "k3"])
+            active.append(of_three.where(begun >= open_from).select("size", "k1", "k2", "k3", "n"))
+        if active:
+            longer = _merged(longer, active[0] if len(active) == 1 else active[0].union(active[1]), ["size", "k1", "k2", "k3"], step, least)
         if step < shards:
             words = _merged(words, found.where("size = 1").select("k1", "n", "told", "other"), ["k1"], step, least)
-            now = words.agg(F.max("reach")).first()[0]
-            if now is not None:
-                last_word, word_masks = max(last_word, now), masks(words.where("reach is not null"), ["k1"])
-        if found is not none:
-            release(found)
+        release(found)
+        new = newly_reached(spark, words if step < shards else None, longer.where("size = 2") if of_words else None, step + 1)
+        for at, masks in zip(new, (word_masks, pair_masks)):
+            masks[at] |= np.uint16(1 << (step + 1))
+        last_word, last_pair = (step + 1 if at.any() else last for at, last in zip(new, (last_word, last_pair)))
         step += 1
     dealt.settled_at = path
     release(dealt)
-    empty = lambda *keys: none.select(*keys, "n", F.lit(0).alias("reach"))
+    if longer is None:
+        longer = spark.createDataFrame([], "size int, k1 bigint, k2 bigint, k3 bigint, n bigint")
     same = F.when(F.col("told") == F.col("other"), F.col("told")).otherwise(F.raise_error(F.lit("two words with one hash")).cast("struct<lang:string,word:string>"))
-    return words.withColumn("told", same).drop("other"), empty("k1", "k2") if pairs is None else pairs, empty("k1", "k2", "k3") if triples is None else triples
+    return words.withColumn("told", same).drop("other"), longer.where("size = 2").select("k1", "k2", "n"), longer.where("size = 3").select("k1", "k2", "k3", "n")
 
 
 def share(a: Column, left: Column, right: Column) -> Column:
@@ -262,7 +262,7 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: int = INSI
     words, pairs, triples = counted(docs, least, shards)
     totals = words.groupBy(F.col("told.lang").alias("lang")).agg(F.sum("n").alias("n"))
     word = lambda k: words.where(F.col("n") >= least).select(F.col("k1").alias(f"k{k}"), F.col("n").alias(f"f{k}"), F.col("told").alias(f"w{k}"))
-    two, three = (x.where(F.col("n") >= least).drop("reach") for x in (pairs, triples))
+    two, three = (x.where(F.col("n") >= least) for x in (pairs, triples))
     longer = three.select("k1", "k2", "n").unionByName(three.select(F.col("k2").alias("k1"), F.col("k3").alias("k2"), "n")).groupBy("k1", "k2").agg(F.max("n").alias("most"))
     kept = two.join(longer, ["k1", "k2"], "left").where(F.col("most").isNull() | (100 * F.col("most") < inside * F.col("n")))
     a = F.col("a")

@@ -2,6 +2,10 @@
 
 Each pass hashes vectors by the signs of random projections, concatenated into one integer,
 and sorts them by it; neighbours within a window are compared by cosine in double precision.
+A pass sends every vector once through a shuffle, into the range of codes where it belongs, and
+a task slides over its range; passes are made ``AT_ONCE`` together and what they leave is
+links alone.  Neighbours on two sides of a range's end are not compared, other passes do.
+
 Vectors that several passes link are one component of verified links.  A window is bounded,
 so it can miss links inside a dense group: every component is then compared whole, pair by
 pair in blocks, which gives each vector all its links within the component.
@@ -9,8 +13,8 @@ pair in blocks, which gives each vector all its links within the component.
 Passes follow from the number of vectors, for a stated recall of a pair that is alone.  Where
 vectors crowd together more are needed, so recall is measured: the links of a sample with all
 vectors are counted in full, and passes are doubled until ``RECALL`` of them are within
-components, over links as well as over the sample's vectors.  Where passes would compare as
-many pairs as there are, all pairs are compared instead.
+components, over links as well as over the sample's vectors.  This is the same for few vectors
+as for many.
 
 Vectors equal in all components are one node with a number of copies.
 
@@ -25,14 +29,14 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, settle
-from .linking import compare_groups, components
+from .common import map_arrow, release, settle
+from .linking import compare_groups, components, roots
 
 #: ``PASSES`` at least; ``SAMPLE`` vectors measure the recall.
-COSINE, PASSES, WINDOW, BITS, RECALL, SAMPLE = 0.9, 24, 64, 62, 0.99, 2048
+COSINE, PASSES, WINDOW, BITS, RECALL, SAMPLE, AT_ONCE = 0.9, 24, 64, 62, 0.999, 2048, 8
 
 
 def usable(vector: list | None) -> np.ndarray | None:
@@ -76,7 +80,7 @@ def by_width(raw: list[bytes]):
 
 
 def coded(nodes: DataFrame, start: int, stop: int, bits: int = BITS) -> DataFrame:
-    """``node``, ``pass`` and ``code`` of ``nodes(node, vector)`` for the passes from ``start`` to before ``stop``."""
+    """``node``, ``vector`` and ``codes`` of ``nodes(node, vector)`` for the passes from ``start`` to before ``stop``."""
 
     def rows(batches):
         weights = np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64)
@@ -86,27 +90,51 @@ def coded(nodes: DataFrame, start: int, stop: int, bits: int = BITS) -> DataFram
                 signs = np.stack([(x @ planes(width, p, bits) > 0) @ weights for p in range(start, stop)], axis=1)
                 for k, c in zip(own, signs):
                     codes[k] = c
-            yield {"node": batch.column(0), "codes": codes}
+            yield {"node": batch.column(0), "vector": batch.column(1), "codes": codes}
 
-    found = map_arrow(nodes.select("node", "vector"), rows, "node bigint, codes array<bigint>")
-    return found.select("node", F.posexplode("codes").alias("pass", "code"))
+    return map_arrow(nodes.select("node", "vector"), rows, "node bigint, vector binary, codes array<bigint>")
 
 
-def windows(placed: DataFrame, window: int, parts: int) -> DataFrame:
-    """``group`` and ``node`` of ``placed(node, pass, code)``: each node once in its own and once in the previous run of ``window`` places of every pass's order.
+def neighbours(placed: DataFrame, cosine: float, window: int, parts: int) -> DataFrame:
+    """Links ``a``, ``b`` of vectors at most ``window`` places apart in some pass's order, and of some up to twice as far.
 
-    Two nodes up to ``window`` places apart so share a group.  Places come from a range
-    partitioning by (pass, code, node), whose parts the node spreads where codes are equal,
-    and the parts' sizes.
+    ``placed`` has ``node``, ``vector`` and ``codes``.  Ranges of (pass, code, node) are sorted;
+    the node spreads vectors with equal codes.  Each run of ``window`` places is compared with
+    itself and the run before; of a run's links, each node keeps the one to the smallest node
+    it reaches, so there are no more links than places.
     """
-    dealt = settle(placed.repartitionByRange(parts, "pass", "code", "node").withColumn("part", F.spark_partition_id()))
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("part").orderBy("pass", "code", "node")
-    ranked = dealt.withColumn("at", F.row_number().over(inside) - 1).join(F.broadcast(offsets), "part")
-    run = F.floor((F.col("at") + F.col("offset")) / window)
-    return ranked.select(F.explode(F.array(run, run - 1)).alias("group"), "node").distinct()
+    dealt = placed.select("node", "vector", F.posexplode("codes").alias("pass", "code"))
+    dealt = dealt.repartitionByRange(parts, "pass", "code", "node").sortWithinPartitions("pass", "code", "node").select("node", "vector")
+
+    def linked(before, run):
+        both = before + run
+        node = np.array([r[0] for r in both], np.int64)
+        matrix = close([(n, 1, v) for n, v in both], cosine)
+        matrix[: len(before), : len(before)] = False
+        matrix &= node[:, None] != node[None, :]
+        left, right = np.nonzero(np.triu(matrix | matrix.T))
+        if not len(left):
+            return None
+        order = np.argsort(node, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        root = roots(len(order), rank[left], rank[right])
+        use = np.flatnonzero(root != np.arange(len(order)))
+        return {"a": node[order][use], "b": node[order][root[use]]}
+
+    def rows(batches):
+        before, run = [], []
+        for batch in batches:
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                run.append(row)
+                if len(run) == window:
+                    if (found := linked(before, run)) is not None:
+                        yield found
+                    before, run = run, []
+        if run and (found := linked(before, run)) is not None:
+            yield found
+
+    return map_arrow(dealt, rows, "a bigint, b bigint").where("a <> b").distinct()
 
 
 def close(rows: list, cosine: float) -> np.ndarray:
@@ -148,25 +176,23 @@ def measured_recall(nodes: DataFrame, joined: DataFrame, cosine: float, sample:
     return 1.0 if got[0] is None else min(got)
 
 
-def joined_nodes(nodes: DataFrame, linked, cosine: float, passes: int, window: int, recall: float) -> DataFrame:
+def joined_nodes(nodes: DataFrame, cosine: float, passes: int, window: int, recall: float) -> DataFrame:
     """``node`` and ``component`` of the nodes that have a link, after as many passes as the recall needs."""
     n, done, joined = nodes.count(), 0, None
-    loaded = nodes.select("node", "copies", "vector")
     wanted = max(passes, passes_for(n, cosine, window, (1 + recall) / 2))
     while True:
-        whole = wanted * 2 * window >= n
-        if whole:
-            groups = nodes.select(F.length("vector").cast("bigint").alias("group"), "node")
-        else:
-            groups = windows(coded(nodes, done, wanted), window, max(1, n * (wanted - done) // 100_000))
-        found = compare_groups(groups, loaded, ["vector"], linked)
-        edges = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        if joined is not None:
-            edges = edges.union(joined.select("node", "component"))
+        edges = None if joined is None else joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        while done < wanted:
+            stop = min(wanted, done + AT_ONCE)
+            placed = settle(coded(nodes, done, stop))
+            found = settle(neighbours(placed, cosine, window, max(1, n * (stop - done) // 50_000)))
+            release(placed)
+            edges = found if edges is None else edges.union(found)
+            done = stop
         joined = components(edges)
-        if whole or measured_recall(nodes, joined, cosine) >= recall:
+        if measured_recall(nodes, joined, cosine) >= recall:
             return joined
-        done, wanted = wanted, 2 * wanted
+        wanted = 2 * done
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
@@ -175,7 +201,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, passes: int = PA
     nodes = settle(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("vector").alias("vector")))
     loaded = nodes.select("node", "copies", "vector")
     linked = lambda group, members: close(members, cosine)
-    joined = joined_nodes(nodes, linked, cosine, passes, window, recall)
+    joined = joined_nodes(nodes, cosine, passes, window, recall)
     exact = compare_groups(joined.select(F.col("component").alias("group"), "node"), loaded, ["vector"], linked)
     links = exact.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.select("node", "copies", "first_id").join(joined, "node", "left").join(links, "node", "left")

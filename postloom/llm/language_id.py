@@ -15,8 +15,6 @@ are ignored, repeated rows are predicted each.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +24,6 @@ from .common import map_arrow, small_batches
 
 PROFILE_SIZE = 300
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII = np.array([c if 97 <= c <= 122 else 32 for c in range(128)], np.uint32)
 _COMPACT_AT = 1_000_000
 
@@ -114,7 +111,7 @@ class Profiles:
             self.ranks[np.searchsorted(self.codes, profiles[lang]), k] = np.arange(len(profiles[lang]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.langs or not _LETTER.search(text):
+        if text is None or not self.langs or not any(map(str.isalpha, text)):  # numerals such as a half or a circled one are no letters
             return UNKNOWN, 0.0
         mine = ranked(*gram_counts(text), self.size)
         if not len(mine):
