@@ -60,15 +60,26 @@ def refresh(log: DataFrame, upserts: DataFrame) -> DataFrame:
 def ingest_batch(existing: DataFrame, lines: DataFrame, predicate: Predicate | None = None, order: tuple[str, ...] = ("created_at", "uri")) -> tuple[DataFrame, DataFrame]:
     """A batch of lines parsed, filtered and cut down to new uris: the posts to store, and the batch's counts.
 
-    Of several posts with one uri the first in ``order`` is stored.
+    Of several posts with one uri the first in ``order`` is stored.  The counts come from one
+    pass over the lines: ``added``, ``skipped`` (errors too) and ``errors``.
     """
-    from ..sources.ndjson import decode
+    from ..sources.ndjson import decode, parsed_lines
+    from .normalize import posts_of
 
-    candidates, errors = decode(lines)
+    candidates, _ = decode(lines)
     kept = candidates if predicate is None else candidates.where(predicate.condition)
     first = kept.groupBy("uri").agg(F.min_by(F.struct(*[c for c in kept.columns if c != "uri"]), F.struct(*order)).alias("p")).select("uri", "p.*")
     stored = first.join(existing.select("uri"), "uri", "left_anti")
-    return stored, ingest_counts(candidates, stored, errors)
+    # lines that are no posts stay in the pass, as rows of nulls that only count
+    parsed = parsed_lines(lines)
+    rows = posts_of(parsed.withColumn("shape", F.when(F.col("reason").isNull(), F.col("shape"))).select("parsed", "shape"))
+    good = F.col("uri").isNotNull()
+    taken = good if predicate is None else good & predicate.column
+    by_uri = rows.groupBy(F.when(taken, F.col("uri")).alias("uri")).agg(F.count("*").alias("lines"), F.count_if(~good).alias("errors"))
+    known = existing.select("uri").distinct().withColumn("_known", F.lit(True))
+    added = F.count_if(F.col("uri").isNotNull() & F.col("_known").isNull())
+    counts = by_uri.join(known, "uri", "left").agg(added.alias("added"), F.coalesce(F.sum("lines"), F.lit(0)).alias("_lines"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"))
+    return stored, counts.select("added", (F.col("_lines") - F.col("added")).alias("skipped"), "errors")
 
 
 def ingest_counts(candidates: DataFrame, stored: DataFrame, errors: DataFrame) -> DataFrame:
@@ -132,6 +143,18 @@ def derive_incremental(log: DataFrame, predicate: Predicate, source_store: str,
     return derive(tail(log, after), predicate, source_store, replay(target_log))
 
 
+def derive_onto(log: DataFrame, predicate: Predicate, source_store: str, path: str, schema, after: int) -> DataFrame:
+    """The further rows after a checkpoint, given the target's current posts under ``path`` (see ``sources.current``).
+
+    Reads the log's tail and the uris of the buckets that it touches; the cost follows the
+    tail and not the target's log.  Merge the rows into the state once they are in the log.
+    """
+    from ..sources import current
+
+    rows = tail(log, after)
+    return derive(rows, predicate, source_store, current.held(log.sparkSession, path, rows, schema))
+
+
 def derive_counts(log: DataFrame, predicate: Predicate, target: DataFrame | None = None) -> DataFrame:
     """``processed`` = ``matched`` + ``skipped`` + ``deletes``; the dry run."""
     n = lambda k: F.coalesce(F.sum((F.col("kind") == k).cast("bigint")), F.lit(0))

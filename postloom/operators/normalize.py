@@ -27,9 +27,35 @@ def tagged(tags: Column) -> Column:
     return F.transform(tags, lambda t: F.when(t.startswith("#"), t).otherwise(F.concat(F.lit("#"), t)))
 
 
-def metric(value: Column) -> Column:
-    """-1 stands for unknown."""
-    return F.when(value != -1, value)
+#: Counts of a post's metrics and the columns they go to; those without a column are checked only.
+COUNTS = {"likeCount": "like_count", "repostCount": "repost_count", "replyCount": "reply_count", "quoteCount": "quote_count", "bookmarkCount": None}
+
+
+def metric(metrics: Column, name: str) -> Column:
+    """A count; -1 stands for unknown."""
+    return F.nullif(F.try_variant_get(metrics, f"$.{name}", "bigint"), F.lit(-1))
+
+
+def bad_metric(metrics: Column) -> Column:
+    """Whether any count is not a whole number of 0 or more, or -1; a missing or null one is fine."""
+    out = F.lit(False)
+    for name in COUNTS:
+        kind = F.schema_of_variant(F.try_variant_get(metrics, f"$.{name}", "variant"))
+        value = F.try_variant_get(metrics, f"$.{name}", "double")
+        number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        out |= F.coalesce(kind != "VOID", F.lit(False)) & ~(number & (value == F.floor(value)) & ((value >= 0) | (value == -1)))
+    return F.coalesce(out, F.lit(False))
+
+
+def instant(text: Column) -> Column:
+    """A time as text in UTC without zone, cut to milliseconds; null where it is none.
+
+    An offset (``Z``, ``+02:00``, ``+0200``) is taken into account; without one the time is UTC.
+    """
+    zoned = F.when(text.rlike(r"T.*(Z|[+-]\d\d(:?\d\d)?)$"), F.regexp_replace(text, r"(T.*[+-]\d\d)(\d\d)$", "$1:$2")).when(text.rlike(r"^\d+-\d+-\d+$"), F.concat(text, F.lit("T00:00:00Z"))).otherwise(F.concat(text, F.lit("Z")))
+    millis = F.floor(F.unix_micros(F.try_to_timestamp(zoned)) / 1000)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(secs=(millis / F.lit(1000).cast("decimal(4,0)")).cast("decimal(18,6)"))
 
 
 def languages(langs: Column) -> Column:
@@ -38,10 +64,11 @@ def languages(langs: Column) -> Column:
 
 def images_of(embed: Column) -> Column:
     """Images of the embed itself, of its media, or of an unknown payload that says it is images; blank alt text is null."""
-    unknown = F.when((embed["type"] == "Unknown") & embed["rawType"].contains("images"), F.from_json(embed["data"], "images array<struct<fullsize:string,thumb:string,alt:string>>")["images"])
+    unknown = F.when((embed["type"] == "Unknown") & embed["rawType"].contains("images"), F.from_json(embed["data"], "images array<struct<fullsize:string,thumb:string,alt:string,aspectRatio:struct<width:double,height:double>>>")["images"])
     found = F.coalesce(F.when(embed["type"] == "Images", embed["images"]), F.when(embed["media"]["type"] == "Images", embed["media"]["images"]), unknown)
-    tidy = F.transform(found, lambda i: F.struct(i["fullsize"].alias("fullsize"), i["thumb"].alias("thumb"), F.nullif(F.trim(i["alt"]), F.lit("")).alias("alt")))
-    return F.coalesce(tidy, F.array().cast("array<struct<fullsize:string,thumb:string,alt:string>>"))
+    aspect = lambda i: F.when(i["aspectRatio"]["width"].isNotNull() & i["aspectRatio"]["height"].isNotNull(), i["aspectRatio"])
+    tidy = F.transform(found, lambda i: F.struct(i["fullsize"].alias("fullsize"), i["thumb"].alias("thumb"), F.nullif(F.trim(i["alt"]), F.lit("")).alias("alt"), aspect(i).alias("aspect")))
+    return F.coalesce(tidy, F.array().cast("array<struct<fullsize:string,thumb:string,alt:string,aspect:struct<width:double,height:double>>>"))
 
 
 def embed_summary(embed: Column) -> Column:
@@ -87,70 +114,59 @@ def embed_cell(summary: Column) -> Column:
     )
 
 
-def reject_reason(raw: Column) -> Column:
-    """Why a decoded raw post cannot be taken, or null."""
-    negative = lambda m: F.coalesce(m < -1, F.lit(False))
-    metrics = raw["metrics"]
+def reject_reason(parsed: Column, shape: Column) -> Column:
+    """Why a decoded line cannot be taken as a post, or null."""
+    own = shape == "raw"
+    text, created, metrics = shaped(parsed, shape, "text"), shaped(parsed, shape, "createdAt"), shaped(parsed, shape, "metrics")
+    uri = F.coalesce(shaped(parsed, shape, "uri"), parsed["uri"])  # a line with no more than a uri has no shape
     return (
-        F.when(raw.isNull() | raw["uri"].isNull(), F.lit("not a post"))
-        .when(~raw["uri"].rlike(r"^at://\S+"), F.lit("bad uri"))
-        .when(raw["record"]["text"].isNull() | F.try_to_timestamp(raw["record"]["createdAt"]).isNull(), F.lit("bad record"))
-        .when(negative(metrics["likeCount"]) | negative(metrics["repostCount"]) | negative(metrics["replyCount"]) | negative(metrics["quoteCount"]), F.lit("bad metric"))
+        F.when(uri.isNull(), F.lit("not a post"))
+        .when(~uri.rlike(r"^at://\S+"), F.lit("bad uri"))
+        .when(text.isNull() | (~own & shaped(parsed, shape, "author").isNull()) | instant(created).isNull(), F.lit("bad record"))
+        .when(bad_metric(metrics), F.lit("bad metric"))
     )
 
 
-def normalize(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """Rows of the posts table from a struct column of raw posts that have no reject reason."""
-    r, rec = F.col(column), F.col(f"{column}.record")
-    unknown = F.when(rec["embed"].isNotNull(), F.struct(*[(F.lit("Unknown") if f.name == "type" else F.get_json_object(rec["embed"], "$.type") if f.name == "rawType" else rec["embed"] if f.name == "data" else F.lit(None).cast(f.dataType)).alias(f.name) for f in EMBED]))
-    out = raw.withColumn("_embed", F.explode(F.array(F.coalesce(r["embed"], unknown))))  # worked out once a row
-    embed, reason = F.col("_embed"), r["feed"]["reason"]
-    text = rec["text"]
-    external = F.coalesce(embed["external"]["uri"], embed["media"]["external"]["uri"])
-    created = F.date_trunc("millisecond", F.to_timestamp_ntz(F.regexp_replace(rec["createdAt"], "Z$", "")))
-    out = out.select(
-        r["uri"].alias("uri"), F.lower(r["author"]).alias("author"), r["authorDid"].alias("author_did"), created.alias("created_at"), created.cast("date").alias("created_date"), text.alias("text"),
-        languages(rec["langs"]).alias("langs"),
-        merge(hashtags_in(text), tagged(facet_values(rec["facets"], "tag")), tagged(rec["tags"])).alias("hashtags"),
-        mentions_in(text).alias("mentions"), merge(facet_values(rec["facets"], "did")).alias("mention_dids"),
-        merge(links_in(text), facet_values(rec["facets"], "uri")).alias("links"), external.alias("external_link"),
-        metric(r["metrics"]["likeCount"]).alias("like_count"), metric(r["metrics"]["repostCount"]).alias("repost_count"), metric(r["metrics"]["replyCount"]).alias("reply_count"), metric(r["metrics"]["quoteCount"]).alias("quote_count"),
-        rec["reply"]["parent"]["uri"].alias("reply_parent_uri"), rec["reply"]["root"]["uri"].alias("reply_root_uri"), rec["reply"].isNotNull().alias("is_reply"),
-        embed["type"].isin("Record", "RecordWithMedia").alias("is_quote"), embed["record"]["uri"].alias("quote_uri"), embed["record"]["authorDid"].alias("quote_author_did"),
-        (reason["type"] == "repost").alias("is_repost"), F.when(reason["type"] == "repost", reason["byDid"]).alias("repost_by_did"),
-        images_of(embed).alias("images"), ((embed["type"] == "Video") | (embed["media"]["type"] == "Video")).alias("has_video"),
-        embed.isNotNull().alias("has_embed"), embed_summary(embed).alias("embed_summary"),
-    )
-    return flags(out.withColumn("images", F.explode(F.array("images"))))
+#: Fields that a raw post has in its record.
+_OF_RECORD = ("text", "createdAt", "langs", "reply")
 
 
-def post_reject_reason(post: Column) -> Column:
-    """Why a decoded post that is normalised already cannot be taken, or null."""
-    return (
-        F.when(post.isNull() | post["uri"].isNull(), F.lit("not a post"))
-        .when(~post["uri"].rlike(r"^at://\S+"), F.lit("bad uri"))
-        .when(post["text"].isNull() | post["author"].isNull() | F.try_to_timestamp(post["createdAt"]).isNull(), F.lit("bad record"))
-    )
+def shaped(parsed: Column, shape: Column, field: str) -> Column:
+    """A field of a decoded line of any shape: raw, post or (within ``post``) stored."""
+    raw = parsed["record"][field] if field in _OF_RECORD else parsed[field]
+    return F.when(shape == "raw", raw).when(shape == "stored", parsed["post"][field]).when(shape == "post", parsed[field])
+
 
+def posts_of(lines: DataFrame) -> DataFrame:
+    """Rows of the posts table from ``lines(parsed, shape)`` that have no reject reason, in one pass.
 
-def from_normalized(posts: DataFrame, column: str = "post") -> DataFrame:
-    """Rows of the posts table from a struct column of posts that were normalised before."""
-    out = posts.withColumn("_post", F.col(column))
-    p, embed, reason = F.col("_post"), F.col("_post.embed"), F.col("_post.feed.reason")
-    created = F.date_trunc("millisecond", F.to_timestamp_ntz(F.regexp_replace(p["createdAt"], "Z$", "")))
-    own = lambda c: F.coalesce(p[c], F.array().cast(_NONE))
+    Raw posts get their tags, mentions and links from text, facets and tags; the other shapes
+    have them already.
+    """
+    parsed, shape = F.col("parsed"), F.col("shape")
+    raw, get = shape == "raw", lambda field: shaped(parsed, shape, field)
+    inner = parsed["record"]["embed"]
+    unknown = F.when(raw & inner.isNotNull(), F.struct(*[(F.lit("Unknown") if f.name == "type" else F.get_json_object(inner, "$.type") if f.name == "rawType" else inner if f.name == "data" else F.lit(None).cast(f.dataType)).alias(f.name) for f in EMBED]))
+    # through explode, what is used often is worked out once a row
+    out = lines.withColumn("_p", F.explode(F.array(F.struct(F.coalesce(get("embed"), unknown).alias("embed"), get("feed")["reason"].alias("reason"), instant(get("createdAt")).alias("created"), get("text").alias("text"), get("metrics").alias("metrics"), get("reply").alias("reply")))))
+    embed, reason, created, text, metrics, reply = (F.col(f"_p.{c}") for c in ("embed", "reason", "created", "text", "metrics", "reply"))
+    facets = parsed["record"]["facets"]
+    own = lambda field: F.coalesce(get(field), F.array().cast(_NONE))
+    either = lambda made, field: F.when(raw, made).otherwise(own(field))
     out = out.select(
-        p["uri"].alias("uri"), F.lower(p["author"]).alias("author"), p["authorDid"].alias("author_did"), created.alias("created_at"), created.cast("date").alias("created_date"), p["text"].alias("text"),
-        languages(own("langs")).alias("langs"), own("hashtags").alias("hashtags"), own("mentions").alias("mentions"), own("mentionDids").alias("mention_dids"), own("links").alias("links"),
-        F.coalesce(embed["external"]["uri"], embed["media"]["external"]["uri"]).alias("external_link"),
-        metric(p["metrics"]["likeCount"]).alias("like_count"), metric(p["metrics"]["repostCount"]).alias("repost_count"), metric(p["metrics"]["replyCount"]).alias("reply_count"), metric(p["metrics"]["quoteCount"]).alias("quote_count"),
-        p["reply"]["parent"]["uri"].alias("reply_parent_uri"), p["reply"]["root"]["uri"].alias("reply_root_uri"), p["reply"].isNotNull().alias("is_reply"),
+        get("uri").alias("uri"), F.lower(get("author")).alias("author"), get("authorDid").alias("author_did"), created.alias("created_at"), created.cast("date").alias("created_date"), text.alias("text"),
+        languages(own("langs")).alias("langs"),
+        either(merge(hashtags_in(text), tagged(facet_values(facets, "tag")), tagged(parsed["record"]["tags"])), "hashtags").alias("hashtags"),
+        either(mentions_in(text), "mentions").alias("mentions"), either(merge(facet_values(facets, "did")), "mentionDids").alias("mention_dids"),
+        either(merge(links_in(text), facet_values(facets, "uri")), "links").alias("links"), F.coalesce(embed["external"]["uri"], embed["media"]["external"]["uri"]).alias("external_link"),
+        *[metric(metrics, name).alias(column) for name, column in COUNTS.items() if column],
+        reply["parent"]["uri"].alias("reply_parent_uri"), reply["root"]["uri"].alias("reply_root_uri"), reply.isNotNull().alias("is_reply"),
         embed["type"].isin("Record", "RecordWithMedia").alias("is_quote"), embed["record"]["uri"].alias("quote_uri"), embed["record"]["authorDid"].alias("quote_author_did"),
         (reason["type"] == "repost").alias("is_repost"), F.when(reason["type"] == "repost", reason["byDid"]).alias("repost_by_did"),
         images_of(embed).alias("images"), ((embed["type"] == "Video") | (embed["media"]["type"] == "Video")).alias("has_video"),
         embed.isNotNull().alias("has_embed"), embed_summary(embed).alias("embed_summary"),
     )
-    return flags(out)
+    return flags(out.withColumn("images", F.explode(F.array("images"))))
 
 
 def flags(p: DataFrame) -> DataFrame:

@@ -233,24 +233,65 @@ def _on_error(policy: str, known: Column, good: Column) -> Column:
     return F.when(known, good).otherwise(F.lit(policy == "include"))
 
 
-def with_valid_links(posts: DataFrame, status: DataFrame, key: str = "uri", on_error: str = "exclude") -> DataFrame:
+#: How long a check of a link and a list of topics hold.
+LINK_AGE, TOPIC_AGE = timedelta(hours=6), timedelta(minutes=15)
+
+
+def _fresh(checks: DataFrame, now: datetime, age: timedelta) -> DataFrame:
+    """Checks of ``checked_at`` that are not after ``now`` and younger than ``age``; the bounds reach the scan."""
+    at = lambda t: F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
+    return checks.where((F.col("checked_at") <= at(now)) & (F.col("checked_at") > at(now - age)))
+
+
+def newest_checks(status: DataFrame, now: datetime, age: timedelta = LINK_AGE) -> DataFrame:
+    """``url`` and ``status`` of each url's newest check as of ``now`` in ``status(url, status, checked_at)``; of two at one time the higher status.
+
+    Partial maxima keep a url that was checked very often cheap; urls without a check of that
+    age have no row, so they are failed lookups.
+    """
+    newest = _fresh(status, now, age).groupBy("url").agg(F.max(F.struct("checked_at", "status")).alias("last"))
+    return newest.select("url", F.col("last.status").alias("status"))
+
+
+def newest_topics(trending: DataFrame, now: datetime, age: timedelta = TOPIC_AGE) -> DataFrame:
+    """The topics of the newest list as of ``now`` in ``trending(topic, checked_at)``; none if no list is of that age."""
+    fresh = _fresh(trending, now, age)
+    last = fresh.agg(F.max("checked_at").alias("_last"))  # one row
+    return fresh.join(F.broadcast(last), F.col("checked_at") == F.col("_last")).select("topic")
+
+
+def with_valid_links(posts: DataFrame, status: DataFrame, key: str = "uri", on_error: str = "exclude", now: datetime | None = None, age: timedelta = LINK_AGE) -> DataFrame:
     """``posts`` with ``has_valid_links``: any own link is http(s) and answered 200 to 399 in ``status(url, status)``.
 
-    A link that the table lacks is a failed lookup and follows ``on_error``.
+    With ``now``, ``status`` has ``checked_at`` too and of each url only the newest check as of
+    then counts, if it is younger than ``age``.  Without, a url with several checks counts by
+    its last ``checked_at`` if there is one, else by its highest status.  A link that the
+    table lacks is a failed lookup and follows ``on_error``.
     """
+    if now is not None:
+        status = newest_checks(status, now, age)
+    else:
+        order = F.struct(*[c for c in ("checked_at", "status") if c in status.columns])
+        status = status.groupBy("url").agg(F.max(order)["status"].alias("status"))
     links = posts.select(key, F.explode(F.array_distinct("links")).alias("url")).join(status.select("url", "status"), "url", "left")
     fine = F.col("url").rlike("^https?://") & F.col("status").between(200, 399)
-    judged = links.groupBy(key).agg(F.bool_or(_on_error(on_error, F.col("status").isNotNull(), fine)).alias("has_valid_links"))
+    known = F.col("status").isNotNull() | ~F.col("url").rlike("^https?://")  # what is no web address is never looked up
+    judged = links.groupBy(key).agg(F.bool_or(_on_error(on_error, known, fine)).alias("has_valid_links"))
     return posts.join(judged, key, "left").withColumn("has_valid_links", F.coalesce("has_valid_links", F.lit(False)))
 
 
-def with_trending(posts: DataFrame, trending: DataFrame, tag: str, on_error: str = "exclude") -> DataFrame:
+def with_trending(posts: DataFrame, trending: DataFrame, tag: str, on_error: str = "exclude", now: datetime | None = None, age: timedelta = TOPIC_AGE) -> DataFrame:
     """``posts`` with ``is_trending``: whether the tag is among the topics now, the same for all posts.
 
-    A table without topics is a failed lookup and follows ``on_error``.
+    With ``now``, ``trending`` has ``checked_at`` and only the newest list as of then counts,
+    if it is younger than ``age``.  A table without topics is a failed lookup and follows
+    ``on_error``.
     """
-    topic = tag.lower().removeprefix("#")
-    found = trending.agg(F.count("topic").alias("n"), F.coalesce(F.bool_or(F.lower("topic") == topic), F.lit(False)).alias("hit"))  # one row
+    if now is not None:
+        trending = newest_topics(trending, now, age)
+    plain = lambda c: F.regexp_replace(F.lower(F.trim(c)), "^#", "")
+    topic = tag.strip().lower().removeprefix("#")
+    found = trending.agg(F.count("topic").alias("n"), F.coalesce(F.bool_or(plain(F.col("topic")) == topic), F.lit(False)).alias("hit"))  # one row
     found = found.select(_on_error(on_error, F.col("n") > 0, F.col("hit")).alias("is_trending"))
     return posts.join(F.broadcast(found))
 

@@ -76,6 +76,8 @@ def _value(column: Column, kind: T.DataType, below: dict, path: str) -> Column:
 
 
 def images(posts: DataFrame) -> DataFrame:
-    """One row an image, with ``store`` if the posts have one; a limit on these rows limits images."""
+    """One row an image, with ``store`` and ``aspect`` (width and height) if the posts have them; a limit on these rows limits images."""
     own = [c for c in ("store", "uri", "author") if c in posts.columns]
-    return posts.select(*own, F.explode("images").alias("i")).select(*own, "i.fullsize", "i.thumb", "i.alt")
+    shown = posts.select(*own, F.explode("images").alias("i"))
+    has = "aspect" in shown.schema["i"].dataType.names
+    return shown.select(*own, "i.fullsize", "i.thumb", "i.alt", *(["i.aspect"] if has else []))

@@ -52,6 +52,27 @@ def keep_posts(spark: SparkSession, sf_dir: str, path: str) -> None:
     KEPT[sf_dir] = path
 
 
+#: Folders of indexes and of derived states that were made before, by their kind and the folder of the tables.
+MADE: dict[tuple[str, str], str] = {}
+
+
+def made_before(spark: SparkSession, sf_dir: str, kind: str, make) -> str:
+    """The folder that ``make(folder)`` has filled: a kept one, as a store's user would have it, or a new one."""
+    if (kind, sf_dir) in MADE:
+        return MADE[kind, sf_dir]
+    from .streams import new_folder
+
+    path = new_folder(spark)
+    make(path)
+    return path
+
+
+def keep(spark: SparkSession, sf_dir: str, kind: str, make, path: str) -> None:
+    """Make an index or a derived state once, for later queries."""
+    make(path)
+    MADE[kind, sf_dir] = path
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_posts(spark, KEPT[sf_dir]) if sf_dir in KEPT else made_posts(spark, sf_dir)
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import iso, score
@@ -100,6 +101,40 @@ def p_valid_links_include(spark, d):
     return p.with_valid_links(posts(spark, d), _status(spark, d), on_error="include").where("has_valid_links").select("uri")
 
 
+_NOW = datetime(2024, 1, 10, 12)
+
+
+def _checks(spark, d):
+    """Several checks of every link: an old one 200, a newer one by the host's number, one from the future, and stale ones alone for host 4."""
+    link = posts(spark, d).select(F.explode("links").alias("url")).distinct().withColumn("n", F.regexp_extract("url", r"//host(\d)", 1).cast("int"))
+    ago = lambda hours, status: F.struct(F.lit(hours).cast("double").alias("hours"), F.lit(status).alias("status"))
+    newer = F.when(F.col("n") == 0, F.array(ago(5, 404), ago(1, 200))).when(F.col("n") == 1, F.array(ago(5, 200), ago(1, 404))).when(F.col("n") == 2, F.array(ago(5.9, 302), ago(-1, 500))).when(F.col("n") == 3, F.array(ago(6, 200), ago(-1, 200))).otherwise(F.array(ago(30, 200)))
+    checks = link.select("url", F.explode(newer).alias("c"))
+    at = F.lit(str(_NOW)).cast("timestamp_ntz") - F.make_dt_interval(secs=(F.col("c.hours") * 3600).cast("decimal(18,6)"))
+    return checks.select("url", F.col("c.status").alias("status"), at.alias("checked_at"))
+
+
+@query(f"{POSTS} SELECT uri, len(links) > 0 AND event_id // 20 % 5 IN (0, 2) AS has_valid_links FROM posts")
+def p_valid_links_as_of(spark, d):
+    """Only the newest check of a link counts, if it is younger than six hours."""
+    return p.with_valid_links(posts(spark, d), _checks(spark, d), now=_NOW).select("uri", "has_valid_links")
+
+
+@query(f"{POSTS} SELECT uri FROM posts WHERE len(links) > 0 AND event_id // 20 % 5 <> 1")
+def p_valid_links_as_of_include(spark, d):
+    return p.with_valid_links(posts(spark, d), _checks(spark, d), on_error="include", now=_NOW).where("has_valid_links").select("uri")
+
+
+@query(f"""{POSTS}, topics AS (SELECT event_type AS topic, row_number() OVER (ORDER BY sum(score) DESC, event_type) AS n FROM posts GROUP BY event_type)
+SELECT uri, (SELECT count(*) FROM topics WHERE n > 2 AND topic = 'view') > 0 AS is_trending FROM posts""")
+def p_trending_as_of(spark, d):
+    """Two lists of topics are fresh, a newer one is from the future; the newest fresh one has all but the two most popular."""
+    all_ = posts(spark, d)
+    ranked = all_.groupBy(F.col("event_type").alias("topic")).agg(F.sum(score()).alias("s")).withColumn("n", F.row_number().over(Window.orderBy(F.desc("s"), "topic")))  # a row a type
+    lists = lambda condition, minutes: ranked.where(condition).select(F.concat(F.lit(" #"), F.upper("topic")).alias("topic"), F.lit(str(_NOW - timedelta(minutes=minutes))).cast("timestamp_ntz").alias("checked_at"))
+    return p.with_trending(all_, lists("n <= 2", 9).union(lists("n > 2", 4)).union(lists("n > 0", -1)), "#View", now=_NOW).select("uri", "is_trending")
+
+
 @query(f"""{POSTS}, topics AS (SELECT event_type AS topic FROM posts GROUP BY event_type ORDER BY sum(score) DESC, event_type LIMIT 2)
 SELECT uri, (SELECT count(*) FROM topics WHERE topic = 'view') > 0 AS is_trending FROM posts""")
 def p_trending(spark, d):

@@ -8,7 +8,18 @@ from ..functions.text import iso
 from ..operators import graph as g
 from ..operators import images as im
 from ..operators import search as s
-from .base import IMAGES, POSTS, did, posts, query, table
+from ..operators import search_index as si
+from .base import IMAGES, ORACLES, POSTS, did, made_before, posts, query, table
+from .streams import new_folder
+
+def search_index(spark, d):
+    """Makes the inverted index of all posts."""
+    return lambda path: si.add_posts(posts(spark, d), path, 0)
+
+
+def _index(spark, d):
+    return made_before(spark, d, "index", search_index(spark, d))
+
 
 _WORDS = POSTS + r""", words AS (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM posts)"""
 
@@ -25,14 +36,31 @@ def t_boolean(spark, d):
 
 @query(f"{_WORDS} SELECT uri FROM words WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')")
 def t_phrase(spark, d):
-    return s.indexed(posts(spark, d), ("text",)).where(s.matches(phrase="of the")).select("uri")
+    """From the positions of two terms."""
+    return si.phrase(spark, _index(spark, d), "of the", ("text",))
 
 
 @query(f"{IMAGES} SELECT DISTINCT uri FROM images WHERE contains(alt, 'photo 1 ')")
 def t_alt_only(spark, d):
+    return si.phrase(spark, _index(spark, d), "photo 1", ("alt",))
+
+
+@query(f"{IMAGES} SELECT DISTINCT uri FROM images WHERE contains(alt, 'photo 1 ')")
+def t_alt_scan(spark, d):
+    """The same without an index."""
     return s.indexed(posts(spark, d), ("alt",)).where(s.matches(phrase="photo 1")).select("uri")
 
 
+@query(f"{_WORDS} SELECT uri FROM words WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')")
+def t_phrase_scan(spark, d):
+    return s.indexed(posts(spark, d), ("text",)).where(s.matches(phrase="of the")).select("uri")
+
+
+@query(f"{_WORDS} SELECT uri FROM words WHERE list_contains(w, 'the') AND (list_contains(w, 'was') OR list_contains(w, 'is')) AND NOT list_contains(w, 'click')")
+def t_boolean_index(spark, d):
+    return si.matching(spark, _index(spark, d), ["the"], ["was", "is"], ["click"], ("text",))
+
+
 @query(f"{_WORDS} SELECT uri, iso AS created FROM words WHERE list_contains(w, 'the') ORDER BY created_at DESC, uri DESC LIMIT 25 OFFSET 25")
 def t_newest(spark, d):
     found = s.indexed(posts(spark, d), ("text",)).where(s.matches(["the"]))
@@ -57,9 +85,27 @@ total AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (f0 > 0) AS d
 SELECT uri, round(ln((docs - d0 + 0.5) / (d0 + 0.5) + 1) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * n / mean)) + ln((docs - d1 + 0.5) / (d1 + 0.5) + 1) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * n / mean)), 9) AS rank
 FROM freq, total WHERE f0 > 0 AND f1 > 0""")
 def t_bm25(spark, d):
+    """From the postings of two terms."""
+    return si.bm25(spark, _index(spark, d), "the View").select("uri", F.round("rank", 9).alias("rank"))
+
+
+@query(ORACLES["t_bm25"])
+def t_bm25_scan(spark, d):
+    """The same ranks without an index, from the texts."""
     return s.bm25(posts(spark, d), "the View").select("uri", F.round("rank", 9).alias("rank"))
 
 
+@query(ORACLES["t_bm25"])
+def t_bm25_batches(spark, d):
+    """The same ranks from an index that got its posts in two batches, some of them with another text at first."""
+    rows, path = posts(spark, d), new_folder(spark)
+    old = rows.where("event_id % 3 = 0").withColumn("text", F.when(F.col("event_id") % 2 == 0, F.concat("text", F.lit(" the view"))).otherwise(F.col("text")))
+    si.add_posts(old, path, 0)
+    si.remove_posts(old.where("event_id % 2 = 0"), path, 1)
+    si.add_posts(rows.where("event_id % 3 <> 0 or event_id % 2 = 0"), path, 2)
+    return si.bm25(spark, path, "the View").select("uri", F.round("rank", 9).alias("rank"))
+
+
 @query(f"{IMAGES} SELECT DISTINCT 'full' AS variant, fullsize AS url FROM images UNION SELECT DISTINCT 'thumb', thumb FROM images")
 def i_refs(spark, d):
     return im.references(posts(spark, d), thumbs=True)

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import changelog as c
 from ..operators import predicates as p
-from .base import LOG, log, posts, query
+from ..operators.graph import saved
+from ..sources import current
+from .base import LOG, log, made_before, posts, query
+from .streams import new_folder
 
 _MATCH = "list_contains(hashtags, '#click') AND coalesce(like_count, 0) >= 5"
 _KINDS = f"""{LOG}, marked AS (SELECT *, op = 'U' AND ({_MATCH}) AS m, sum(CASE WHEN op = 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY uri ORDER BY seq) AS epoch FROM post_log),
@@ -83,10 +86,38 @@ def l_derive(spark, d):
 
 @query(f"{_KINDS} SELECT seq, op, uri FROM kinds WHERE kind <> 'skipped' AND seq > {_CUT}")
 def l_derive_incremental(spark, d):
+    """The further rows of a derived store whose current posts are on disk, by bucket."""
     rows = log(spark, d)
-    cut = _cut(rows)
-    first = c.derive(rows.where(F.col("seq") <= cut), _filter(), "all")
-    return c.derive_incremental(rows, _filter(), "all", first, cut).select("seq", "op", "uri")
+    path = made_before(spark, d, "derived", derived_state(spark, d))
+    return c.derive_onto(rows, _filter(), "all", path, _schema(rows), _cut(rows)).select("seq", "op", "uri")
+
+
+def _schema(rows):
+    return rows.select("seq", "op", "uri", "like_count").schema
+
+
+def derived_state(spark, d):
+    """Makes the current posts of the store derived from the log's first part."""
+
+    def make(path):
+        rows = log(spark, d)
+        first = c.derive(rows.where(F.col("seq") <= _cut(rows)), _filter(), "all").select("seq", "op", "uri", "like_count")
+        current.merge(spark, path, first, first.schema)
+
+    return make
+
+
+@query(f"""{_KINDS} SELECT uri, seq, like_count FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY seq DESC) AS last FROM kinds WHERE kind <> 'skipped') WHERE last = 1 AND op = 'U'""")
+def l_state_merged(spark, d):
+    """A derived store's current posts after three increments, each merged into the buckets that it touches."""
+    rows = log(spark, d)
+    path, schema, end = new_folder(spark), _schema(rows), int(rows.agg(F.max("seq")).first()[0] or 0)
+    for k in range(3):
+        part = rows.where(F.col("seq") <= (k + 1) * end // 3) if k < 2 else rows
+        more = c.derive_onto(part, _filter(), "all", path, schema, k * end // 3 if k else -1).select(*schema.names)
+        current.merge(spark, path, saved(more), schema)
+    current.clean(spark, path)
+    return current.read_state(spark, path, schema).select("uri", "seq", "like_count")
 
 
 @query(f"{_KINDS} SELECT count(*) AS processed, count(*) FILTER (kind = 'matched') AS matched, count(*) FILTER (kind = 'skipped') AS skipped, count(*) FILTER (kind = 'delete') AS deletes FROM kinds")

@@ -10,12 +10,19 @@ from ..operators import normalize as n
 from ..operators import predicates as p
 from ..sources import ndjson
 from .base import POSTS, did, posts, query
+from .streams import new_folder
 
 _BROKEN = "event_id % 50 = 49"
 
 
+def _zoned():
+    """A post's time, of some with an offset."""
+    with_offset = lambda hours, text: F.date_format(F.col("created_at") + F.expr(f"interval {hours} hours"), f"yyyy-MM-dd'T'HH:mm:ss.SSS'{text}'")
+    return F.when(F.col("event_id") % 9 == 2, with_offset(2, "+02:00")).when(F.col("event_id") % 9 == 5, with_offset(-8, "-0800")).otherwise(iso(F.col("created_at")))
+
+
 def raw_lines(spark, d):
-    """Every post as a line of raw JSON; unknown likes are -1, some lines are broken and some metrics below -1."""
+    """Every post as a line of raw JSON; unknown likes are -1, some lines are broken, some counts below -1 or text, and some times have an offset."""
     p = posts(spark, d)
     e = F.col("event_id")
     image = F.when(F.size("images") > 0, F.struct(F.lit("Images").alias("type"), F.transform("images", lambda i: F.struct(i["fullsize"].alias("fullsize"), i["thumb"].alias("thumb"), F.coalesce(i["alt"], F.lit("  ")).alias("alt"))).alias("images")))
@@ -25,11 +32,12 @@ def raw_lines(spark, d):
     embed = F.coalesce(*map(F.to_json, (image, quote, video, card)))
     facets = F.when(F.size("mention_dids") > 0, F.array(F.struct(F.transform("mention_dids", lambda m: F.struct(F.lit("mention").alias("type"), m.alias("did"))).alias("features"))))
     reply = F.when(F.col("is_reply"), F.struct(F.struct(F.col("reply_root_uri").alias("uri")).alias("root"), F.struct(F.col("reply_parent_uri").alias("uri")).alias("parent")))
-    record = F.struct(F.concat("text", F.lit(" @U"), "user_id", F.lit(".Test see https://a.example/"), e % 4, F.lit(". #"), "source").alias("text"), iso(F.col("created_at")).alias("createdAt"), facets.alias("facets"), reply.alias("reply"), F.transform("langs", F.upper).alias("langs"), F.array("source").alias("tags"))
-    metrics = F.struct(F.when(e % 70 == 69, -2).otherwise(F.coalesce("like_count", F.lit(-1))).alias("likeCount"), F.col("repost_count").alias("repostCount"), F.col("reply_count").alias("replyCount"), F.col("quote_count").alias("quoteCount"))
+    record = F.struct(F.concat("text", F.lit(" @U"), "user_id", F.lit(".Test see https://a.example/"), e % 4, F.lit(". #"), "source").alias("text"), _zoned().alias("createdAt"), facets.alias("facets"), reply.alias("reply"), F.transform("langs", F.upper).alias("langs"), F.array("source").alias("tags"))
+    metrics = F.struct(F.when(e % 70 == 69, -2).otherwise(F.coalesce("like_count", F.lit(-1))).alias("likeCount"), F.col("repost_count").alias("repostCount"), F.col("reply_count").alias("replyCount"), F.col("quote_count").alias("quoteCount"), F.when(e % 70 == 68, -5).when(e % 2 == 0, 3).alias("bookmarkCount"))
     feed = F.when(F.col("is_repost"), F.struct(F.struct(F.lit("repost").alias("type"), F.col("repost_by_did").alias("byDid")).alias("reason")))
     line = F.to_json(F.struct("uri", F.upper("author").alias("author"), F.col("author_did").alias("authorDid"), metrics.alias("metrics"), record.alias("record"), feed.alias("feed")))
     # each step through explode: its text is made once, however often it is used
+    line = F.when(e % 70 == 67, F.regexp_replace(line, r'"likeCount":-?\d+', '"likeCount":"many"')).otherwise(line)
     p = p.select("event_id", embed.alias("embed"), F.explode(F.array(line)).alias("line"))
     whole = F.when(F.col("embed").isNotNull(), F.concat(F.regexp_replace("line", r"\}$", ""), F.lit(',"embed":'), "embed", F.lit("}"))).otherwise(F.col("line"))
     return p.select("event_id", F.explode(F.array(F.when(e % 50 == 49, F.substring(whole, 1, 40)).otherwise(whole))).alias("line"))
@@ -39,7 +47,7 @@ def _posts(spark, d):
     return ndjson.decode(raw_lines(spark, d))[0]
 
 
-RAW = f"""{POSTS}, taken AS (SELECT *, text || ' @U' || user_id || '.Test see https://a.example/' || (event_id % 4) || '. #' || source AS whole FROM posts WHERE NOT ({_BROKEN}) AND event_id % 70 <> 69)"""
+RAW = f"""{POSTS}, taken AS (SELECT *, text || ' @U' || user_id || '.Test see https://a.example/' || (event_id % 4) || '. #' || source AS whole FROM posts WHERE NOT ({_BROKEN}) AND event_id % 70 < 67)"""
 
 
 @query(f"{RAW} SELECT uri, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), '|') AS hashtags FROM (SELECT uri, list_concat(regexp_extract_all(whole, '{HASHTAG}'), ['#' || source]) AS t FROM taken)")
@@ -76,15 +84,31 @@ def n_embed_summary(spark, d):
     return _posts(spark, d).where("embed_summary is not null").select("uri", *[F.col(f"embed_summary.{c}").alias(c) for c in ("type", "image_count", "all_alt", "first_thumb", "external_uri", "record_uri", "record_author")])
 
 
-@query(f"{POSTS} SELECT event_id, CASE WHEN {_BROKEN} THEN 'not a post' ELSE 'bad metric' END AS reason FROM posts WHERE {_BROKEN} OR event_id % 70 = 69")
+@query(f"{POSTS} SELECT event_id, CASE WHEN {_BROKEN} THEN 'not a post' ELSE 'bad metric' END AS reason FROM posts WHERE {_BROKEN} OR event_id % 70 >= 67")
 def n_rejects(spark, d):
     return ndjson.apply_policy(ndjson.decode(raw_lines(spark, d))[1], "report").select("event_id", "reason")
 
 
+@query(f"""{POSTS}, named AS (SELECT event_id, event_id // 500 AS k, {_BROKEN} AS broken, event_id % 70 >= 67 AS bad, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) AS number FROM posts)
+SELECT k::BIGINT AS k, number, CASE WHEN broken THEN 'not a post' ELSE 'bad metric' END AS reason FROM named WHERE broken OR bad""")
+def n_reject_lines(spark, d):
+    """Where bad lines are in their files, of which each holds five hundred posts."""
+    path = new_folder(spark)
+    k = F.floor(F.col("event_id") / 500)
+    lines = raw_lines(spark, d).select("line", "event_id", k.alias("k"), F.lit(0).alias("half"))
+    blank = lines.where("event_id % 10 = 3").withColumns({"line": F.lit("  "), "half": F.lit(1)})
+    dealt = lines.unionByName(blank).repartition("k").sortWithinPartitions("k", "event_id", "half").select("k", "line")
+    dealt.write.option("maxRecordsPerFile", 0).partitionBy("k").text(path)
+    read = ndjson.read_lines(spark, path)
+    rejects = ndjson.with_line_numbers(ndjson.decode(read)[1], read)
+    return rejects.select(F.regexp_extract("file", r"k=(\d+)", 1).cast("bigint").alias("k"), "number", "reason")
+
+
 def mixed_lines(spark, d):
     """Lines of all shapes: raw, normalised posts, and these with their store; some are broken."""
     p = posts(spark, d)
-    own = F.struct("uri", "author", F.col("author_did").alias("authorDid"), "text", iso(F.col("created_at")).alias("createdAt"), "hashtags", "links", "langs", F.struct(F.coalesce("like_count", F.lit(-1)).alias("likeCount")).alias("metrics"))
+    likes = F.when(F.col("event_id") % 70 >= 67, 1.5).otherwise(F.coalesce("like_count", F.lit(-1)))
+    own = F.struct("uri", "author", F.col("author_did").alias("authorDid"), "text", _zoned().alias("createdAt"), "hashtags", "links", "langs", F.struct(likes.alias("likeCount")).alias("metrics"))
     stored = F.struct(F.lit("main").alias("store"), own.alias("post"))
     line = F.when(F.col("event_id") % 50 == 49, "{broken").when(F.col("event_id") % 3 == 1, F.to_json(own)).otherwise(F.to_json(stored))
     return raw_lines(spark, d).where("event_id % 3 = 0").unionByName(p.where("event_id % 3 <> 0").select("event_id", line.alias("line")))
@@ -96,13 +120,13 @@ def n_shapes(spark, d):
 
 
 @query(f"""{RAW} SELECT uri, author, iso AS created, CASE WHEN event_id % 3 = 0 THEN whole ELSE text END AS text, like_count, array_to_string(langs, '|') AS langs
-FROM (SELECT *, text || ' @U' || user_id || '.Test see https://a.example/' || (event_id % 4) || '. #' || source AS whole FROM posts WHERE NOT ({_BROKEN}) AND NOT (event_id % 3 = 0 AND event_id % 70 = 69))""")
+FROM (SELECT *, text || ' @U' || user_id || '.Test see https://a.example/' || (event_id % 4) || '. #' || source AS whole FROM posts WHERE NOT ({_BROKEN}) AND event_id % 70 < 67)""")
 def n_decoded(spark, d):
     """Posts of all three shapes."""
     return ndjson.decode(mixed_lines(spark, d))[0].select("uri", "author", iso(F.col("created_at")).alias("created"), "text", "like_count", F.array_join("langs", "|").alias("langs"))
 
 
-@query(f"{POSTS} SELECT count(*) FILTER (event_id >= 40 AND coalesce(like_count, 0) >= 2) AS added, count(*) FILTER (NOT (event_id >= 40 AND coalesce(like_count, 0) >= 2)) + (SELECT count(*) FROM posts WHERE {_BROKEN} OR (event_id % 3 = 0 AND event_id % 70 = 69)) AS skipped, (SELECT count(*) FROM posts WHERE {_BROKEN} OR (event_id % 3 = 0 AND event_id % 70 = 69)) AS errors FROM posts WHERE NOT ({_BROKEN} OR (event_id % 3 = 0 AND event_id % 70 = 69))")
+@query(f"{POSTS} SELECT count(*) FILTER (event_id >= 40 AND coalesce(like_count, 0) >= 2) AS added, count(*) FILTER (NOT (event_id >= 40 AND coalesce(like_count, 0) >= 2)) + (SELECT count(*) FROM posts WHERE {_BROKEN} OR event_id % 70 >= 67) AS skipped, (SELECT count(*) FROM posts WHERE {_BROKEN} OR event_id % 70 >= 67) AS errors FROM posts WHERE NOT ({_BROKEN} OR event_id % 70 >= 67)")
 def l_ingest(spark, d):
     """Counts of one batch: the first forty posts are there already, and a filter is on."""
     return c.ingest_batch(posts(spark, d).where("event_id < 40"), mixed_lines(spark, d), p.engagement(likes=2))[1]

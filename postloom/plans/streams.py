@@ -55,16 +55,30 @@ def s_commits_stream(spark, d):
     return c.replay(ingest.read_log(spark, root, schema)).select("uri", "seq", "like_count")
 
 
-@query(f"""{POSTS}, hours AS (SELECT date_trunc('hour', created_at) AS h, count(*) AS posts, sum(score)::BIGINT AS engagement FROM posts GROUP BY 1)
-SELECT strftime(h, '%Y-%m-%dT%H:00:00Z') AS bucket, posts, engagement FROM hours WHERE h + INTERVAL 1 HOUR <= (SELECT max(created_at) - INTERVAL 1 HOUR FROM posts)""")
+@query(f"""{LOG}, part AS (SELECT *, seq > (SELECT max(seq) // 2 FROM post_log) AS late FROM post_log), kept AS (SELECT *, lag(op) OVER (PARTITION BY uri ORDER BY seq) AS b FROM part WHERE op = 'D' OR CASE WHEN late THEN coalesce(like_count, 0) >= 8 ELSE coalesce(like_count, 0) >= 3 END),
+took AS (SELECT * FROM kept WHERE seq % 10 = 3 OR CASE WHEN op = 'D' THEN b IS NOT NULL AND b = 'U' ELSE b IS NULL OR b = 'D' END)
+SELECT uri, seq, CASE WHEN op = 'D' THEN 'D' ELSE 'U' END AS op, like_count FROM took""")
+def s_commits_resumed(spark, d):
+    """The log after two runs with two filters: the second one starts from what the first has stored."""
+    root, rows = new_folder(spark), _commits(spark, d)
+    cut = (rows.agg(F.max("seq")).first()[0] or 0) // 2
+    for number, (part, likes) in enumerate(((F.col("seq") <= cut, 3), (F.col("seq") > cut, 8))):
+        _staged(rows.where(part), f"{root}/in{number}", F.col("seq"))
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in{number}")
+        ingest.ingest_commits(stream, root, p.engagement(likes=likes)).awaitTermination()
+    return ingest.read_log(spark, root, rows.schema).select("uri", "seq", "op", "like_count")
+
+
+@query(f"""{POSTS}, hours AS (SELECT date_trunc('hour', created_at) AS h, count(*) AS posts, count(DISTINCT author) AS authors, sum(score)::BIGINT AS engagement FROM posts GROUP BY 1)
+SELECT strftime(h, '%Y-%m-%dT%H:00:00Z') AS bucket, posts, authors, engagement FROM hours WHERE h + INTERVAL 1 HOUR <= (SELECT max(created_at) - INTERVAL 1 HOUR FROM posts)""")
 def s_live_buckets(spark, d):
     root = new_folder(spark)
     rows = posts(spark, d).select("uri", "author", F.col("created_at").cast("timestamp").alias("created_at"), "like_count", "repost_count", "reply_count", "quote_count")
     _staged(rows, f"{root}/in", F.unix_micros("created_at"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    done = ingest.live_buckets(stream).writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoints/buckets").trigger(availableNow=True).start(f"{root}/out", format="parquet")
+    done = ingest.exact_buckets(stream).writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoints/buckets").trigger(availableNow=True).start(f"{root}/out", format="parquet")
     done.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select(F.date_format("start", "yyyy-MM-dd'T'HH':00:00Z'").alias("bucket"), "posts", "engagement")
+    return spark.read.parquet(f"{root}/out").select(F.date_format("start", "yyyy-MM-dd'T'HH':00:00Z'").alias("bucket"), "posts", "authors", "engagement")
 
 
 @query(f"{LOG} SELECT seq, op, uri FROM post_log")

@@ -4,51 +4,59 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import iso, markdown_cell
 from ..operators import normalize as n
-from .schema import COMMIT, LINE, POST
+from .schema import COMMIT, LINE
 
 #: Fixed value: the collection whose commits are posts.
 POST_COLLECTION = "app.bsky.feed.post"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    """Lines of text files that are not blank, with ``file``, ``split`` (where the piece of the file that a task reads begins) and ``place``, which ascends within a split."""
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
+    some = spark.read.text(path).select(F.col("value").alias("line"), *where).where(F.trim("line") != "")
+    return some.withColumn("place", F.monotonically_increasing_id())
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
-    """Non-blank lines with ``parsed`` and ``shape``: raw, stored, post, or null where a line is broken."""
+def with_line_numbers(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``rows`` that come from ``lines`` of ``read_lines``, with ``number``: the line's place among its file's non-blank lines, from 1.
+
+    A split's lines have ascending places without gaps, so its first place and its number of
+    lines, a row a split, with the sums over a file's earlier splits say all; no line is
+    shuffled.  Both reads have to see the same files under the same settings.
+    """
+    splits = lines.groupBy("file", "split").agg(F.min("place").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return rows.join(splits, ["file", "split"]).withColumn("number", F.col("place") - F.col("_first") + F.col("_before") + 1).drop("_first", "_before")
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """Non-blank lines with ``parsed``, ``shape`` (raw, stored, post, or null where a line is broken) and ``reason``, null where it is a post."""
     # through explode, each line is parsed once and not once a field that is read from it
     some = lines.where(F.trim("line") != "").withColumn("parsed", F.explode(F.array(F.from_json("line", LINE))))
     j = F.col("parsed")
-    return some.withColumn("shape", F.when(j["record"].isNotNull() & j["uri"].isNotNull(), "raw").when(j["post"]["uri"].isNotNull(), "stored").when(j["uri"].isNotNull() & j["text"].isNotNull(), "post"))
+    some = some.withColumn("shape", F.when(j["record"].isNotNull() & j["uri"].isNotNull(), "raw").when(j["post"]["uri"].isNotNull(), "stored").when(j["uri"].isNotNull() & j["text"].isNotNull(), "post"))
+    return some.withColumn("reason", n.reject_reason(j, F.col("shape")))
 
 
 def decode(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Posts from ``lines(line)`` of any of the three shapes, and the lines that are none with ``reason``.
 
     Raw posts are normalised, the others taken as they are.  Blank lines are dropped; other
-    columns of ``lines`` stay with the rejects.
+    columns of ``lines`` stay with the rejects.  Either result parses each line once.
     """
-    some = _parsed(lines).withColumn("post", F.when(F.col("shape") == "stored", F.col("parsed.post")).when(F.col("shape") == "post", _fields("parsed", POST)))
-    reason = F.when(F.col("shape").isin("stored", "post"), n.post_reject_reason(F.col("post"))).otherwise(n.reject_reason(F.col("parsed")))
-    some = some.withColumn("reason", reason)
-    good = some.where("reason is null")
-    raw = n.normalize(good.where("shape = 'raw'").select(F.col("parsed").alias("raw")))
-    own = n.from_normalized(good.where("shape <> 'raw'").select("post"))
-    return raw.unionByName(own), some.where("reason is not null").drop("parsed", "post", "shape")
-
-
-def _fields(column: str, kind) -> Column:
-    return F.struct(*[F.col(f"{column}.{f.name}").alias(f.name) for f in kind])
+    some = parsed_lines(lines)
+    return n.posts_of(some.where("reason is null").select("parsed", "shape")), some.where("reason is not null").drop("parsed", "shape")
 
 
 def shape_of(lines: DataFrame) -> DataFrame:
     """``lines`` with ``shape``: raw, stored or post, or null where a line is broken."""
-    return _parsed(lines).drop("parsed")
+    return parsed_lines(lines).drop("parsed", "reason")
 
 
 def apply_policy(rejects: DataFrame, policy: str) -> DataFrame:

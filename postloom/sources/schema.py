@@ -11,14 +11,15 @@ def struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
-IMAGE = struct(fullsize=S, thumb=S, alt=S)
+IMAGE = struct(fullsize=S, thumb=S, alt=S, aspectRatio=struct(width=T.DoubleType(), height=T.DoubleType()))
 EXTERNAL = struct(uri=S, title=S, description=S)
 RECORD = struct(type=S, uri=S, authorDid=S, authorHandle=S)
 MEDIA = struct(type=S, images=A(IMAGE), external=EXTERNAL)
 EMBED = struct(type=S, images=A(IMAGE), external=EXTERNAL, record=RECORD, media=MEDIA, rawType=S, data=S)
 FACET = struct(features=A(struct(type=S, did=S, uri=S, tag=S)))
 REPLY = struct(root=struct(uri=S, cid=S), parent=struct(uri=S, cid=S))
-METRICS = struct(replyCount=L, repostCount=L, likeCount=L, quoteCount=L, bookmarkCount=L)
+#: Kept as they come, since a count that is text or has a fraction is told from a number without.
+METRICS = T.VariantType()
 REASON = struct(type=S, byDid=S, byHandle=S)
 RAW_POST = struct(
     uri=S, cid=S, author=S, authorDid=S, indexedAt=S, metrics=METRICS, embed=EMBED, feed=struct(reason=REASON),

@@ -47,8 +47,20 @@ def exists(posts: DataFrame, uri: str) -> bool:
     return not by_uri(posts, uri).isEmpty()
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if it does not exist."""
+    fs, where = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
 def reset(spark: SparkSession, path: str) -> None:
-    """Clear a store's posts, log and checkpoints, so that a derivation can start over."""
-    for part in ("posts", "log", "checkpoints"):
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    """Clear a store's posts, log, checkpoints and cursors, so that a derivation can start over."""
+    for part in ("posts", "log", "checkpoints", "cursors", "state"):
+        fs, where = file_system(spark, f"{path}/{part}")
+        fs.delete(where, True)

@@ -65,3 +65,96 @@ def test_round_trip_and_shapes(spark, tmp_path):
     good, _ = ndjson.decode(lines)
     ndjson.write_json(good.select("uri", "text"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).first()["text"] == "hi"
+
+
+def created(row):
+    return row["created_at"].isoformat(sep=" ")
+
+
+def shapes(uri="at://a/1", when="2026-02-01T10:15:00Z", metrics=None):
+    own = {"uri": uri, "author": "A.Test", "text": "hi", "createdAt": when} | ({"metrics": metrics} if metrics is not None else {})
+    raw = post(uri=uri, record={"text": "hi", "createdAt": when}) | ({"metrics": metrics} if metrics is not None else {})
+    return [raw, own, {"store": "s", "post": own}]
+
+
+TIMES = {
+    "2026-01-01T02:00:00+02:00": "2026-01-01 00:00:00",
+    "2026-01-01T02:00:00.5-0330": "2026-01-01 05:30:00.500000",
+    "2026-01-01T02:00:00.123456Z": "2026-01-01 02:00:00.123000",
+    "2026-01-01T02:00:00": "2026-01-01 02:00:00",
+    "2026-01-01": "2026-01-01 00:00:00",
+    "1969-12-31T23:00:00.250-01:00": "1970-01-01 00:00:00.250000",
+}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_times_with_offsets(spark, zone):
+    """The same instant in UTC for every shape, whatever the session's zone."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        bad_times = ["soon", "2026-13-01T00:00:00Z", "2026-01-01T02:00:00+99:99"]
+        lines = [x for k, when in enumerate([*TIMES, *bad_times]) for x in shapes(f"at://a/{k}", when)]
+        rows, bad = decode(spark, *lines)
+        want = [(f"at://a/{k}", w, w[:10]) for k, w in enumerate(TIMES.values()) for _ in range(3)]
+        assert sorted((r["uri"], created(r), str(r["created_date"])) for r in rows) == sorted(want)
+        assert [r["reason"] for r in bad.collect()] == ["bad record"] * 9
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+#: A count and what it becomes.
+VALUES = [(0, 0), (-1, None), (None, None), (7.0, 7), (1e3, 1000), (-2, "bad"), (1.5, "bad"), ("5", "bad"), ("abc", "bad"), (True, "bad"), ([1], "bad")]
+
+
+def test_metrics_of_all_shapes(spark):
+    given = [(name, k, value, fine) for name in ("likeCount", "bookmarkCount") for k, (value, fine) in enumerate(VALUES)]
+    rows, bad = decode(spark, *[x for name, k, value, _ in given for x in shapes(f"at://{name}/{k}", metrics={name: value, "replyCount": 2})])
+    want = [(f"at://{name}/{k}", fine if name == "likeCount" else None, 2) for name, k, _, fine in given for _ in range(3) if fine != "bad"]
+    key = lambda r: str(r)
+    assert sorted(((r["uri"], r["like_count"], r["reply_count"]) for r in rows), key=key) == sorted(want, key=key)
+    assert [r["reason"] for r in bad.collect()] == ["bad metric"] * 3 * sum(fine == "bad" for *_, fine in given)
+
+
+def test_aspect_of_images(spark):
+    from postloom.operators import projection
+
+    image = {"fullsize": "f", "thumb": "t", "alt": "a"}
+    lines = spark.createDataFrame([(json.dumps(post(embed={"type": "Images", "images": [image | {"aspectRatio": {"width": 4, "height": 3}}, image, image | {"aspectRatio": {"width": 4}}]})),)], "line string")
+    shown = projection.images(ndjson.decode(lines)[0]).collect()
+    assert [tuple(r["aspect"]) if r["aspect"] else None for r in shown] == [(4.0, 3.0), None, None]
+
+
+def test_line_numbers_over_splits_and_files(spark, tmp_path):
+    """Numbers count a file's non-blank lines, however many tasks read it."""
+    want = {}
+    for name, n in (("a", 3000), ("b", 17), ("c", 900)):
+        lines, number = [], 0
+        for k in range(n):
+            if k % 7 == 3:
+                lines.append("   ")
+                continue
+            number += 1
+            bad = k % 50 == 9
+            lines.append("{broken" if bad else json.dumps(post(uri=f"at://{name}/{k}")))
+            if bad:
+                want[name, number] = "not a post"
+        (tmp_path / f"{name}.ndjson").write_text("\n".join(lines) + "\n")
+    for size in ("20000", "134217728"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+        try:
+            read = ndjson.read_lines(spark, f"file://{tmp_path}")
+            assert size != "20000" or read.select("file", "split").distinct().count() > 10
+            rows = ndjson.with_line_numbers(ndjson.decode(read)[1], read).collect()
+            assert {(r["file"].rpartition("/")[2][0], r["number"]): r["reason"] for r in rows} == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([(json.dumps(post()),)], "line string")
+    plan = ndjson.decode(lines)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(") <= 2 or plan.count("LogicalRDD") == 1
+    assert "Union" not in plan
