@@ -147,9 +147,8 @@ def posts_of(lines: DataFrame) -> DataFrame:
     raw, get = shape == "raw", lambda field: shaped(parsed, shape, field)
     inner = parsed["record"]["embed"]
     unknown = F.when(raw & inner.isNotNull(), F.struct(*[(F.lit("Unknown") if f.name == "type" else F.get_json_object(inner, "$.type") if f.name == "rawType" else inner if f.name == "data" else F.lit(None).cast(f.dataType)).alias(f.name) for f in EMBED]))
-    # through explode, what is used often is worked out once a row
-    out = lines.withColumn("_p", F.explode(F.array(F.struct(F.coalesce(get("embed"), unknown).alias("embed"), get("feed")["reason"].alias("reason"), instant(get("createdAt")).alias("created"), get("text").alias("text"), get("metrics").alias("metrics"), get("reply").alias("reply")))))
-    embed, reason, created, text, metrics, reply = (F.col(f"_p.{c}") for c in ("embed", "reason", "created", "text", "metrics", "reply"))
+    out = lines.withColumn("_embed", F.explode(F.array(F.coalesce(get("embed"), unknown))))  # worked out once a row
+    embed, reason, created, text, metrics, reply = F.col("_embed"), get("feed")["reason"], instant(get("createdAt")), get("text"), get("metrics"), get("reply")
     facets = parsed["record"]["facets"]
     own = lambda field: F.coalesce(get(field), F.array().cast(_NONE))
     either = lambda made, field: F.when(raw, made).otherwise(own(field))

@@ -54,9 +54,21 @@ def postings_of(posts: DataFrame) -> DataFrame:
     return words.mapInArrow(rows, _POSTING)
 
 
+#: Rows and bytes in an Arrow batch of whole texts' words.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def _append(rows: DataFrame, path: str, batch: int, by_bucket: bool) -> None:
-    writer = rows.write.mode("overwrite")
-    (writer.partitionBy("bucket") if by_bucket else writer).parquet(f"{path}/batch={batch}")
+    conf = rows.sparkSession.conf
+    before = {k: conf.get(k, None) for k in _BATCH}
+    for k, v in _BATCH.items():
+        conf.set(k, v)
+    try:
+        writer = rows.write.mode("overwrite")
+        (writer.partitionBy("bucket") if by_bucket else writer).parquet(f"{path}/batch={batch}")
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def _counted(posts: DataFrame, postings: DataFrame, path: str, batch: int, sign: int) -> None:
@@ -130,8 +142,8 @@ def phrase(spark: SparkSession, path: str, text: str, fields: tuple[str, ...] =
     words = [w for w in text.lower().split() if w]
     terms = terms_of(text)
     by_field = postings(spark, path, terms, fields).groupBy("uri", "field").agg(*[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{k}") for k, t in enumerate(terms)])
-    starts = [F.transform(F.col(f"p{terms.index(w)}"), lambda x, k=k: x - k) for k, w in enumerate(words)]
-    shared = functools.reduce(F.array_intersect, starts)
+    earlier = lambda places, by: F.transform(places, lambda x: x - by)
+    shared = functools.reduce(F.array_intersect, [earlier(F.col(f"p{terms.index(w)}"), k) for k, w in enumerate(words)])
     return by_field.where(functools.reduce(lambda a, b: a & b, [F.col(f"p{k}").isNotNull() for k in range(len(terms))])).where(F.size(shared) > 0).select("uri").distinct()
 
 
