@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import collocations, conversation_repair, embedding_dedup, language_id, licenses, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, token_counts, tokenizing, url_filter
-from .common import id_remainder, table
+from .common import id_remainder, shared_dir, table
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,16 +66,18 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     """Tokens of every document, counted in flat files that hold all documents' ids and no index.
 
-    The files are written first: 16-bit ids of a byte-level tokenizer (``ranks`` is the path
-    of another file of ranks), 50256 after each document, in blocks of 65536 ids.
+    The files are written first, in the shared folder: 16-bit ids of a byte-level tokenizer
+    (``ranks`` is the path of another file of ranks), 50256 after each document.  They are read
+    in ranges of 4 MB.
     """
     if ranks is None:
         import public_tokenizers
 
         ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     where, end = str(ranks), 50_256
-    blocks, names = token_counts.write_stream(table(spark, sf_dir, "documents"), lambda: tokenizing.byte_encoder(where), end, block_ids=1 << 16, files=0)
-    found = token_counts.documents_in(blocks, end)
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    names = token_counts.write_files(table(spark, sf_dir, "documents"), lambda: tokenizing.byte_encoder(where), end, folder)
+    found = token_counts.documents_in(token_counts.read_blocks(spark, folder, only=names), end)
     return found.join(names, ["file", "number"]).select("doc_id", "n_tokens")
 
 

@@ -22,25 +22,33 @@ from .common import map_arrow, settle
 _CHUNK = 4096
 
 
-def read_blocks(spark: SparkSession, path: str, block_bytes: int = 1 << 22) -> DataFrame:
-    """Flat files of any size under a path as (``file``, ``block``, ``ids``).
+def _opened(uri: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
+def read_blocks(spark: SparkSession, path: str, block_bytes: int = 1 << 22, only: DataFrame | None = None) -> DataFrame:
+    """Flat files of any size under a path as (``file``, ``block``, ``ids``), of those alone that ``only(file)`` names.
 
     Only names and lengths are listed; a row of the listing is a range of one file, dealt over
-    all tasks, which read their ranges from the file system that all executors see.
+    all tasks, which read their ranges from the file system that all executors see.  ``file``
+    is the path, or the name within it if ``only`` is given.
     """
 
     def rows(batches):
-        from pyarrow import fs
-
         for batch in batches:
-            for name, length, block in zip(*(c.to_pylist() for c in batch.columns)):
-                system, where = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+            for path, name, length, block in zip(*(c.to_pylist() for c in batch.columns)):
+                system, where = _opened(path)
                 with system.open_input_file(where) as file:
                     yield {"file": [name], "block": [block], "ids": [file.read_at(min(block_bytes, length - block * block_bytes), block * block_bytes)]}
 
-    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("path").alias("name"), "length").where("length > 0")
+    if only is not None:
+        files = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(only.select(F.col("file").alias("name")).distinct(), "name", "left_semi")
     last = F.floor((F.col("length") - 1) / block_bytes)
-    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
+    ranges = files.select("path", "name", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return map_arrow(ranges.repartition(parts, "path", "block"), rows, "file string, block bigint, ids binary")
 
@@ -81,6 +89,38 @@ def documents_in(blocks: DataFrame, end: int, width: int = 2) -> DataFrame:
     return closed.unionByName(left)
 
 
+def write_files(docs: DataFrame, encoder, end: int, path: str) -> DataFrame:
+    """All texts of ``docs(doc_id, text)`` as flat 16-bit token files without index under ``path``, and what document each number of a file is.
+
+    Every task writes a file of its own, in a folder that all executors share; a task that is
+    tried again writes another one, and only files of tasks that ended well are named in the
+    table that comes back: ``file``, ``number`` and ``doc_id``.
+    """
+
+    def rows(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        name, encode, mark, number = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.bin", encoder(), int(end).to_bytes(2, "little"), 0
+        system, where = _opened(path)
+        system.create_dir(where, recursive=True)
+        with system.open_output_stream(f"{where}/{name}") as file:
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for at in range(0, len(texts), 500):
+                    part = ids[at : at + 500]
+                    for one in encode(texts[at : at + 500]):
+                        file.write(one)
+                        file.write(mark)
+                    yield {"file": [name], "number": [number], "doc_ids": [part]}
+                    number += len(part)
+
+    folder = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(path)  # there even if no task writes a file
+    folder.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).mkdirs(folder)
+    made = settle(map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), rows, "file string, number bigint, doc_ids array<bigint>"))
+    return made.select("file", F.col("number").alias("from"), F.posexplode("doc_ids").alias("k", "doc_id")).select("file", (F.col("from") + F.col("k")).alias("number"), "doc_id")
+
+
 def write_stream(docs: DataFrame, encoder, end: int, block_ids: int, files: int) -> tuple[DataFrame, DataFrame]:
     """All texts of ``docs(doc_id, text)`` as flat 16-bit token files, and what document each number of a file is.
 

@@ -114,6 +114,29 @@ def test_token_files(docs, none):
     assert token_counts.documents_in(blocks, 256).count() == 0
 
 
+def test_token_files_cut_inside_documents(spark, docs, none, tmp_path):
+    """Real flat files, read in ranges of 64 bytes that cut documents anywhere; what a failed task has left is not read."""
+    encoder = lambda: lambda texts: [np.frombuffer((t or "").encode(), np.uint8).astype("<u2").tobytes() for t in texts]
+    names = token_counts.write_files(docs.repartition(3), encoder, 256, f"file://{tmp_path}/tokens")
+    (tmp_path / "tokens" / "part-000000-999.bin").write_bytes(b"\x01\x00" * 50)
+    short = docs.where("length(text) < 1000 or text is null")
+    few = token_counts.write_files(short, encoder, 256, f"file://{tmp_path}/few")
+    for folder, files, block, rows in (("tokens", names, 1 << 16, ROWS), ("few", few, 64, [r for r in ROWS if r[1] is None or len(r[1]) < 1000])):
+        found = token_counts.documents_in(token_counts.read_blocks(spark, f"file://{tmp_path}/{folder}", block, files), 256).join(files, ["file", "number"]).collect()
+        assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in found) == sorted((r[0] or 0, len((r[1] or "").encode()) + 1) for r in rows)
+    files = token_counts.write_files(none, encoder, 256, f"file://{tmp_path}/none")
+    assert token_counts.documents_in(token_counts.read_blocks(spark, f"file://{tmp_path}/none", 64, files), 256).count() == 0
+
+
+def test_letters_only(docs):
+    """Numerals, marks, signs and emoji are no letters, letters of any script are."""
+    table = language_id.Profiles(language_id.learn_profiles(docs))
+    for text in ("½", "12²", "①", "٣", "🙂", "--- !?", "\u0301", "_", "’"):
+        assert table.predict(text) == ("und", 0.0), text
+    for text in ("a1", "é", "字", "½ a"):
+        assert table.predict(text)[0] != "und", text
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://A.Example.NET/en/x?utm_source=a#f"), (2, None), (3, "no host"), (4, "https://example.net"), (5, "http://spam.org/x/"), (6, "https://www.spam.org/x?ref=1"), (6, "https://www.spam.org/x?ref=1"), (7, "http://spam.org/fr/x"), (8, "")]
     pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id bigint, url string, verdict int")
