@@ -80,6 +80,15 @@ def a_buckets_hour(spark, d):
     return a.buckets(posts(spark, d), "hour")
 
 
+@query(f"{POSTS} SELECT strftime(created_at, '%Y-%m-%d') AS range, count(*) AS posts, sum(score)::BIGINT AS engagement, true AS close FROM posts GROUP BY 1")
+def a_rolled_up(spark, d):
+    """Days from the sketches of hours: sums as they are, distinct authors within five percent (and one) of the exact number."""
+    rows = posts(spark, d)
+    days = a.rolled_up(a.bucket_sketches(rows, "hour"), F.substring("bucket", 1, 10))
+    exact = rows.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("range")).agg(F.count_distinct("author").alias("exact"))
+    return days.join(exact, "range").select("range", "posts", "engagement", (F.abs(F.col("authors") - F.col("exact")) <= 1 + 0.05 * F.col("exact")).alias("close"))
+
+
 @query(f"{POSTS} SELECT strftime(created_at, '%Y-%m-%d') AS bucket, count(*) AS posts, sum(score)::BIGINT AS engagement FROM posts GROUP BY 1")
 def a_buckets_day(spark, d):
     return a.buckets(posts(spark, d), "day", ["posts", "engagement"])

@@ -60,7 +60,15 @@ def s_materialize(spark, d):
     return ndjson.materialize(posts(spark, d), _FILTERS, new_folder(spark), datetime(2024, 2, 1)).select("name", "count")
 
 
-@query("SELECT 'popular' AS name, '2024-02-01T00:00:00' AS written_at, 'popular/json|popular/markdown' AS files UNION ALL SELECT 'replies', '2024-02-01T00:00:00', 'replies/json|replies/markdown'")
+@query(f"""{POSTS} SELECT 'popular' AS filter, uri, like_count FROM posts WHERE coalesce(like_count, 0) >= 20 UNION ALL SELECT 'replies', uri, like_count FROM posts WHERE is_reply""")
+def s_materialized_json(spark, d):
+    """What was written by filter, read again."""
+    path = new_folder(spark)
+    ndjson.materialize(posts(spark, d), _FILTERS, path, datetime(2024, 2, 1))
+    return spark.read.schema("uri string, like_count bigint, filter string").json(f"{path}/json").select("filter", "uri", "like_count")
+
+
+@query("SELECT 'popular' AS name, '2024-02-01T00:00:00' AS written_at, 'json/filter=popular|markdown/filter=popular' AS files UNION ALL SELECT 'replies', '2024-02-01T00:00:00', 'json/filter=replies|markdown/filter=replies'")
 def s_manifest(spark, d):
     return ndjson.materialize(posts(spark, d), _FILTERS, new_folder(spark), datetime(2024, 2, 1)).select("name", "written_at", F.array_join("files", "|").alias("files"))
 

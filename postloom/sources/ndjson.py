@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import iso, markdown_cell
@@ -84,26 +84,29 @@ def write_json(posts: DataFrame, path: str) -> None:
     posts.write.mode("overwrite").json(path)
 
 
-def markdown_rows(posts: DataFrame) -> DataFrame:
-    """One table row of text a post."""
+def markdown_rows(posts: DataFrame, *keep: str) -> DataFrame:
+    """One table row of text a post, beside the columns to keep."""
     cells = [iso(F.col("created_at")), F.concat(F.lit("@"), "author"), markdown_cell(F.col("text")), markdown_cell(n.embed_cell(F.col("embed_summary"))), F.col("uri")]
-    return posts.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    return posts.select(*keep, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
 
 
 def materialize(posts: DataFrame, filters: dict, folder: str, now: datetime) -> DataFrame:
-    """Each named filter's posts as JSON and as a markdown table in its own folder, with a manifest beside them.
+    """Each named filter's posts as JSON and as a markdown table in its own folder, with a manifest of all.
 
-    Returns the manifests: ``name``, ``count``, ``written_at`` and ``files`` (folders under ``folder``).
+    The posts are scanned once a format, whatever the number of filters; the counts come with
+    the JSON.  Returns the manifest: ``name``, ``count``, ``written_at`` and ``files`` (folders
+    under ``folder``), a filter without posts too.
     """
-    spark, out = posts.sparkSession, None
-    for name, predicate in sorted(filters.items()):
-        kept = posts.where(predicate.condition)
-        write_json(kept, f"{folder}/{name}/json")
-        markdown_rows(kept).write.mode("overwrite").text(f"{folder}/{name}/markdown")
-        count = spark.read.schema("uri string").json(f"{folder}/{name}/json").agg(F.count("*").alias("count"))
-        files = F.array(F.lit(f"{name}/json"), F.lit(f"{name}/markdown"))
-        manifest = count.select(F.lit(name).alias("name"), "count", F.lit(now.isoformat()).alias("written_at"), files.alias("files"))
-        manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}/manifest")
-        read = spark.read.schema(manifest.schema).json(f"{folder}/{name}/manifest")
-        out = read if out is None else out.unionByName(read)
-    return out
+    from ..operators.predicates import tag_matches
+
+    spark, names = posts.sparkSession, sorted(filters)
+    matched = tag_matches(posts, filters)
+    counts = Observation()
+    seen = [F.count_if(F.col("filter") == name).alias(f"n{k}") for k, name in enumerate(names)]
+    matched.observe(counts, *seen).write.mode("overwrite").partitionBy("filter").json(f"{folder}/json")
+    lines = markdown_rows(matched, "filter")
+    lines.write.mode("overwrite").partitionBy("filter").text(f"{folder}/markdown")
+    rows = [(name, counts.get[f"n{k}"], now.isoformat(), [f"json/filter={name}", f"markdown/filter={name}"]) for k, name in enumerate(names)]
+    manifest = spark.createDataFrame(rows, "name string, count bigint, written_at string, files array<string>")  # a row a filter
+    manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{folder}/manifest")
