@@ -11,11 +11,12 @@ when all cycles do: after three times ``SHARDS`` scans at most.
 A scan asks two tables of ``SLOTS`` bit masks for the scans at which words and pairs reached
 the threshold, by hash.  What they let through is added up in the task, shuffled by phrase and
 joined with the exact tables, which removes false hits; full tables only mean that more rows
-are joined.  Only these masks are sent to all tasks.
+are joined.  These masks are sent to all tasks, and the exact tables
+while they have ``SMALL`` rows at most.
 
 Words are runs of code points other than space, tab and ``[.,;:!?\\x0A-\\x0D]``; the latter also
 part pieces, which no phrase crosses.  A-Z are lower-cased.  Words are compared by a 64-bit
-hash that holds their language; two words with one hash end in an error, not in a wrong count.
+hash that holds their language; two words with one hash that tasks report end in an error.
 
 Defined results: a null text is empty, a null language is ``und``; languages without a
 frequent phrase have no rows.  Repeated rows count each, extra columns are ignored, an empty
@@ -37,6 +38,8 @@ from .words import hashes, lowered, numbered, segments, texts_at
 
 #: Occurrences of a phrase, shards of a cycle, rows a language, slots of a mask table, percent of a phrase within a longer one.
 LEAST, SHARDS, TOP, SLOTS, INSIDE = 10, 3, 2000, 1 << 22, 50
+#: Frequent words, or pairs, that are sent to all tasks; with more, counts are joined by shuffle.
+SMALL = 500_000
 _BLOCK = 1 << 16
 _FLUSH = 1 << 19
 _BREAK = np.zeros(256, bool)
@@ -160,95 +163,99 @@ def scanned(docs: DataFrame, count_words: bool, words: np.ndarray | None, pairs:
             yield from t.taken()
 
     found = map_arrow(docs.select("lang", "text"), rows, "size int, k1 bigint, k2 bigint, k3 bigint, n bigint, lang string, word string")
-    told = F.struct("lang", "word")
-    return found.groupBy("size", "k1", "k2", "k3").agg(F.sum("n").alias("n"), F.min(told).alias("told"), F.max(told).alias("other"))
+    return found.groupBy("size", "k1", "k2", "k3", "lang", "word").agg(F.sum("n").alias("n"))  # numbers alone are added up: by hash, not by sorting
 
 
-def newly_reached(spark, words: DataFrame | None, pairs: DataFrame | None, reach: int) -> list[np.ndarray]:
-    """Slots of the words, and of the pairs, that reached the threshold before scan ``reach``; made in blocks, each by a task."""
+class Reached:
+    """What has reached the threshold so far: mask tables for scans, and how many phrases there are."""
 
-    def slots(batches):
-        for batch in batches:
-            kind, first, second = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).fill_null(0).to_numpy()
-            at = np.where(kind == 0, slot_of(first), slot_of(pair_key(first, second)))
-            yield {"kind": kind, "block": at // _BLOCK, "at": at % _BLOCK}
+    def __init__(self):
+        self.masks, self.count, self.last = np.zeros(SLOTS, np.uint16), 0, None
 
-    def pack(batches):
-        whole: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            kind, block, at = (c.to_numpy() for c in batch.columns)
-            for b in np.unique(2 * block + kind).tolist():
-                whole.setdefault(b, np.zeros(_BLOCK, bool))[at[2 * block + kind == b]] = True
-        if whole:
-            yield {"kind": [b % 2 for b in whole], "block": [b // 2 for b in whole], "bits": [np.packbits(m).tobytes() for m in whole.values()]}
-
-    out = [np.zeros(SLOTS, bool), np.zeros(SLOTS, bool)]
-    given = [df.where(F.col("reach") == reach).select(F.lit(kind).alias("kind"), "k1", ("k2" if kind else F.lit(None).cast("bigint").alias("k2"))) for kind, df in enumerate((words, pairs)) if df is not None]
-    if given:
-        rows = given[0] if len(given) == 1 else given[0].union(given[1])
-        at = map_arrow(rows, slots, "kind int, block bigint, at bigint").repartition("kind", "block")
-        for row in map_arrow(at, pack, "kind int, block bigint, bits binary").collect():  # 2 * SLOTS / _BLOCK rows at most
-            low = row["block"] * _BLOCK
-            out[row["kind"]][low : low + _BLOCK] = np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
-    return out
-
-
-def _merged(held: DataFrame | None, found: DataFrame, keys: list[str], step: int, least: int) -> DataFrame:
-    """Counts so far with ``found``'s, and ``reach``: the first scan before which a phrase had ``least`` occurrences."""
-    more = found.withColumn("reach", F.lit(None).cast("int"))
-    whole = more if held is None else held.unionByName(more)
-    sums = [F.sum("n").alias("n"), F.min("reach").alias("reach")]
-    if "told" in found.columns:
-        sums += [F.min("told").alias("told"), F.max("other").alias("other")]
-    out = whole.groupBy(*keys).agg(*sums)
-    out = settle(out.withColumn("reach", F.coalesce("reach", F.when(F.col("n") >= least, F.lit(step + 1)))))
-    if held is not None:
-        release(held)
-    return out
+    def add(self, phrases: DataFrame, keys: list[str], reach: int) -> None:
+        """Note the phrases whose ``reach`` is this scan; slots are made in blocks, each by a task."""
+
+        def slots(batches):
+            for batch in batches:
+                code = [batch.column(k).to_numpy() for k in range(len(keys))]
+                at = slot_of(code[0] if len(keys) == 1 else pair_key(*code))
+                yield {"block": at // _BLOCK, "at": at % _BLOCK}
+
+        def pack(batches):
+            whole: dict[int, list] = {}
+            for batch in batches:
+                block, at = (c.to_numpy() for c in batch.columns)
+                for b in np.unique(block).tolist():
+                    own = whole.setdefault(b, [0, np.zeros(_BLOCK, bool)])
+                    own[0] += int((block == b).sum())
+                    own[1][at[block == b]] = True
+            if whole:
+                yield {"block": list(whole), "n": [n for n, _ in whole.values()], "bits": [np.packbits(m).tobytes() for _, m in whole.values()]}
+
+        at = map_arrow(phrases.where(F.col("reach") == reach).select(*keys), slots, "block bigint, at bigint").repartition("block")
+        for row in map_arrow(at, pack, "block bigint, n bigint, bits binary").collect():  # SLOTS / _BLOCK rows at most
+            bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
+            self.masks[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK][bits] |= np.uint16(1 << reach)
+            self.count, self.last = self.count + row["n"], reach
+
+    def open_at(self, step: int, shards: int) -> bool:
+        """Whether a cycle that began with one of them is still open."""
+        return self.last is not None and step < self.last + shards
+
+    def joined(self, rows: DataFrame, phrases: DataFrame, names: dict[str, str], step: int, reach: str) -> DataFrame:
+        """``rows`` whose columns ``names`` are a phrase that had reached the threshold before scan ``step``; ``reach`` says when."""
+        known = phrases.where(F.col("reach") <= step).select(*[F.col(old).alias(new) for new, old in names.items()], F.col("reach").alias(reach))
+        return rows.join(F.broadcast(known) if self.count <= SMALL else known, list(names))
 
 
 def counted(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Words (``k1``, ``n``, ``told``), pairs and triples (``k1``, ``k2``, ``k3``, ``n``) of ``docs(text, lang)``; counts of ``least`` or more are exact."""
+    """Words (``k1``, ``lang``, ``word``, ``n``), pairs and triples (``k1``, ``k2``, ``k3``, ``n``) of ``docs(text, lang)``; counts of ``least`` or more are exact."""
     spark = docs.sparkSession
     own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     own.withColumn("shard", F.pmod(F.xxhash64("text", "lang"), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(path)
     dealt = spark.read.schema("lang string, text string, shard int").parquet(path)
-    words = longer = None
-    word_masks, pair_masks = np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.uint16)
-    last_word = last_pair = -shards  # the latest scans that began a cycle of pairs, of triples
+    of_words, of_pairs = Reached(), Reached()
+    words = spark.createDataFrame([], "k1 bigint, lang string, word string, n bigint, reach int")
+    longer = spark.createDataFrame([], "size int, k1 bigint, k2 bigint, k3 bigint, n bigint, reach int, begun int")
+    new = F.lit(None).cast("int")
     step = 0
-    while step < shards or step < max(last_word, last_pair) + shards:
-        open_from = step - shards + 1  # cycles that began at this scan or later are still open
-        recent = sum(1 << r for r in range(max(0, open_from), step + 1))
-        of_words, of_pairs = step < last_word + shards, step < last_pair + shards
-        found = settle(scanned(dealt.where(F.col("shard") == step % shards), step < shards, word_masks if of_words else None, pair_masks if of_pairs else None, recent))
-        begun = F.greatest("r1", "r2")
-        reached = lambda df, first, second, name: df.where(F.col("reach") <= step).select(F.col("k1").alias(first), *([F.col("k2").alias(second)] if second else []), F.col("reach").alias(name))
+    while step < shards or of_words.open_at(step, shards) or of_pairs.open_at(step, shards):
+        recent = sum(1 << r for r in range(max(0, step - shards + 1), step + 1))  # the scans whose cycles are open
+        use_words, use_pairs = of_words.open_at(step, shards), of_pairs.open_at(step, shards)
+        found = settle(scanned(dealt.where(F.col("shard") == step % shards), step < shards, of_words.masks if use_words else None, of_pairs.masks if use_pairs else None, recent))
         active = []
-        if of_words:
-            of_two = found.where("size = 2").join(reached(words, "k1", None, "r1"), "k1").join(reached(words, "k2", None, "r2"), "k2")
-            active.append(of_two.where(begun >= open_from).select("size", "k1", "k2", "k3", "n"))
-        if of_pairs:
+        if use_words:
+            rows = of_words.joined(of_words.joined(found.where("size = 2"), words, {"k1": "k1"}, step, "r1"), words, {"k2": "k1"}, step, "r2")
+            active.append(rows)
+        if use_pairs:
             pairs = longer.where("size = 2")
-            of_three = found.where("size = 3").join(reached(pairs, "k1", "k2", "r1"), ["k1", "k2"]).join(reached(pairs, "k2", "k3", "r2"), ["k2", "k3"])
-            active.append(of_three.where(begun >= open_from).select("size", "k1", "k2", "k3", "n"))
+            rows = of_pairs.joined(of_pairs.joined(found.where("size = 3"), pairs, {"k1": "k1", "k2": "k2"}, step, "r1"), pairs, {"k2": "k1", "k3": "k2"}, step, "r2")
+            active.append(rows)
+        held = longer
         if active:
-            longer = _merged(longer, active[0] if len(active) == 1 else active[0].union(active[1]), ["size", "k1", "k2", "k3"], step, least)
+            begun = F.greatest("r1", "r2")
+            more = [rows.where(begun > step - shards).select("size", "k1", "k2", "k3", "n", new.alias("reach"), begun.alias("begun")) for rows in active]
+            whole = more[0] if len(more) == 1 else more[0].union(more[1])
+            sums = longer.union(whole).groupBy("size", "k1", "k2", "k3").agg(F.sum("n").alias("n"), F.min("reach").alias("reach"), F.min("begun").alias("begun"))
+            # a phrase whose cycle ends with this scan and that is still rare will not be frequent
+            live = sums.where((F.col("n") >= least) | (F.col("begun") > step - shards + 1))
+            longer = settle(live.withColumn("reach", F.coalesce("reach", F.when(F.col("n") >= least, F.lit(step + 1)))))
+            of_pairs.add(longer.where("size = 2"), ["k1", "k2"], step + 1)
         if step < shards:
-            words = _merged(words, found.where("size = 1").select("k1", "n", "told", "other"), ["k1"], step, least)
-        release(found)
-        new = newly_reached(spark, words if step < shards else None, longer.where("size = 2") if of_words else None, step + 1)
-        for at, masks in zip(new, (word_masks, pair_masks)):
-            masks[at] |= np.uint16(1 << (step + 1))
-        last_word, last_pair = (step + 1 if at.any() else last for at, last in zip(new, (last_word, last_pair)))
+            before = words
+            sums = words.unionByName(found.where("size = 1").select("k1", "lang", "word", "n", new.alias("reach"))).groupBy("k1", "lang", "word").agg(F.sum("n").alias("n"), F.min("reach").alias("reach"))
+            words = settle(sums.withColumn("reach", F.coalesce("reach", F.when(F.col("n") >= least, F.lit(step + 1)))))
+            of_words.add(words, ["k1"], step + 1)
+            if step:
+                release(before)
+        release(found, *([held] if active and hasattr(held, "settled_at") else []))
         step += 1
     dealt.settled_at = path
     release(dealt)
-    if longer is None:
-        longer = spark.createDataFrame([], "size int, k1 bigint, k2 bigint, k3 bigint, n bigint")
-    same = F.when(F.col("told") == F.col("other"), F.col("told")).otherwise(F.raise_error(F.lit("two words with one hash")).cast("struct<lang:string,word:string>"))
-    return words.withColumn("told", same).drop("other"), longer.where("size = 2").select("k1", "k2", "n"), longer.where("size = 3").select("k1", "k2", "k3", "n")
+    if not words.groupBy("k1").count().where("count > 1").isEmpty():
+        raise ValueError("two words with one hash")
+    return words, longer.where("size = 2").select("k1", "k2", "n"), longer.where("size = 3").select("k1", "k2", "k3", "n")
 
 
 def share(a: Column, left: Column, right: Column) -> Column:
@@ -260,8 +267,8 @@ def share(a: Column, left: Column, right: Column) -> Column:
 def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: int = INSIDE, shards: int = SHARDS) -> DataFrame:
     """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score`` of each language's first ``top`` phrases."""
     words, pairs, triples = counted(docs, least, shards)
-    totals = words.groupBy(F.col("told.lang").alias("lang")).agg(F.sum("n").alias("n"))
-    word = lambda k: words.where(F.col("n") >= least).select(F.col("k1").alias(f"k{k}"), F.col("n").alias(f"f{k}"), F.col("told").alias(f"w{k}"))
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    word = lambda k: words.where(F.col("n") >= least).select(F.col("k1").alias(f"k{k}"), F.col("n").alias(f"f{k}"), F.struct("lang", "word").alias(f"w{k}"))
     two, three = (x.where(F.col("n") >= least) for x in (pairs, triples))
     longer = three.select("k1", "k2", "n").unionByName(three.select(F.col("k2").alias("k1"), F.col("k3").alias("k2"), "n")).groupBy("k1", "k2").agg(F.max("n").alias("most"))
     kept = two.join(longer, ["k1", "k2"], "left").where(F.col("most").isNull() | (100 * F.col("most") < inside * F.col("n")))
