@@ -165,3 +165,22 @@ def test_long_texts_make_small_batches(spark):
     found = common.map_arrow(texts, lambda batches: ({"rows": [b.num_rows], "size": [b.nbytes]} for b in batches), "rows bigint, size bigint").collect()
     assert sum(r["rows"] for r in found) == 12
     assert max(r["size"] for r in found) <= common.BATCH_BYTES + (5 << 19) + 1024
+
+
+def test_pipeline_stages(spark, sf_dir, docs, none):
+    """Every stage on nulls, empty and long texts, repeated rows, clashing columns and an empty table."""
+    import corpus_pipeline
+
+    rows = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        rows[name] = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns
+        assert stage(spark, none, sf_dir).count() == 0
+    assert {r["doc_id"] for r in rows["language_id"]} <= {1, 2, 7, 8, None} and len([r for r in rows["language_id"] if r["doc_id"] == 1]) == 2
+    assert all(r["text"] and len(r["text"].split()) >= 10 for r in rows["quality_rules"])
+    left = [r["doc_id"] for r in rows["ngram_join"]]
+    assert len(left) == len(ROWS) - 2 and left.count(1) == 1 and 2 not in left  # one of three equal texts stays
+    assert all(r["text"] for r in rows["source_mixing"])
+    assert {p["doc_id"] for p in rows["packing"]} == {r[0] for r in ROWS}
