@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept.  All
 but the last return the columns of ``docs``.  A stage's input is a table that is read from
 Parquet, so every stage can be rerun.
+
+Defined results: a null or empty text has no language, so the first stage drops it; later
+stages take it as an empty text.  Rows with equal ids are documents of their own, of equal rows
+the near-duplicate stage keeps one.  A null id counts as the empty text where ids are hashed,
+and comes first where the smallest id is kept.  Extra columns stay beside the others whatever
+their names, ties end in a key, and an empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -46,6 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All tokens of all documents in sequences of up to 4096, as pieces; an empty text is its end id alone."""
     return packing.pack_documents(docs, str(public_tokenizers.path("word_bpe_49k.json")))
 
 

@@ -34,7 +34,7 @@ def matches(all_of: list[str] = (), any_of: list[str] = (), none_of: list[str] =
         parts.append(functools.reduce(lambda a, b: a | b, map(has, any_of)))
     parts += [~has(t) for t in none_of]
     if phrase:
-        parts.append(F.concat(F.lit(" "), F.concat_ws(" ", "words"), F.lit(" ")).contains(f" {' '.join(terms_of(phrase))} "))
+        parts.append(F.concat(F.lit(" "), F.concat_ws(" ", "words"), F.lit(" ")).contains(f" {' '.join(phrase.lower().split())} "))
     if not parts:
         raise ValueError("an empty search")
     return functools.reduce(lambda a, b: a & b, parts)

@@ -123,3 +123,17 @@ def a_digest_volume(spark, d):
 @query(f"{POSTS} SELECT coalesce(reply_root_uri, uri) AS root, count(*) AS posts, min(iso) AS first FROM posts GROUP BY 1")
 def a_thread_groups(spark, d):
     return a.threads(posts(spark, d))
+
+
+@query(f"""{POSTS} SELECT strftime(created_at, '%Y-%m-%d') AS bucket, count(*) AS posts FROM posts GROUP BY 1
+UNION ALL SELECT strftime(created_at, '%Y-%m-%dT%H:00:00Z'), count(*) FROM posts WHERE created_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06' GROUP BY 1""")
+def a_auto_unit(spark, d):
+    """Buckets of a unit that follows from the range: days for all posts, hours for those of a day."""
+    rows = posts(spark, d)
+    some = rows.where(p.date_range(datetime(2024, 1, 5), datetime(2024, 1, 6)).condition)
+    out = None
+    for part in (rows, some):
+        first, last = part.agg(F.min("created_at"), F.max("created_at")).first()
+        made = a.buckets(part, a.unit_for(first, last) if first else "day", ["posts"])
+        out = made if out is None else out.union(made)
+    return out

@@ -246,3 +246,21 @@ def j_link_host(spark, d):
     from ..functions.text import host
 
     return posts(spark, d).where("has_links").select("uri", host(F.try_element_at("links", F.lit(1))).alias("host"), F.length("text").cast("bigint").alias("n"))
+
+
+@query(f"""{POSTS} SELECT uri, CASE WHEN embed_type IS NOT NULL THEN 'type|image_count|all_alt' || CASE WHEN has_images THEN '|first_thumb' ELSE '' END || CASE WHEN external_link IS NOT NULL THEN '|external_uri' ELSE '' END ||
+CASE WHEN quote_uri IS NOT NULL THEN '|record_uri|record_author' ELSE '' END END AS children FROM posts""")
+def j_wildcard(spark, d):
+    """All children of the summary; those without a value are left out when lines of JSON are made."""
+    shown = j.project(posts(spark, d), ["uri", "embed_summary.*"])
+    return shown.select("uri", F.array_join(F.json_object_keys(F.to_json(F.when(F.col("embed_summary.type").isNotNull(), F.col("embed_summary")))), "|").alias("children"))
+
+
+@query(f"{POSTS} SELECT uri, author_did, like_count, is_reply, reply_root_uri FROM posts")
+def j_full(spark, d):
+    return j.project(posts(spark, d), j.fields("@full")).select("uri", "author_did", "like_count", "is_reply", "reply_root_uri")
+
+
+@query(f"{IMAGES} SELECT i.uri, i.author, fullsize, thumb, alt FROM images i")
+def j_image_rows(spark, d):
+    return j.images(posts(spark, d)).select("uri", "author", "fullsize", "thumb", "alt")

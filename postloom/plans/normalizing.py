@@ -154,3 +154,10 @@ def s_commits(spark, d):
     lines = p.select("event_id", "author_did", "text", op.alias("op"), collection.alias("kind"))
     commit = F.struct(F.col("op").alias("operation"), F.col("kind").alias("collection"), F.col("event_id").cast("string").alias("rkey"), F.struct("text").alias("record"))
     return ndjson.commits(lines.select(F.to_json(F.struct(F.col("author_did").alias("did"), (F.col("event_id") * 1000).alias("time_us"), F.lit("commit").alias("kind"), commit.alias("commit"))).alias("line"))).select("op", "uri", "time_us")
+
+
+@query(f"""{RAW}, alts AS (SELECT uri, string_agg('photo ' || i || ' of ' || event_type, chr(10) ORDER BY i) AS alt_text FROM (SELECT uri, event_id, event_type, unnest(range(0, image_count)) AS i FROM taken WHERE image_count > 0) WHERE (event_id + i) % 4 <> 0 GROUP BY uri)
+SELECT uri, coalesce(alt_text, '') AS alt_text FROM taken LEFT JOIN alts USING (uri)""")
+def n_alt_text(spark, d):
+    """The alt texts of a post's images, one a line; blank ones count as none."""
+    return _posts(spark, d).select("uri", "alt_text")

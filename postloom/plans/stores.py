@@ -88,3 +88,11 @@ def l_reset(spark, d):
     store.reset(spark, path)
     store.append_log(c.derive(rows, p.hashtag("#view"), "all").select("seq", "op", "uri"), path, 1)
     return store.read_log(spark, path).select("seq", "op", "uri")
+
+
+@query(f"{POSTS} SELECT uri, like_count, array_to_string(hashtags, '|') AS hashtags, is_reply FROM posts")
+def s_json(spark, d):
+    """Posts as lines of JSON, read again."""
+    path = new_folder(spark)
+    ndjson.write_json(posts(spark, d).select("uri", "like_count", "hashtags", "is_reply"), path)
+    return spark.read.schema("uri string, like_count bigint, hashtags array<string>, is_reply boolean").json(path).select("uri", "like_count", F.array_join("hashtags", "|").alias("hashtags"), "is_reply")

@@ -154,7 +154,7 @@ def test_newest_check_as_of_now(spark):
     checks = spark.createDataFrame(rows, "url string, status int, checked_at timestamp_ntz")
     posts = spark.createDataFrame([(u, [u]) for u in ("https://a", "https://b", "https://c", "https://d", "ftp://e")] + [("none", [])], "uri string, links array<string>")
     found = lambda **more: {r["uri"]: r["has_valid_links"] for r in p.with_valid_links(posts, checks, now=NOW, **more).collect()}
-    assert found() == {"https://a": False, "https://b": True, "https://c": False, "https://d": True, "ftp://e": False, "none": False}
+    assert found() == {"https://a": False, "https://b": True, "https://c": False, "https://d": False, "ftp://e": False, "none": False}
     assert found(on_error="include")["https://c"] and not found(on_error="include")["ftp://e"]
     assert found(age=timedelta(hours=7))["https://c"]
     with pytest.raises(Exception, match="a lookup failed"):

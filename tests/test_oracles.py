@@ -17,6 +17,7 @@ SOME = [
     "p_card_link", "p_link_regex", "j_minimal", "j_social", "j_media", "j_images", "j_embeds", "n_embed_summary", "n_mentions", "n_links", "n_shapes", "n_decoded", "l_ingest", "s_markdown", "s_materialize", "s_manifest",
     "s_by_uri", "l_reset", "l_refresh", "l_sync_status", "l_store_status", "l_store_table", "l_topology_edges", "g_communities", "g_community_labels", "t_page", "s_log_tail",
     "n_reject_lines", "n_metrics", "p_valid_links_as_of", "p_valid_links_as_of_include", "p_trending_as_of", "t_alt_only", "t_boolean_index", "t_bm25_scan", "t_bm25_batches", "t_phrase_scan", "l_state_merged", "s_commits_resumed", "s_materialized_json", "a_rolled_up",
+    "j_wildcard", "j_full", "j_image_rows", "n_alt_text", "a_auto_unit", "s_json",
 ]
 
 
