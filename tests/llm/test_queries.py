@@ -157,3 +157,46 @@ def test_pipeline_stages(spark, sf_dir):
         assert p["offset"] == room.get(p["sequence_id"], 0)
         room[p["sequence_id"]] = p["offset"] + p["length"]
     assert all(n <= 4096 for n in room.values())
+
+
+def test_quality_verdicts_by_single_trees(spark, sf_dir):
+    """The registered query's verdicts against one document and one tree at a time."""
+    import math
+
+    from postloom.llm import quality_rules
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = {r["doc_id"]: r for r in queries.op8_quality_rules(spark, sf_dir).collect()}
+    for doc, text in texts(spark, sf_dir).items():
+        counts, features = quality_rules.statistics(text)
+        raw = model.start
+        for t in range(model.rounds):
+            at = 0
+            while at < 2**model.depth - 1 and model.feature[t, at] >= 0:
+                at = 2 * at + (2 if features[model.feature[t, at]] > model.cut[t, at] else 1)
+            raw += model.rate * model.value[t, at]
+        score = 1 / (1 + math.exp(-raw))
+        failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
+        assert got[doc]["quality_score"] == pytest.approx(score) and got[doc]["kept"] == (not failed and score >= 0.5), doc
+
+
+def test_mix_takes_what_its_slots_say(spark, sf_dir):
+    """Words taken of every document, added up slot by slot from the drawn blocks of its source."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan, slots = mixing.mix(docs)
+    rows = plan.withColumn("bucket", F.pmod(F.xxhash64("mark"), F.lit(max(1, math.isqrt(docs.count()))))).select("doc_id", "mark", "source", "size", "taken", "bucket").collect()
+    drawn: dict = {}
+    for s in slots.select("source", "block").collect():
+        drawn.setdefault(s["source"], []).append(s["block"])
+    for source in {r["source"] for r in rows}:
+        owner = [r["doc_id"] for r in sorted((r for r in rows if r["source"] == source), key=lambda r: (r["bucket"], r["doc_id"], r["mark"])) for _ in range(r["size"])]
+        taken: dict = {}
+        for block in drawn.get(source, []):
+            for doc in owner[64 * block : 64 * block + 64]:
+                taken[doc] = taken.get(doc, 0) + 1
+        assert {r["doc_id"]: r["taken"] for r in rows if r["source"] == source and r["taken"]} == taken
