@@ -129,7 +129,7 @@ class Tally:
 
 
 def scanned(docs: DataFrame, count_words: bool, words: np.ndarray | None, pairs: np.ndarray | None, recent: int) -> DataFrame:
-    """Sums of words, and of pairs and triples that may be active, in ``docs(lang, text)``.
+    """Sums by task of words, and of pairs and triples that may be active, in ``docs(lang, text)``.
 
     ``words`` and ``pairs`` are mask tables; ``recent`` has the bits of the scans that began the cycles still open.
     """
@@ -162,8 +162,7 @@ def scanned(docs: DataFrame, count_words: bool, words: np.ndarray | None, pairs:
         for t in tallies:
             yield from t.taken()
 
-    found = map_arrow(docs.select("lang", "text"), rows, "size int, k1 bigint, k2 bigint, k3 bigint, n bigint, lang string, word string")
-    return found.groupBy("size", "k1", "k2", "k3", "lang", "word").agg(F.sum("n").alias("n"))  # numbers alone are added up: by hash, not by sorting
+    return map_arrow(docs.select("lang", "text"), rows, "size int, k1 bigint, k2 bigint, k3 bigint, n bigint, lang string, word string")
 
 
 class Reached:
@@ -202,60 +201,76 @@ class Reached:
         """Whether a cycle that began with one of them is still open."""
         return self.last is not None and step < self.last + shards
 
-    def joined(self, rows: DataFrame, phrases: DataFrame, names: dict[str, str], step: int, reach: str) -> DataFrame:
-        """``rows`` whose columns ``names`` are a phrase that had reached the threshold before scan ``step``; ``reach`` says when."""
-        known = phrases.where(F.col("reach") <= step).select(*[F.col(old).alias(new) for new, old in names.items()], F.col("reach").alias(reach))
-        return rows.join(F.broadcast(known) if self.count <= SMALL else known, list(names))
+    def joined(self, rows: DataFrame, phrases: DataFrame, size: int, names: dict[str, str], step: int, reach: str) -> DataFrame:
+        """``rows`` with ``reach``: when the part of a phrase of ``size`` words that the columns ``names`` hold reached the threshold, if before scan ``step``."""
+        known = phrases.where(F.col("reach") <= step).select(*[F.col(old).alias(f"_{new}") for new, old in names.items()], F.col("reach").alias(reach))
+        match = F.col("size") == size
+        for new in names:
+            match &= F.col(new) == F.col(f"_{new}")
+        return rows.join(F.broadcast(known) if self.count <= SMALL else known, match, "left").drop(*[f"_{new}" for new in names])
+
+
+_KEYS = ["size", "k1", "k2", "k3", "lang", "word"]
+
+
+def _settled(counts: DataFrame) -> DataFrame:
+    """Counts in folders by length."""
+    spark = counts.sparkSession
+    path = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    counts.write.partitionBy("size").parquet(path)
+    out = spark.read.schema("k1 bigint, k2 bigint, k3 bigint, lang string, word string, n bigint, reach int, begun int, size int").parquet(path)
+    out.settled_at = path
+    return out
 
 
 def counted(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Words (``k1``, ``lang``, ``word``, ``n``), pairs and triples (``k1``, ``k2``, ``k3``, ``n``) of ``docs(text, lang)``; counts of ``least`` or more are exact."""
+    """Words (``k1``, ``lang``, ``word``, ``n``), pairs and triples (``k1``, ``k2``, ``k3``, ``n``) of ``docs(text, lang)``; counts of ``least`` or more are exact.
+
+    A scan's sums go through one shuffle, together with the counts so far.
+    """
     spark = docs.sparkSession
     own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     own.withColumn("shard", F.pmod(F.xxhash64("text", "lang"), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(path)
     dealt = spark.read.schema("lang string, text string, shard int").parquet(path)
     of_words, of_pairs = Reached(), Reached()
-    words = spark.createDataFrame([], "k1 bigint, lang string, word string, n bigint, reach int")
-    longer = spark.createDataFrame([], "size int, k1 bigint, k2 bigint, k3 bigint, n bigint, reach int, begun int")
-    new = F.lit(None).cast("int")
+    words = held = None
     step = 0
     while step < shards or of_words.open_at(step, shards) or of_pairs.open_at(step, shards):
         recent = sum(1 << r for r in range(max(0, step - shards + 1), step + 1))  # the scans whose cycles are open
         use_words, use_pairs = of_words.open_at(step, shards), of_pairs.open_at(step, shards)
-        found = settle(scanned(dealt.where(F.col("shard") == step % shards), step < shards, of_words.masks if use_words else None, of_pairs.masks if use_pairs else None, recent))
-        active = []
+        rows = scanned(dealt.where(F.col("shard") == step % shards), step < shards, of_words.masks if use_words else None, of_pairs.masks if use_pairs else None, recent)
+        begun = F.lit(None).cast("int")
         if use_words:
-            rows = of_words.joined(of_words.joined(found.where("size = 2"), words, {"k1": "k1"}, step, "r1"), words, {"k2": "k1"}, step, "r2")
-            active.append(rows)
+            known = held if words is None else words
+            rows = of_words.joined(of_words.joined(rows, known.where("size = 1"), 2, {"k1": "k1"}, step, "a1"), known.where("size = 1"), 2, {"k2": "k1"}, step, "a2")
+            begun = F.coalesce(begun, F.when(F.col("a2").isNotNull(), F.col("a1") + F.greatest(F.col("a2") - F.col("a1"), F.lit(0))))
         if use_pairs:
-            pairs = longer.where("size = 2")
-            rows = of_pairs.joined(of_pairs.joined(found.where("size = 3"), pairs, {"k1": "k1", "k2": "k2"}, step, "r1"), pairs, {"k2": "k1", "k3": "k2"}, step, "r2")
-            active.append(rows)
-        held = longer
-        if active:
-            begun = F.greatest("r1", "r2")
-            more = [rows.where(begun > step - shards).select("size", "k1", "k2", "k3", "n", new.alias("reach"), begun.alias("begun")) for rows in active]
-            whole = more[0] if len(more) == 1 else more[0].union(more[1])
-            sums = longer.union(whole).groupBy("size", "k1", "k2", "k3").agg(F.sum("n").alias("n"), F.min("reach").alias("reach"), F.min("begun").alias("begun"))
-            # a phrase whose cycle ends with this scan and that is still rare will not be frequent
-            live = sums.where((F.col("n") >= least) | (F.col("begun") > step - shards + 1))
-            longer = settle(live.withColumn("reach", F.coalesce("reach", F.when(F.col("n") >= least, F.lit(step + 1)))))
-            of_pairs.add(longer.where("size = 2"), ["k1", "k2"], step + 1)
+            pairs = held.where("size = 2")
+            rows = of_pairs.joined(of_pairs.joined(rows, pairs, 3, {"k1": "k1", "k2": "k2"}, step, "b1"), pairs, 3, {"k2": "k1", "k3": "k2"}, step, "b2")
+            begun = F.coalesce(begun, F.when(F.col("b2").isNotNull(), F.col("b1") + F.greatest(F.col("b2") - F.col("b1"), F.lit(0))))
+        rows = rows.select(*_KEYS, "n", F.lit(None).cast("int").alias("reach"), begun.alias("begun")).where((F.col("size") == 1) | (F.col("begun") > step - shards))
+        if held is not None:
+            rows = rows.unionByName(held if words is None else held.where("size > 1"))
+        sums = rows.groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.min("reach").alias("reach"), F.min("begun").alias("begun"))
+        # a phrase whose cycle ends with this scan and that is still rare will not be frequent
+        live = sums.where((F.col("size") == 1) | (F.col("n") >= least) | (F.col("begun") > step - shards + 1))
+        now = _settled(live.withColumn("reach", F.coalesce("reach", F.when(F.col("n") >= least, F.lit(step + 1)))))
         if step < shards:
-            before = words
-            sums = words.unionByName(found.where("size = 1").select("k1", "lang", "word", "n", new.alias("reach"))).groupBy("k1", "lang", "word").agg(F.sum("n").alias("n"), F.min("reach").alias("reach"))
-            words = settle(sums.withColumn("reach", F.coalesce("reach", F.when(F.col("n") >= least, F.lit(step + 1)))))
-            of_words.add(words, ["k1"], step + 1)
-            if step:
-                release(before)
-        release(found, *([held] if active and hasattr(held, "settled_at") else []))
-        step += 1
+            of_words.add(now.where("size = 1"), ["k1"], step + 1)
+        if use_words:
+            of_pairs.add(now.where("size = 2"), ["k1", "k2"], step + 1)
+        if held is not None and held is not words:
+            release(held)
+        if step == shards - 1:
+            words = now  # complete; later tables hold longer phrases only
+        held, step = now, step + 1
     dealt.settled_at = path
     release(dealt)
+    words = words.where("size = 1").select("k1", "lang", "word", "n")
     if not words.groupBy("k1").count().where("count > 1").isEmpty():
         raise ValueError("two words with one hash")
-    return words, longer.where("size = 2").select("k1", "k2", "n"), longer.where("size = 3").select("k1", "k2", "k3", "n")
+    return words, held.where("size = 2").select("k1", "k2", "n"), held.where("size = 3").select("k1", "k2", "k3", "n")
 
 
 def share(a: Column, left: Column, right: Column) -> Column:
