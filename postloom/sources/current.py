@@ -70,13 +70,12 @@ def merge(spark: SparkSession, path: str, rows: DataFrame, schema, buckets: int
     both = state.select("uri", F.struct(*names).alias("row")).unionByName(rows.select("uri", F.struct(*names).alias("row")))
     now = both.groupBy("uri").agg(F.max_by("row", F.col("row.seq")).alias("last")).where("last.op = 'U'").select("uri", "last.*").select(*schema.names)
     version = max((int(x.partition("=")[2]) for x in folders(spark, f"{path}/state")), default=-1) + 1
-    out = now.withColumn("bucket", bucket_of(F.col("uri"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "uri")
-    out.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state/version={version}")
-    # a bucket that has lost all its posts has no folder yet; without one an older version would come back
-    made = {int(x.partition("=")[2]) for x in folders(spark, f"{path}/state/version={version}") if x.startswith("bucket=")}
-    for b in set(parts) - made:
+    # a bucket that loses all its posts gets a folder too, else its older version would come back; the commit mark comes last
+    for b in parts:
         fs, where = file_system(spark, f"{path}/state/version={version}/bucket={b}")
         fs.mkdirs(where)
+    out = now.withColumn("bucket", bucket_of(F.col("uri"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "uri")
+    out.write.mode("append").partitionBy("bucket").parquet(f"{path}/state/version={version}")
     return parts
 
 
