@@ -25,6 +25,7 @@ table gives an empty one.  Words of a language in ``n`` are all, frequent or not
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 
@@ -37,7 +38,7 @@ from .common import map_arrow, release, settle, shared_dir
 from .words import hashes, lowered, numbered, segments, texts_at
 
 #: Occurrences of a phrase, shards of a cycle, rows a language, slots of a mask table, percent of a phrase within a longer one.
-LEAST, SHARDS, TOP, SLOTS, INSIDE = 10, 3, 2000, 1 << 22, 50
+LEAST, SHARDS, TOP, SLOTS, INSIDE = 10, 2, 2000, 1 << 22, 50
 #: Frequent words, or pairs, that are sent to all tasks; with more, counts are joined by shuffle.
 SMALL = 500_000
 _BLOCK = 1 << 16
@@ -223,6 +224,12 @@ def _settled(counts: DataFrame) -> DataFrame:
     return out
 
 
+def drop_shuffles(spark) -> None:
+    """Let Spark delete the shuffle files of plans that nothing holds any more; it does so when their objects are collected, which can be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def counted(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words (``k1``, ``lang``, ``word``, ``n``), pairs and triples (``k1``, ``k2``, ``k3``, ``n``) of ``docs(text, lang)``; counts of ``least`` or more are exact.
 
@@ -265,6 +272,8 @@ def counted(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> tuple[
         if step == shards - 1:
             words = now  # complete; later tables hold longer phrases only
         held, step = now, step + 1
+        del rows, sums, live
+        drop_shuffles(spark)
     dealt.settled_at = path
     release(dealt)
     words = words.where("size = 1").select("k1", "lang", "word", "n")
