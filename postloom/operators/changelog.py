@@ -17,9 +17,14 @@ from .predicates import Predicate
 
 
 def replay(log: DataFrame) -> DataFrame:
-    """The current posts: of each uri the last row, if that is an upsert.  Partial maxima keep a busy uri cheap."""
-    last = log.groupBy("uri").agg(F.max_by(F.struct(*[c for c in log.columns if c != "uri"]), "seq").alias("last"))
-    return last.where("last.op = 'U'").select("uri", "last.*").drop("op")
+    """The current posts: of each uri the last row, if that is an upsert.  Partial maxima keep a busy uri cheap.
+
+    Each column has a maximum of its own, by the unique ``seq``: those that nobody reads are
+    neither read nor shuffled.
+    """
+    names = [c for c in log.columns if c not in ("uri", "seq", "op")]
+    last = log.groupBy("uri").agg(F.max_by(F.col("op") == "U", "seq").alias("_there"), F.max("seq").alias("seq"), *[F.max_by(c, "seq").alias(c) for c in names])
+    return last.where("_there").select("uri", *[c for c in log.columns if c not in ("uri", "op")])
 
 
 def tail(log: DataFrame, after: int) -> DataFrame:
@@ -48,7 +53,8 @@ def append(log: DataFrame, rows: DataFrame, order: list[str], parts: int | None
 
 def dedupe(existing: DataFrame, upserts: DataFrame) -> DataFrame:
     """First write wins: of each new uri the first upsert; existing uris are left alone."""
-    first = upserts.groupBy("uri").agg(F.min_by(F.struct(*[c for c in upserts.columns if c != "uri"]), "seq").alias("p")).select("uri", "p.*")
+    names = [c for c in upserts.columns if c not in ("uri", "seq")]
+    first = upserts.groupBy("uri").agg(F.min("seq").alias("seq"), *[F.min_by(c, "seq").alias(c) for c in names]).select("uri", *[c for c in upserts.columns if c != "uri"])
     return first.join(existing.select("uri"), "uri", "left_anti")
 
 
