@@ -16,9 +16,10 @@ from .streams import new_folder
 _FILTERS = {"popular": p.engagement(likes=20), "replies": p.is_reply()}
 
 
-def _stored(spark, d):
+def _stored(spark, d, *columns):
+    """A store of all posts with these columns beside those that it is sorted and looked up by."""
     path = new_folder(spark)
-    store.write_posts(posts(spark, d), path)
+    store.write_posts(posts(spark, d).select("uri", "author", "created_at", "created_date", *columns), path)
     return store.read_posts(spark, path)
 
 
@@ -28,7 +29,8 @@ def s_stored_range(spark, d):
     from ..functions.text import score
 
     wanted = p.date_range(datetime(2024, 1, 3, 8), datetime(2024, 1, 4, 20)) & (p.has_media() | p.is_reply())
-    return _stored(spark, d).where(wanted.condition).select("uri", "author", score().alias("engagement"))
+    shown = _stored(spark, d, "has_media", "is_reply", "like_count", "repost_count", "reply_count", "quote_count")
+    return shown.where(wanted.condition).select("uri", "author", score().alias("engagement"))
 
 
 @query(f"{POSTS} SELECT uri FROM posts WHERE created_date = DATE '2024-01-05'")
