@@ -94,7 +94,7 @@ def materialize(posts: DataFrame, filters: dict, folder: str, now: datetime) ->
     """Each named filter's posts as JSON and as a markdown table in its own folder, with a manifest of all.
 
     The posts are scanned once a format, whatever the number of filters; the counts come with
-    the JSON.  Returns the manifest: ``name``, ``count``, ``written_at`` and ``files`` (folders
+    the JSON, whose files are compressed, since they hold whole texts.  Returns the manifest: ``name``, ``count``, ``written_at`` and ``files`` (folders
     under ``folder``), a filter without posts too.
     """
     from ..operators.predicates import tag_matches
@@ -103,7 +103,7 @@ def materialize(posts: DataFrame, filters: dict, folder: str, now: datetime) ->
     matched = tag_matches(posts, filters)
     counts = Observation()
     seen = [F.count_if(F.col("filter") == name).alias(f"n{k}") for k, name in enumerate(names)]
-    matched.observe(counts, *seen).write.mode("overwrite").partitionBy("filter").json(f"{folder}/json")
+    matched.observe(counts, *seen).write.mode("overwrite").partitionBy("filter").json(f"{folder}/json", compression="gzip")
     lines = markdown_rows(matched, "filter")
     lines.write.mode("overwrite").partitionBy("filter").text(f"{folder}/markdown")
     rows = [(name, counts.get[f"n{k}"], now.isoformat(), [f"json/filter={name}", f"markdown/filter={name}"]) for k, name in enumerate(names)]

@@ -1,12 +1,16 @@
 """What moves between tasks and goes to disk does not carry more than a query needs."""
 
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from postloom.operators import changelog as c
+from postloom.operators import predicates as p
+from postloom.plans import QUERIES
 from postloom.plans.base import log, made_posts
+from postloom.sources import ndjson
 
 
 @pytest.fixture
@@ -46,3 +50,19 @@ def test_replay_keeps_nulls_of_the_last_row(spark):
     assert out.columns == ["uri", "seq", "text", "likes"] and [tuple(r) for r in out.collect()] == [("a", 3, None, None)]
     first = c.dedupe(spark.createDataFrame([("b",)], "uri string"), rows.where("op = 'U'"))
     assert [tuple(r) for r in first.collect()] == [("a", 1, "U", "old", 1)]
+
+
+def test_a_store_made_for_a_search_holds_what_it_asks_for(spark, sf_dir):
+    for name in ("s_stored_range", "s_by_date"):
+        held = spark.read.parquet(*QUERIES[name](spark, sf_dir).inputFiles()).columns
+        assert {"uri", "author", "created_at"} <= set(held) and "text" not in held
+
+
+def test_whole_texts_are_written_compressed(spark, sf_dir, tmp_path):
+    some = made_posts(spark, sf_dir).where("event_id < 200")
+    ndjson.materialize(some, {"all": p.everything(), "replies": p.is_reply()}, str(tmp_path), datetime(2026, 1, 1))
+    files = [x for x in tmp_path.glob("json/filter=*/*") if not x.name.startswith(".")]
+    assert files and all(x.name.endswith(".json.gz") for x in files)
+    assert sum(x.stat().st_size for x in files) < some.agg(F.sum(F.octet_length("text"))).first()[0]
+    again = spark.read.schema("uri string, text string, filter string").json(f"{tmp_path}/json").where("filter = 'all'").select("uri", "text")
+    assert again.exceptAll(some.select("uri", "text")).isEmpty() and again.count() == some.count()
