@@ -27,7 +27,7 @@ def _commits(spark: SparkSession, d: str) -> DataFrame:
     return log(spark, d).withColumn("op", op).select(_COLUMNS)
 
 
-def _staged(rows: DataFrame, path: str, order: Column, rows_a_file: int = 250_000) -> None:
+def _staged(rows: DataFrame, path: str, order: Column, rows_a_file: int = 1_000_000) -> None:
     """Files written one after another, in ranges of the order, as a source would have: a bounded one each, more for more rows.
 
     The rows are worked out once, into a table dealt by range; each range is then read alone.
@@ -76,7 +76,8 @@ def s_live_buckets(spark, d):
     rows = posts(spark, d).select("uri", "author", F.col("created_at").cast("timestamp").alias("created_at"), "like_count", "repost_count", "reply_count", "quote_count")
     _staged(rows, f"{root}/in", F.unix_micros("created_at"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    done = ingest.exact_buckets(stream).writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoints/buckets").trigger(availableNow=True).start(f"{root}/out", format="parquet")
+    with ingest.stateful(spark):
+        done = ingest.exact_buckets(stream).writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoints/buckets").trigger(availableNow=True).start(f"{root}/out", format="parquet")
     done.awaitTermination()
     return spark.read.parquet(f"{root}/out").select(F.date_format("start", "yyyy-MM-dd'T'HH':00:00Z'").alias("bucket"), "posts", "authors", "engagement")
 

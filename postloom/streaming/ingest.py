@@ -11,6 +11,7 @@ are kept by run and batch, so no run ever writes over another's.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import time
@@ -27,6 +28,7 @@ from ..sources.store import file_system, folders
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PARTS = "spark.sql.shuffle.partitions"
 #: Keys that bad commits are dealt to.
 _SPREAD = 1024
 
@@ -89,7 +91,7 @@ class _Presence(StatefulProcessor):
         pass
 
 
-def ingest_commits(commits: DataFrame, root: str, predicate: Predicate | None = None, most_errors: int | None = None, trigger: dict | None = None) -> StreamingQuery:
+def ingest_commits(commits: DataFrame, root: str, predicate: Predicate | None = None, most_errors: int | None = None, trigger: dict | None = None, parts: int | None = None) -> StreamingQuery:
     """Apply a stream of commits (``seq``, ``op``, ``uri`` and a post's columns) to the log under ``root``.
 
     Whether a uri is present is keyed state in RocksDB, so a batch's work does not grow with
@@ -98,6 +100,8 @@ def ingest_commits(commits: DataFrame, root: str, predicate: Predicate | None =
     without a uri or a known op are errors: they go to ``rejects``, and more than
     ``most_errors`` of them in a batch end the query.
 
+    A run's state lies in ``parts`` partitions (see ``stateful``).
+
     The query observes, as ``commits``, how many were seen before the filter and the largest
     ``time_us`` (or ``seq`` where there is none), for ``keep_cursor``.
     """
@@ -125,12 +129,27 @@ def ingest_commits(commits: DataFrame, root: str, predicate: Predicate | None =
         finally:
             rows.unpersist()
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKS)  # a query copies the session's settings when it starts
-    try:
+    with stateful(spark, parts):
         return done.writeStream.foreachBatch(batch).queryName(run).option("checkpointLocation", f"{root}/checkpoints/{run}").trigger(**(trigger or {"availableNow": True})).outputMode("append").start()
+
+
+@contextlib.contextmanager
+def stateful(spark: SparkSession, parts: int | None = None):
+    """Settings for a query that starts within: a query copies the session's when it starts.
+
+    State in RocksDB, in ``parts`` partitions for good, two a core if not given (the session's
+    ``spark.sql.shuffle.partitions`` at most): each costs every batch a fixed time, however few
+    its rows.
+    """
+    own = {_PROVIDER: ROCKS, _PARTS: str(parts or min(int(spark.conf.get(_PARTS)), 2 * spark.sparkContext.defaultParallelism))}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def state_size(query: StreamingQuery) -> dict[str, int]:

@@ -11,6 +11,7 @@ from postloom.operators import predicates as p
 from postloom.plans import QUERIES
 from postloom.plans.base import log, made_posts
 from postloom.sources import ndjson
+from postloom.streaming import ingest
 
 
 @pytest.fixture
@@ -66,3 +67,18 @@ def test_whole_texts_are_written_compressed(spark, sf_dir, tmp_path):
     assert sum(x.stat().st_size for x in files) < some.agg(F.sum(F.octet_length("text"))).first()[0]
     again = spark.read.schema("uri string, text string, filter string").json(f"{tmp_path}/json").where("filter = 'all'").select("uri", "text")
     assert again.exceptAll(some.select("uri", "text")).isEmpty() and again.count() == some.count()
+
+
+def test_a_streams_state_has_few_partitions(spark, tmp_path):
+    """Two a core, not as many as a shuffle has; a batch waits for each of them."""
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        rows = spark.createDataFrame([(k, "create", f"u{k}", k) for k in range(40)], "seq bigint, op string, uri string, like_count bigint")
+        rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+        query = ingest.ingest_commits(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/store")
+        query.awaitTermination()
+        state = query.lastProgress["stateOperators"][0]
+        assert state["numShufflePartitions"] == 2 * spark.sparkContext.defaultParallelism < 50 and state["numRowsTotal"] == 40
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
