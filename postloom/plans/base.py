@@ -93,9 +93,10 @@ def made_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = x.withColumn("target", target).withColumn("doc", e % count)
     other = events.select(F.col("event_id").alias("target"), F.col("user_id").alias("target_user"))
     root = events.select(F.col("event_id").alias("blk"), F.col("user_id").alias("root_user"))
-    # texts come last, so that no join carries them; a text's posts are many, so they are dealt by their number
+    # texts come last, so that no join carries them; a text's posts are many, so they are dealt by their number, which holds as
+    # long as the posts are not broadcast to the few tasks that read the texts
     docs = documents.select(F.col("doc_id").alias("doc"), F.col("text").alias("body"), "lang", "source")
-    x = x.join(other, "target", "left").join(root, "blk").join(docs.repartition(max(1, -(-n // POSTS_A_TASK)), "doc"), "doc")
+    x = x.join(other, "target", "left").join(root, "blk").join(docs.repartition(max(1, -(-n // POSTS_A_TASK)), "doc").hint("shuffle_merge"), "doc")
     reply, quote, repost = k.between(1, 9), k.between(10, 12), k.between(13, 14)
     tag = F.concat(F.lit("#"), F.col("event_type"))
     image = lambda i: F.struct(

@@ -38,6 +38,13 @@ def test_no_join_carries_the_posts_texts(spark, sf_dir, no_broadcast):
     assert found == [["doc", "body", "lang", "source"]]  # the documents themselves
 
 
+def test_posts_are_not_broadcast_to_the_texts(spark, sf_dir):
+    """Small tables too: the tasks that read the texts are few, those that they are dealt to are many."""
+    plan = made_posts(spark, sf_dir).select("uri", "text")._jdf.queryExecution().executedPlan().toString()
+    first = next(x for x in plan.split("\n") if "Join" in x)
+    assert "SortMergeJoin [doc#" in first
+
+
 def test_replay_moves_the_columns_that_are_read(spark, sf_dir):
     found = [x for x in moved(c.replay(log(spark, sf_dir)).select("uri", "seq", "like_count")) if "uri" in x]
     assert found and not any({"text", "hashtags", "author"} & set(x) for x in found)
