@@ -87,8 +87,8 @@ def l_derive(spark, d):
 @query(f"{_KINDS} SELECT seq, op, uri FROM kinds WHERE kind <> 'skipped' AND seq > {_CUT}")
 def l_derive_incremental(spark, d):
     """The further rows of a derived store whose current posts are on disk, by bucket."""
-    rows = log(spark, d)
-    path = made_before(spark, d, "derived", derived_state(spark, d))
+    rows = _read_often(spark, d)
+    path = made_before(spark, d, "derived", derived_state(spark, d, rows))
     return c.derive_onto(rows, _filter(), "all", path, _schema(rows), _cut(rows)).select("seq", "op", "uri")
 
 
@@ -96,11 +96,16 @@ def _schema(rows):
     return rows.select("seq", "op", "uri", "like_count").schema
 
 
-def derived_state(spark, d):
+def _read_often(spark, d):
+    """The log's columns that derivations and their filter read, worked out once: an increment and its merge read its rows several times."""
+    return saved(log(spark, d).select("seq", "op", "uri", "hashtags", "like_count"))
+
+
+def derived_state(spark, d, log_rows=None):
     """Makes the current posts of the store derived from the log's first part."""
 
     def make(path):
-        rows = log(spark, d)
+        rows = log(spark, d) if log_rows is None else log_rows
         first = c.derive(rows.where(F.col("seq") <= _cut(rows)), _filter(), "all").select("seq", "op", "uri", "like_count")
         current.merge(spark, path, first, first.schema)
 
@@ -110,7 +115,7 @@ def derived_state(spark, d):
 @query(f"""{_KINDS} SELECT uri, seq, like_count FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY seq DESC) AS last FROM kinds WHERE kind <> 'skipped') WHERE last = 1 AND op = 'U'""")
 def l_state_merged(spark, d):
     """A derived store's current posts after three increments, each merged into the buckets that it touches."""
-    rows = log(spark, d)
+    rows = _read_often(spark, d)
     path, schema, end = new_folder(spark), _schema(rows), int(rows.agg(F.max("seq")).first()[0] or 0)
     for k in range(3):
         part = rows.where(F.col("seq") <= (k + 1) * end // 3) if k < 2 else rows

@@ -52,6 +52,20 @@ def test_replay_moves_the_columns_that_are_read(spark, sf_dir):
     assert not any("text" in x for x in moved(new))
 
 
+@pytest.mark.parametrize("name", ["l_state_merged", "l_derive_incremental"])
+def test_increments_work_the_log_out_once(spark, sf_dir, monkeypatch, name):
+    rows, seen = log(spark, sf_dir).select("seq", "op", "uri", "hashtags", "like_count"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr("postloom.plans.logging.log", lambda *_: rows.mapInArrow(counted, rows.schema))
+    assert QUERIES[name](spark, sf_dir).count() > 0
+    assert seen.value <= 2 * rows.count()  # a checkpoint counts its rows, then writes them
+
+
 def test_replay_keeps_nulls_of_the_last_row(spark):
     rows = spark.createDataFrame([(1, "U", "a", "old", 1), (3, "U", "a", None, None), (2, "D", "a", "x", 2), (4, "U", "b", "y", 3), (5, "D", "b", None, None), (6, None, "c", "z", 1)], "seq bigint, op string, uri string, text string, likes int")
     out = c.replay(rows)
