@@ -61,6 +61,12 @@ def test_a_text_is_cut_into_words_once_a_batch(spark, tmp_path, monkeypatch):
     assert schema["text"].dataType.simpleString() == schema["alt"].dataType.simpleString() == "array<string>"
 
 
+@pytest.mark.parametrize("name", ["n_rejects", "n_embed_summary", "n_links", "n_alt_text", "n_hashtags", "n_metrics", "n_mentions", "n_decoded", "l_ingest", "l_commits"])
+def test_lines_and_commits_carry_no_text_but_the_documents_own(spark, sf_dir, no_broadcast, name):
+    """A line is made and parsed where its post is: no exchange moves it."""
+    assert not [x for x in moved(QUERIES[name](spark, sf_dir)) if {"body", "text", "line", "parsed"} & set(x) and set(x) - {"doc", "body", "lang", "source"}]
+
+
 def test_replay_moves_the_columns_that_are_read(spark, sf_dir):
     found = [x for x in moved(c.replay(log(spark, sf_dir)).select("uri", "seq", "like_count")) if "uri" in x]
     assert found and not any({"text", "hashtags", "author"} & set(x) for x in found)
