@@ -16,7 +16,7 @@ import hashlib
 import json
 import time
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -29,8 +29,10 @@ from ..sources.store import file_system, folders
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _PARTS = "spark.sql.shuffle.partitions"
-#: Keys that bad commits are dealt to.
-_SPREAD = 1024
+#: Keys that uris and bad commits are dealt to.
+_SPREAD = 4096
+#: Rows that a key's present uris are dealt to when a run begins.
+_ROWS = 16
 
 
 def filter_hash(predicate: Predicate | None) -> str:
@@ -60,32 +62,39 @@ def current_run(spark: SparkSession, root: str, name: str) -> tuple[str, bool]:
 
 
 class _Presence(StatefulProcessor):
-    """Whether a uri is present, as keyed state that exists for present uris only; yields the commits that take effect."""
+    """Which uris are present, as a map's entry for each present uri; yields the commits that take effect.
 
-    def __init__(self, names: list[str]):
-        self.names = names
+    A key is a share of all uris, since Spark makes a batch of its own of what each key yields.
+    """
 
     def init(self, handle) -> None:
-        self.present = handle.getValueState("present", T.StructType([T.StructField("here", T.BooleanType())]))
+        self.present = handle.getMapState("present", T.StructType([T.StructField("uri", T.StringType())]), T.StructType([T.StructField("here", T.BooleanType())]))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.present.update((True,))
+        for uri in initialState["uris"]:
+            self.present.updateValue((uri,), (True,))
 
     def handleInputRows(self, key, rows, timerValues):
-        rows = list(rows)
-        if rows[0]["_bad"]:
-            yield from rows
-            return
-        was = present = self.present.exists()
-        for row in sorted(rows, key=lambda r: r["seq"]):
-            op = row["op"]
-            if op == "update" or present == (op == "delete"):
-                yield Row(**row.asDict() | {"op": "D" if op == "delete" else "U"})
-            present = op != "delete"
-        if present and not was:
-            self.present.update((True,))
-        elif was and not present:
-            self.present.clear()
+        commits = {}
+        for row in rows:
+            if row["_bad"]:
+                yield row
+            else:
+                commits.setdefault(row["uri"], []).append(row)
+        empty = not self.present.exists()
+        for uri, some in commits.items():
+            some.sort(key=lambda r: r["seq"])
+            # an update takes effect whether or not the uri is present, so it needs no look at the state
+            was = present = False if empty else None if some[0]["op"] == "update" else self.present.containsKey((uri,))
+            for row in some:
+                op = row["op"]
+                if op == "update" or present == (op == "delete"):
+                    yield Row(**row.asDict() | {"op": "D" if op == "delete" else "U"})
+                present = op != "delete"
+            if present and not was:
+                self.present.updateValue((uri,), (True,))
+            elif not present and was is not False:
+                self.present.removeKey((uri,))
 
     def close(self) -> None:
         pass
@@ -112,11 +121,14 @@ def ingest_commits(commits: DataFrame, root: str, predicate: Predicate | None =
     rows = seen.withColumn("_bad", ~good)
     if predicate is not None:
         rows = rows.where(F.col("_bad") | (F.col("op") == "delete") | predicate.condition)
-    key: Column = F.when(F.col("_bad"), F.concat(F.lit("bad "), F.pmod(F.xxhash64(*[c for c in ("seq", "op", "uri") if c in schema.names]), F.lit(_SPREAD)))).otherwise(F.col("uri"))
-    rows = rows.withColumn("_key", key)
-    held = replay(read_log(spark, root, schema)).select(F.col("uri").alias("_key")) if new and folders(spark, log_folder(root)) else None
-    out = T.StructType([*schema.fields, T.StructField("_bad", T.BooleanType()), T.StructField("_key", T.StringType())])
-    done = rows.groupBy("_key").transformWithState(_Presence(schema.names), out, "Append", "None", held.groupBy("_key") if held is not None else None)
+    share = lambda *of: F.pmod(F.xxhash64(*of), F.lit(_SPREAD))
+    rows = rows.withColumn("_key", F.when(F.col("_bad"), share(*[c for c in ("seq", "op", "uri") if c in schema.names])).otherwise(share("uri")))
+    held = None
+    if new and folders(spark, log_folder(root)):
+        # a key's uris in rows of some: each row costs a call
+        held = replay(read_log(spark, root, schema)).groupBy(share("uri").alias("_key"), F.pmod(F.crc32(F.col("uri").cast("binary")), F.lit(_ROWS)).alias("_row")).agg(F.collect_list("uri").alias("uris"))
+    out = T.StructType([*schema.fields, T.StructField("_bad", T.BooleanType()), T.StructField("_key", T.LongType())])
+    done = rows.groupBy("_key").transformWithState(_Presence(), out, "Append", "None", held.groupBy("_key") if held is not None else None)
 
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.persist()

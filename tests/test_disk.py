@@ -5,8 +5,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from postloom.operators import predicates as p
 from postloom.operators import search_index as si
 from postloom.plans import QUERIES, base
+from postloom.streaming import ingest
 
 
 def moved(df):
@@ -67,3 +69,17 @@ def test_a_search_of_one_field_indexes_that_field(spark, sf_dir, monkeypatch):
         assert QUERIES[name](spark, sf_dir).count() > 0
         contents = spark.read.parquet(f"{made[-1]}/contents")
         assert contents.where(F.size(other) > 0).isEmpty() and not contents.where(F.size(field) > 0).isEmpty()
+
+
+def test_a_streams_uris_share_keys(spark, tmp_path):
+    """Spark makes a batch of its own of what a key yields: many uris share one, and each present uri is an entry of a map."""
+    rows = spark.createDataFrame([(k, "create", f"u{k}", k) for k in range(6000)] + [(6000 + k, "delete", f"u{k}", k) for k in range(500)], "seq bigint, op string, uri string, like_count bigint")
+    for likes, part in enumerate(("seq < 4000", "seq >= 4000")):
+        rows.where(part).coalesce(1).write.parquet(f"{tmp_path}/in{likes}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in{likes}").withColumns({x: F.lit(0) for x in ("repost_count", "reply_count", "quote_count")})
+        query = ingest.ingest_commits(stream, f"{tmp_path}/store", p.engagement(likes=likes))
+        query.awaitTermination()
+    assert ingest.state_size(query)["uris"] == 5500  # the second run took over what the first had stored
+    logged = ingest.read_log(spark, f"{tmp_path}/store", rows.schema).groupBy("op").count().collect()
+    assert {r["op"]: r["count"] for r in logged} == {"U": 6000, "D": 500}
+    assert query.lastProgress["stateOperators"][0]["customMetrics"]["numMapStateVars"] > 0
