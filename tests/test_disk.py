@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from postloom.operators import predicates as p
@@ -83,3 +84,19 @@ def test_a_streams_uris_share_keys(spark, tmp_path):
     logged = ingest.read_log(spark, f"{tmp_path}/store", rows.schema).groupBy("op").count().collect()
     assert {r["op"]: r["count"] for r in logged} == {"U": 6000, "D": 500}
     assert query.lastProgress["stateOperators"][0]["customMetrics"]["numMapStateVars"] > 0
+
+
+@pytest.mark.parametrize("documents,a_task", [(1, 700), (3, 700), (3, 20_000), (499, 700), (700, 20_000), (1777, 700), (5000, 20_000)])
+def test_blocks_of_posts_lie_in_one_task(spark, tmp_path, monkeypatch, documents, a_task):
+    """Whatever the number of documents: the posts are the same, a block is in one task, and no exchange moves a post's text."""
+    monkeypatch.setattr(base, "POSTS_A_TASK", a_task)
+    spark.range(4000).selectExpr("id as event_id", "timestamp'2024-01-01' as ts", "id % 7 as user_id", "'view' as event_type", "1.5D as value").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(documents).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang", "'web' as source").write.parquet(f"{tmp_path}/documents.parquet")
+    columns = ["event_id", "text", "uri", "reply_parent_uri", "quote_uri", "langs"]
+    want = base.made_posts(spark, str(tmp_path)).select(columns)
+    with base.dealt_once(spark):
+        made = base.made_posts(spark, str(tmp_path), block=500).select(*columns, F.floor(F.col("event_id") / 500).alias("k"), F.spark_partition_id().alias("task")).persist()
+        assert made.count() == 4000
+        assert [x for x in moved(base.made_posts(spark, str(tmp_path), block=500).select("event_id", "text")) if {"body", "text"} & set(x)] == [["doc", "body", "near", "share"]]
+    assert made.select(columns).exceptAll(want).isEmpty() and made.select("k", "task").distinct().count() == 8
+    made.unpersist()
